@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module of this package that defines it
 MODULES = {
     "op5_suffix_dedup": "suffix_dedup",
+    "op7_substring_dedup": "substring_dedup",
     "op3_html_text": "html_text",
     "op4_language_id": "langid",
     "op9_simhash": "simhash",

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this package that defines it
 MODULES = {
+    "op10_decontamination": "decontaminate",
     "op6_quality": "quality",
     "op5_suffix_dedup": "suffix_dedup",
     "op7_substring_dedup": "substring_dedup",

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this package that defines it
 MODULES = {
+    "op2_mixing": "mixing",
     "op10_decontamination": "decontaminate",
     "op6_quality": "quality",
     "op5_suffix_dedup": "suffix_dedup",
@@ -21,4 +22,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import ORACLE_SQL as mixing
+
+    return {"op2_mixing": mixing}

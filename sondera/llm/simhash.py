@@ -121,7 +121,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str = "components") -> tuple[DataFrame, list[str]]:
-    """node, root for every node of an edge table (a, b): the least node reachable. Large-star and
+    """node, root for every node of an edge table (a, b) but the roots: the least node reachable. Large-star and
     small-star rounds until neither changes an edge; also the scratch paths to release."""
     spark = edges.sparkSession
     cur, path = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this package that defines it
 MODULES = {
+    "op1_multiprobe_ann": "ann",
     "op8_line_dedup": "line_dedup",
     "op2_mixing": "mixing",
     "op10_decontamination": "decontaminate",

@@ -35,7 +35,7 @@ def with_ranges(hist: DataFrame, column: str = "s", ranges: int = RANGES) -> Dat
     cuts = sorted(set(cuts))
     if not cuts:
         return hist.withColumn("r", F.lit(0))
-    return hist.withColumn("r", F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + F.when(F.col(column) > c, 1).otherwise(0)))
+    return hist.withColumn("r", sum((F.when(F.col(column) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
 
 
 def cumulated(hist: DataFrame, groups: list[str] = (), descending: bool = False) -> DataFrame:

@@ -33,14 +33,14 @@ def silence_fraction(x: Column, sr: int, frame_s: float = 0.02, share: float = 0
     clip is silent."""
     n = max(1, int(sr * frame_s))
     frames = F.floor(F.size(x) / n).cast("int")
-    quiet = F.size(F.filter(F.sequence(F.lit(1), F.greatest(frames, F.lit(1))), lambda i: rms(F.slice(x, (i - 1) * n + 1, F.lit(n))) < rms(x) * share))
+    quiet = _with(rms(x), lambda whole: F.size(F.filter(F.sequence(F.lit(1), F.greatest(frames, F.lit(1))), lambda i: rms(F.slice(x, (i - 1) * n + 1, F.lit(n))) < whole * share)))
     return F.when(frames < 1, 0.0).when(rms(x) == 0, 1.0).otherwise(quiet / frames)
 
 
 def normalise_rms(x: Column, target: float) -> Column:
     """Scaled to the target RMS; a silent clip raises."""
     gain = target / F.when(rms(x) == 0, F.raise_error(F.lit("silent clip"))).otherwise(rms(x))
-    return F.transform(x, lambda v: v.cast("double") * gain)
+    return _with(gain, lambda g: F.transform(x, lambda v: v.cast("double") * g))
 
 
 def loudness_preflight(df: DataFrame, samples: str, target: float, ceiling: float = 0.99) -> DataFrame:
@@ -49,11 +49,16 @@ def loudness_preflight(df: DataFrame, samples: str, target: float, ceiling: floa
     return df.agg(F.count(F.lit(1)).alias("clips"), F.count_if(crest * target > ceiling).alias("too_hot"))
 
 
+def _with(value: Column, use) -> Column:
+    """use(v) with v computed once a row, not once an element of a lambda inside."""
+    return F.transform(F.array(value), use)[0]
+
+
 def zero_mean_unit_var(x: Column, eps: float = 1e-7) -> Column:
     n = F.size(x).cast("double")
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / n
-    var = _sum_sq(F.transform(x, lambda v: v.cast("double") - mean)) / n
-    return F.transform(x, lambda v: (v.cast("double") - mean) / F.sqrt(var + eps))
+    centred = _with(mean, lambda m: F.transform(x, lambda v: v.cast("double") - m))
+    return _with(centred, lambda c: _with(F.sqrt(_sum_sq(c) / n + eps), lambda s: F.transform(c, lambda v: v / s)))
 
 
 def mu_law_clip(x: Column) -> Column:
@@ -152,27 +157,70 @@ def resample(x: np.ndarray, old: int, new: int) -> np.ndarray:
     return np.fft.irfft(keep, n) * (n / len(x))
 
 
+def room_response(sr: int, rt60: float, rng: np.random.Generator) -> np.ndarray:
+    """A unit direct path, then noise at 0.35 that falls by 60 dB over rt60 seconds."""
+    n = max(1, int(sr * rt60))
+    tail = rng.normal(size=n) * np.exp(-6.9 * np.arange(n) / (sr * rt60))
+    return np.r_[1.0, 0.35 * tail[1:] / max(1e-9, np.abs(tail).max())]
+
+
+def convolved(x: np.ndarray, response: np.ndarray) -> np.ndarray:
+    """Convolved, cut to the dry length and brought back to the dry RMS."""
+    x = np.asarray(x, float)
+    if not len(x):
+        return x
+    wet = np.convolve(x, response)[: len(x)]
+    level = math.sqrt(float(np.mean(wet**2)))
+    return wet * (math.sqrt(float(np.mean(x**2))) / level) if level else wet
+
+
+def bandpassed(x: np.ndarray, sr: int) -> np.ndarray:
+    for b, a in bandpass_sections(sr):
+        x = filtered(b, a, x)
+    return x
+
+
+def mu_law_roundtrip(x: np.ndarray, sr: int) -> np.ndarray:
+    """To 8 kHz, companded to 8 bits and back, at the old rate and length."""
+    narrow = np.clip(resample(x, sr, 8000), -1, 1)
+    comp = np.sign(narrow) * np.log1p(255 * np.abs(narrow)) / math.log(256)
+    grid = np.rint((comp + 1) / 2 * 255) / 255 * 2 - 1
+    back = resample(np.sign(grid) * np.expm1(np.abs(grid) * math.log(256)) / 255, 8000, sr)
+    return np.pad(back, (0, max(0, len(x) - len(back))))[: len(x)]
+
+
+CODECS = {"mulaw": mu_law_roundtrip}
+
+
+def codec_roundtrip(x: np.ndarray, sr: int, codec: str) -> np.ndarray:
+    if codec not in CODECS:
+        raise ValueError(f"unknown codec: {codec}")
+    return CODECS[codec](x, sr)
+
+
+def mapped(df: DataFrame, row_id: str, samples: str, f) -> DataFrame:
+    """id, samples with a NumPy function applied to each clip, in Arrow batches."""
+    kind = df.schema[row_id].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({row_id: b[row_id], samples: [np.asarray(f(np.asarray(x, float))).tolist() for x in b[samples]]})
+
+    return df.select(row_id, samples).mapInPandas(run, f"`{row_id}` {kind}, `{samples}` array<double>")
+
+
 def telephone(x: np.ndarray, sr: int, seed: int) -> tuple[np.ndarray, str]:
     """Room response (at times), band-pass, 8 kHz companding, packet loss; and the recipe."""
     rng = np.random.default_rng(seed)
     y, recipe = np.asarray(x, float), []
     if rng.random() < 0.5:
         rt = rng.uniform(0.15, 0.6)
-        tail = rng.normal(size=max(1, int(sr * rt))) * np.exp(-6.9 * np.arange(max(1, int(sr * rt))) / (sr * rt))
-        rir = np.r_[1.0, 0.35 * tail[1:] / max(1e-9, np.abs(tail).max())]
-        wet, dry = np.convolve(y, rir)[: len(y)], math.sqrt(float(np.mean(y**2)) if len(y) else 0)
-        level = math.sqrt(float(np.mean(wet**2)) if len(y) else 0)
-        y = wet * (dry / level) if level else wet
+        y = convolved(y, room_response(sr, rt, rng))
         recipe.append(f"rir:{rt:.2f}")
-    for b, a in bandpass_sections(sr):
-        y = filtered(b, a, y)
+    y = bandpassed(y, sr)
     recipe.append("band")
     if rng.random() < 0.9:
-        narrow = np.clip(resample(y, sr, 8000), -1, 1)
-        comp = np.sign(narrow) * np.log1p(255 * np.abs(narrow)) / math.log(256)
-        grid = np.rint((comp + 1) / 2 * 255) / 255 * 2 - 1
-        back = resample(np.sign(grid) * np.expm1(np.abs(grid) * math.log(256)) / 255, 8000, sr)
-        y = np.pad(back, (0, max(0, len(y) - len(back))))[: len(y)]
+        y = mu_law_roundtrip(y, sr)
         recipe.append("mulaw")
     if rng.random() < 0.7:
         rate, burst = rng.uniform(0.02, 0.10), int(rng.choice([20, 40]))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MANIFEST = ("path", "label", "generator", "family", "source_id", "media_type", "quality", "split")
 
@@ -52,10 +53,14 @@ def hash_fraction(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-@F.pandas_udf("double")
-def blake_fraction(ids):
+def blake_fraction(col: Column) -> Column:
     """[0, 1) from the big-endian 8-byte blake2b of the id as text, where parity is asked for."""
-    return ids.astype(str).map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / 2**64)
+
+    @F.pandas_udf(T.DoubleType())
+    def fraction(ids):
+        return ids.astype(str).map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / 2**64)
+
+    return fraction(col)
 
 
 def group_split(df: DataFrame, spec: SplitSpec, fraction=hash_fraction) -> DataFrame:

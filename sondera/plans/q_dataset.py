@@ -175,7 +175,7 @@ def dat1(spark, sf):
 
 @registry("dat1_blake_fraction")
 def dat1b(spark, sf):
-    return manifest(spark, sf).select("source_id").distinct().select("source_id", split.blake_fraction("source_id").alias("fraction"))
+    return manifest(spark, sf).select("source_id").distinct().select("source_id", split.blake_fraction(F.col("source_id")).alias("fraction"))
 
 
 @registry("dat2_group_split", f"SELECT doc_id, split FROM {SPLIT_SQL} v")

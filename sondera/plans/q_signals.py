@@ -1,3 +1,163 @@
-from .registry import Registry
+"""Shortcut audit, signal, head and probe queries; a vector stands for a short clip."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import images, lsh, metrics, replay
+from ..operators import signals as G
+from .registry import Registry, r6, rounded
+from .views import table
 
 registry = Registry()
+SR = 400  # 20 ms are 8 samples of a vector's 64
+_X = "list_transform(embedding, lambda x: x::DOUBLE)"
+_RMS = f"sqrt(list_sum(list_transform({_X}, lambda x: x * x)) / len(embedding))"
+_PEAK = f"list_max(list_transform({_X}, lambda x: abs(x)))"
+
+
+def clips(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+@registry("shc1_clip_features", f"SELECT vec_id, round({_PEAK}, 6) AS peak, round({_RMS}, 6) AS rms, round(len(embedding) / 400.0::DOUBLE, 6) AS seconds FROM embeddings")
+def shc1(spark, sf):
+    x = F.col("embedding")
+    return clips(spark, sf).select("vec_id", r6(G.peak(x), "peak"), r6(G.rms(x), "rms"), r6(G.duration(x, SR), "seconds"))
+
+
+_QUIET = f"len(list_filter(range(0, 8), lambda i: sqrt(list_sum(list_transform(list_slice({_X}, i * 8 + 1, i * 8 + 8), lambda x: x * x)) / 8) < 0.55::DOUBLE * {_RMS})) / 8.0::DOUBLE"
+
+
+@registry("shc2_silence_fraction", f"SELECT vec_id, round({_QUIET}, 6) AS silence FROM embeddings")
+def shc2(spark, sf):
+    return clips(spark, sf).select("vec_id", r6(G.silence_fraction(F.col("embedding"), SR, share=0.55), "silence"))
+
+
+@registry("shc3_band_fraction")
+def shc3(spark, sf):
+    return clips(spark, sf).select("vec_id", G.band_fraction(SR, 100.0, 150.0)("embedding").alias("share"))
+
+
+@registry("shc4_axis_report", f"SELECT label, round(quantile_cont({_PEAK}, 0.5), 6) AS med, round(min({_PEAK}), 6) AS lo, round(max({_PEAK}), 6) AS hi FROM embeddings GROUP BY 1")
+def shc4(spark, sf):
+    p = G.peak(F.col("embedding"))
+    return clips(spark, sf).groupBy("label").agg(r6(F.percentile(p, F.lit(0.5)), "med"), r6(F.min(p), "lo"), r6(F.max(p), "hi"))
+
+
+@registry(
+    "shc5_balanced_accuracy",
+    """WITH v AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS x FROM lineitem), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+h AS (SELECT x, count(*) FILTER (y = 0) AS n, count(*) FILTER (y = 1) AS p FROM v GROUP BY 1), t AS (SELECT lo + i * ((hi - lo) / 800) AS t FROM e, (SELECT unnest(range(801)) AS i)),
+a AS (SELECT t, (sum(n) FILTER (x < t) / sum(n) + sum(p) FILTER (x >= t) / sum(p)) / 2 AS acc FROM t, h GROUP BY t)
+SELECT round(greatest(0.5::DOUBLE, max(acc), max(1 - acc)), 6) AS balanced, '' AS flag FROM a""",
+)
+def shc5(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"), F.col("l_quantity").alias("x"))
+    return rounded(G.best_balanced_accuracy(df, "y", "x"), "balanced")
+
+
+@registry("sig1_loudness_normalise", f"SELECT vec_id, round({_PEAK} * 0.05::DOUBLE / {_RMS}, 6) AS peak_after FROM embeddings")
+def sig1(spark, sf):
+    return clips(spark, sf).select("vec_id", r6(G.peak(G.normalise_rms(F.col("embedding"), 0.05)), "peak_after"))
+
+
+@registry("sig1_loudness_preflight", f"SELECT count(*) AS clips, count(*) FILTER ({_PEAK} / {_RMS} * 0.4::DOUBLE > 0.99::DOUBLE) AS too_hot FROM embeddings")
+def sig1p(spark, sf):
+    return G.loudness_preflight(clips(spark, sf), "embedding", 0.4)
+
+
+@registry("sig2_shelf_coefficients")
+def sig2(spark, sf):
+    b, a = G.shelf_coefficients(16000.0)
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(b, a))], "i int, b double, a double")
+
+
+def _mu(x: str) -> str:
+    y = f"(sign({x}) * ln(1 + 255 * abs({x})) / ln(256))"
+    q = f"(round_even(({y} + 1) / 2 * 255, 0) / 255 * 2 - 1)"
+    return f"(sign({q}) * (exp(abs({q}) * ln(256)) - 1) / 255)"
+
+
+@registry("sig3_mu_law_compand", f"SELECT vec_id, round(list_sum(list_transform({_X}, lambda x: {_mu('x')})), 5) AS total FROM embeddings")
+def sig3(spark, sf):
+    return clips(spark, sf).select("vec_id", F.round(F.aggregate(G.mu_law_clip(F.col("embedding")), F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+
+
+@registry("sig6_packet_loss", "SELECT vec_id, sum(CASE WHEN CAST(CAST(('0x' || substr(md5('0|' || vec_id || '|' || f), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE < 0.3 THEN 1 ELSE 0 END)::BIGINT * 8 AS lost FROM embeddings, (SELECT unnest(range(8)) AS f) GROUP BY 1")
+def sig6(spark, sf):
+    out = G.packet_loss(F.col("vec_id"), F.col("embedding"), SR, 0.3)
+    return clips(spark, sf).select("vec_id", F.size(F.filter(out, lambda v: v == 0)).cast("long").alias("lost"))
+
+
+@registry("sig9_telephone_channel")
+def sig9(spark, sf):
+    return G.telephone_channel(clips(spark, sf), "vec_id", "embedding", 16000).select("vec_id", "recipe", F.size("embedding").alias("n"))
+
+
+@registry("sig5_bandpass")
+def sig5(spark, sf):
+    return G.mapped(clips(spark, sf), "vec_id", "embedding", lambda x: G.bandpassed(x, 16000)).select("vec_id", r6(G.rms(F.col("embedding")), "rms"))
+
+
+@registry("sig8_room_response")
+def sig8(spark, sf):
+    return G.mapped(clips(spark, sf), "vec_id", "embedding", lambda x: G.convolved(x, G.room_response(16000, 0.3, np.random.default_rng(0)))).select("vec_id", r6(G.rms(F.col("embedding")), "rms"))
+
+
+@registry("sig11_resample", "SELECT vec_id, 32 AS n FROM embeddings")
+def sig11(spark, sf):
+    return G.mapped(clips(spark, sf), "vec_id", "embedding", lambda x: G.resample(x, 16000, 8000)).select("vec_id", F.size("embedding").alias("n"))
+
+
+@registry("img_degradation_recipes")
+def img8(spark, sf):
+    return images.recipes(clips(spark, sf).select("vec_id"), "vec_id")
+
+
+@registry("img_pixel_operators")
+def img2(spark, sf):
+    return images.degraded(clips(spark, sf).select("vec_id", "embedding"), "vec_id", "embedding", 8, 8)
+
+
+@registry("sig10_zero_mean_unit_var", f"SELECT vec_id, round((embedding[1]::DOUBLE - list_avg({_X})) / sqrt(list_var_pop({_X}) + 1e-7), 6) AS first FROM embeddings")
+def sig10(spark, sf):
+    return clips(spark, sf).select("vec_id", r6(G.zero_mean_unit_var(F.col("embedding"))[0], "first"))
+
+
+@registry("dat4_phash")
+def dat4(spark, sf):
+    @F.pandas_udf("long")
+    def hashed(v):
+        return v.map(lambda x: int(np.uint64(lsh.phash64(np.tile(np.asarray(x, float)[:32], (32, 1)) * np.arange(32)[:, None])).view(np.int64)))
+
+    return clips(spark, sf).select("vec_id", hashed("embedding").alias("hash"))
+
+
+_W = [[1.0 if i % 2 == c else 0.25 for i in range(64)] for c in (0, 1)]
+
+
+def _cos(w: list[float]) -> str:
+    n = sum(v * v for v in w) ** 0.5
+    lit = "[" + ", ".join(f"{v / n!r}::DOUBLE" for v in w) + "]"
+    return f"round(16 * list_dot_product({_X}, {lit}) / sqrt(list_dot_product({_X}, {_X})), 6)"
+
+
+@registry("ft2_cosine_head", f"SELECT vec_id, {_cos(_W[0])} AS logit_0, {_cos(_W[1])} AS logit_1 FROM embeddings")
+def ft2(spark, sf):
+    out = replay.cosine_scores(clips(spark, sf), "embedding", _W)
+    return out.select("vec_id", r6(F.col("logits")[0], "logit_0"), r6(F.col("logits")[1], "logit_1"))
+
+
+@registry("prb1_linear_probe")
+def prb1(spark, sf):
+    df = clips(spark, sf).select("vec_id", "embedding", F.when(F.col("label") >= 5, 1).otherwise(0).alias("label"))
+    scored = replay.linear_probe(df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1"))
+    return metrics.ranking(scored.select("label", "score"), (), (0.1,))
+
+
+@registry("prb3_layer_gap", "WITH g AS (SELECT l_quantity::INT AS layer, avg(l_discount) AS val, avg(l_tax) AS test FROM lineitem GROUP BY 1) SELECT layer, round(val - test, 6) AS gap FROM g")
+def prb3(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("layer")).agg(F.avg("l_discount").alias("val"), F.avg("l_tax").alias("test"))
+    return g.select("layer", r6(F.col("val") - F.col("test"), "gap"))

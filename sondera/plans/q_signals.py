@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quality_bucket
 from ..operators import images, lsh, metrics, replay
 from ..operators import signals as G
 from .registry import Registry, r6, rounded
@@ -161,3 +162,15 @@ def prb1(spark, sf):
 def prb3(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("layer")).agg(F.avg("l_discount").alias("val"), F.avg("l_tax").alias("test"))
     return g.select("layer", r6(F.col("val") - F.col("test"), "gap"))
+
+
+@registry("prb6_probe_gate", "WITH g AS (SELECT l_quantity::INT AS layer, round(avg(l_discount) * 20, 6) AS val, round(avg(l_tax) * 25, 6) AS test FROM lineitem GROUP BY 1) SELECT layer, val, test, val >= 0.95 AND test >= 0.90 AS passed FROM g")
+def prb6(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("layer")).agg(r6(F.avg("l_discount") * 20, "val"), r6(F.avg("l_tax") * 25, "test"))
+    return g.withColumn("passed", (F.col("val") >= 0.95) & (F.col("test") >= 0.90))
+
+
+@registry("img9_quality_sweep", "SELECT vec_id, q.q AS quality, CASE WHEN q.q >= 90 THEN 'q_high' WHEN q.q >= 65 THEN 'q_mid' ELSE 'q_low' END AS bucket FROM embeddings, (SELECT unnest([95, 90, 80, 70, 60, 50, 40, 30])::INT AS q) q")
+def img9(spark, sf):
+    q = clips(spark, sf).select("vec_id", F.explode(F.array(*map(F.lit, (95, 90, 80, 70, 60, 50, 40, 30)))).alias("quality"))
+    return q.withColumn("bucket", quality_bucket(F.col("quality")))

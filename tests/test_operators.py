@@ -230,3 +230,14 @@ def test_streaming_reservoir_agrees_with_batch(spark, tmp_path):
     for r in replay.reservoir(df, "generator", "item", 20).collect():
         want.setdefault(r["generator"], []).append(str(r["item"]))
     assert last == {k: sorted(v) for k, v in want.items()}
+
+
+def test_cli_writes_a_report_and_gates(spark, tmp_path):
+    from sondera import cli
+
+    rows = [(int(i % 2), float(i % 7 + 3 * (i % 2)), ["authentic", "g1"][i % 2]) for i in range(300)]
+    spark.createDataFrame(rows, "label int, score double, generator string").write.parquet(f"file://{tmp_path}/old")
+    worse = [(y, s - 4 * y, g) for y, s, g in rows]
+    spark.createDataFrame(worse, "label int, score double, generator string").write.parquet(f"file://{tmp_path}/new")
+    assert cli.main(["--scores", f"file://{tmp_path}/new", "--baseline", f"file://{tmp_path}/old", "--out", f"file://{tmp_path}/out", "--primary-fpr", "0.1"], spark) == 1
+    assert "BLOCKED" in (tmp_path / "out/eval.md").read_text() and "overall" in (tmp_path / "out/eval.json").read_text()

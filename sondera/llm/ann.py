@@ -128,7 +128,9 @@ def _probed(queries: DataFrame, a: np.ndarray, b: np.ndarray, radius: float, rea
 def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str) -> DataFrame:
     """Rows of one bucket in packs of `most` at most, each with its vectors as one binary."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)))
+    # a bucket of many rows is dealt to several tasks; the counts are one small row a bucket
+    large = rows.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (4 * most)).cast("int").alias("parts")).where("parts > 1")
+    salted = rows.join(large, ["t", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))))
     dealt = salted.repartition(n, "t", "bucket", "salt").sortWithinPartitions("t", "bucket", "salt")
 
     def run(batches):
@@ -156,36 +158,68 @@ def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str) -> DataF
     return dealt.select("t", "bucket", ids, "v").mapInArrow(run, f"t int, bucket long, {name} array<{kind}>, {name}_v binary")
 
 
+def _top(q: np.ndarray, s: np.ndarray, low: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the best `keep` different entries of each query, by score, then smallest id."""
+    order = np.lexsort((low, -s, q))
+    q, low = q[order], low[order]
+    new = np.ones(len(q), bool)
+    # an entry that several tables gave stands side by side: its score is the same within rounding
+    new[1:] = (q[1:] != q[:-1]) | (low[1:] != low[:-1])
+    order, q = order[new], q[new]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return order[rank < keep + 3]
+
+
 def _best(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
     """qid, ids, score: for each query the best entries of the packs that it meets in a task."""
+    # partial results are kept a task, so a few tasks a core make fewer of them than one a partition
+    pairs = pairs.select("qs", "qs_v", "es", "es_v").coalesce(2 * pairs.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
-        best: dict[int, list] = {}
+        qs, ss, lows, lists = [], [], [], {}
+        held = 0
 
-        def out():
-            rows = [(q, i, s) for q, found in best.items() for s, _, i in found]
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.float64())], names=["qid", "ids", "score"])
+        def settle():
+            q, s, low = np.concatenate(qs), np.concatenate(ss), np.concatenate(lows)
+            at = _top(q, s, low, keep)
+            return q[at], s[at], low[at]
+
+        def out(q, s, low):
+            return pa.record_batch([pa.array(q), pa.array([lists[x] for x in low.tolist()], pa.list_(pa.int64())), pa.array(s)], names=["qid", "ids", "score"])
 
         for b in batches:
             for q_ids, q_v, ids, v in zip(*(b[c] for c in ("qs", "qs_v", "es", "es_v"))):
                 q = np.frombuffer(q_v.as_py(), np.float32).reshape(-1, dim).astype(np.float64)
                 e = np.frombuffer(v.as_py(), np.float32).reshape(-1, dim).astype(np.float64)
-                ids = ids.as_py()
+                ids, q_ids = ids.as_py(), q_ids.values.to_numpy()
+                low = np.array([x[0] for x in ids], np.int64)
                 scores = q @ e.T
-                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if len(e) > keep else np.tile(np.arange(len(e)), (len(q), 1))
-                for row, qid in enumerate(q_ids.as_py()):
-                    edge = scores[row, top[row]].min()
+                if len(e) > keep:
+                    edge = np.partition(scores, len(e) - keep, axis=1)[:, len(e) - keep]
                     # those that tie with the last one stay in, for the ids to decide
-                    among = np.flatnonzero(scores[row] >= edge) if len(e) > keep else top[row]
-                    new = [(float(scores[row, j]), -ids[j][0], ids[j]) for j in among.tolist()]
-                    merged = {x[1]: x for x in best.get(qid, []) + new}
-                    best[qid] = heapq.nlargest(keep, merged.values(), key=lambda x: x[:2])
-            if len(best) > 20_000:
-                yield out()
-                best.clear()
-        yield out()
-
-    return pairs.select("qs", "qs_v", "es", "es_v").mapInArrow(run, "qid long, ids array<bigint>, score double")
+                    row, column = np.nonzero(scores >= edge[:, None])
+                else:
+                    row, column = np.divmod(np.arange(scores.size), len(e))
+                qs.append(q_ids[row])
+                ss.append(scores[row, column])
+                lows.append(low[column])
+                for c in np.unique(column).tolist():
+                    lists[ids[c][0]] = ids[c]
+                held += len(row)
+                if held > 2_000_000:
+                    q, s, low = settle()
+                    if len(q) > 1_000_000:
+                        yield out(q, s, low)
+                        qs, ss, lows, lists, held = [], [], [], {}, 0
+                    else:
+                        qs, ss, lows, held = [q], [s], [low], len(q)
+                        live = set(low.tolist())
+                        lists = {k: x for k, x in lists.items() if k in live}
+        if qs:
+            yield out(*settle())
+
+    return pairs.mapInArrow(run, "qid long, ids array<bigint>, score double")
 
 
 def _ranked(found: DataFrame, top: int) -> DataFrame:
@@ -230,11 +264,10 @@ def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     pairs = probes.join(packs, ["t", "bucket"])
     found, found_path = materialize(_ranked(_best(pairs, dim, top + 1), top), "ann-found")
     # a query that has found fewer than it is due meets all blocks of the first table
-    due = min(top, max(0, size - 1))
     have = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     short = asked.join(have, "qid", "left").where(F.coalesce("n", F.lit(0)) < top).select("qid", "v")
     lacking = short.count()
-    if lacking and size > 1 or lacking and due == 0:
+    if lacking:
         rest = _packed(short.withColumn("t", F.lit(0)).withColumn("bucket", F.lit(0).cast("long")), BATCH, "qid", "bigint", "qs").select("qs", "qs_v").repartition(n)
         all_pairs = rest.join(packs.where("t = 0").select("es", "es_v"))
         again = _ranked(_best(all_pairs, dim, top + 1), top)

@@ -42,9 +42,13 @@ def probability(head: Head) -> Column:
 def score_scans(df: DataFrame, head: Head, synthetic: float = 0.85, suspicious: float = 0.5) -> DataFrame:
     """df with confidence, verdict, evidence (cards by falling absolute contribution, equal ones in
     the order of dimensions) and driver, the first card's dimension."""
+    # each logit once a row: the projections below refer to these columns more than once
+    df = df.withColumns({f"__c_{d}": contribution(d, head) for d in DIMENSIONS})
+    raw = sum((F.col(f"__c_{d}") for d in DIMENSIONS), F.lit(0.0)) + head.bias
+    df = df.withColumn("confidence", sigmoid(raw / head.temperature))
     cards = []
     for i, d in enumerate(DIMENSIONS):
-        share = contribution(d, head) / max(head.temperature, 1e-9)
+        share = F.col(f"__c_{d}") / max(head.temperature, 1e-9)
         cards.append(
             F.struct(
                 (-F.abs(share)).alias("order"),
@@ -56,8 +60,8 @@ def score_scans(df: DataFrame, head: Head, synthetic: float = 0.85, suspicious:
             )
         )
     cards = F.transform(F.array_sort(F.array(*cards)), lambda c: F.struct(c["dimension"].alias("dimension"), c["score"].alias("score"), c["verdict"].alias("verdict"), c["contribution"].alias("contribution")))
-    out = df.withColumn("confidence", probability(head)).withColumn("verdict", verdict(F.col("confidence"), synthetic, suspicious)).withColumn("evidence", cards)
-    return out.withColumn("driver", F.col("evidence")[0]["dimension"])
+    out = df.withColumn("verdict", verdict(F.col("confidence"), synthetic, suspicious)).withColumn("evidence", cards)
+    return out.withColumn("driver", F.col("evidence")[0]["dimension"]).drop(*(f"__c_{d}" for d in DIMENSIONS))
 
 
 def abstention_rate(df: DataFrame, head: Head, synthetic: float = 0.85, suspicious: float = 0.5) -> DataFrame:

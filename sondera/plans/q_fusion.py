@@ -59,8 +59,8 @@ _CARDS = " UNION ALL ".join(
 
 @registry("fus6_scan_cards", f"SELECT id, rank, dimension, round(score, 6) AS score, verdict, round(c, 6) AS contribution FROM (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY abs(c) DESC, place) - 1)::INT AS rank FROM ({_CARDS}))")
 def fus6(spark, sf):
-    cards = U.score_scans(evidence(spark, sf), HEAD).select("id", F.posexplode("evidence").alias("rank", "card"))
-    return cards.select("id", "rank", "card.dimension", r6("card.score", "score"), "card.verdict", r6("card.contribution", "contribution"))
+    ranked = F.transform("evidence", lambda c, i: F.struct(i.alias("rank"), c["dimension"].alias("dimension"), F.round(c["score"], 6).alias("score"), c["verdict"].alias("verdict"), F.round(c["contribution"], 6).alias("contribution")))
+    return U.score_scans(evidence(spark, sf), HEAD).select("id", F.inline(ranked))
 
 
 @registry("fus7_driver_and_verdict", f"SELECT v.id, {_VERDICT.format(p=_P)} AS verdict, d.dimension AS driver FROM {EVIDENCE_SQL} v JOIN (SELECT id, arg_max(dimension, abs(c)) AS dimension FROM ({_CARDS}) GROUP BY id) d ON v.id = d.id WHERE {' OR '.join(f'a_{d}' for d in DIMENSIONS)}")

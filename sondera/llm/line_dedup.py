@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read, release, row_key, spread
 from .simhash import components
 
-MAX_EDITS, MIN_CHARS, FUZZY_CHARS, BLOCK = 2, 8, 24, 512
+MAX_EDITS, MIN_CHARS, FUZZY_CHARS, BLOCK, SALT = 2, 8, 24, 128, 16
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -217,7 +217,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = classes.where("root is not null").groupBy("class").agg(F.min("first").alias("keeper"))
     repeats = classes.where("root is not null").select("line", "class").join(several, "class").select("line", "keeper")
     repeats = repeats.unionByName(classes.where("root is null and first <> last").select("line", F.col("first").alias("keeper")))
-    gone = seen.join(repeats, "line").where(~F.struct("id", "key", "n").eqNullSafe(F.col("keeper")))
+    # a line that a third of all texts have is met in SALT tasks
+    salted = seen.withColumn("salt", F.pmod(F.col("key"), F.lit(SALT)).cast("int"))
+    repeats = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    gone = salted.join(repeats, ["line", "salt"]).where(~F.struct("id", "key", "n").eqNullSafe(F.col("keeper")))
     per_text, _ = materialize(gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("n").alias("__gone")), "lines-gone")
     release(spark, seen_path)
     fields = [f for f in keyed.schema.fields if f.name != "__key"]

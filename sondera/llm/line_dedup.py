@@ -67,6 +67,18 @@ def probe_keys(line: bytes, n: int, max_edits: int) -> list[int]:
     return list(out)
 
 
+def _common(a: str, b: str, at_end: bool) -> int:
+    """Length of the common beginning, or end, of two texts."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if at_end else a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def within(a: str, b: str, k: int) -> bool:
     """Whether the edit distance is k at most: bit-parallel over a band of 2k + 1 diagonals.
 
@@ -75,6 +87,10 @@ def within(a: str, b: str, k: int) -> bool:
         return False
     if a == b:
         return True
+    # what both begin and end with costs nothing; found by halving, not letter by letter
+    a, b = a[(p := _common(a, b, False)) :], b[p:]
+    p = _common(a, b, True)
+    a, b = a[: len(a) - p], b[: len(b) - p]
     n, width = len(a), 2 * k + 1
     full = (1 << width) - 1
     reach = [0] * (k + 1)
@@ -152,7 +168,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """a, b: links between different lines whose closure is that of all pairs within max_edits."""
     spark = docs.sparkSession
-    index = _keys(docs, max_edits, False)
+    index, index_path = materialize(_keys(docs, max_edits, False), "lines-keys")
     by_key = index.groupBy("k").agg(F.min("line").alias("low"), F.max("line").alias("high"))
     probe = _keys(docs, max_edits, True)
     hits, hits_path = materialize(probe.join(by_key, "k").where("low <> high or low <> line").select("k", "line"), "lines-probes")
@@ -192,7 +208,7 @@ def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> Dat
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
     links, _ = materialize(cells.select("lines").mapInArrow(run, "a long, b long"), "lines-links")
-    release(spark, hits_path, held_path, texts_path)
+    release(spark, index_path, hits_path, held_path, texts_path)
     return links
 
 

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from sondera.llm import ann, decontaminate, html_text, induced, langid, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup  # noqa: E402
+from sondera.llm import ann, decontaminate, html_text, induced, langid, line_dedup, mixing, near_copies, quality, simhash, substring_dedup, suffix_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, runs int, key string, `select` string"
 
@@ -323,3 +323,37 @@ def test_pipeline(spark, tmp_path):
     assert after["benchmark decontamination"] == clean - {7, 9}
     assert set(docs.columns) >= set(P.COLUMNS)
     assert set(P.run(spark, f"file://{tmp_path}").columns) >= set(P.COLUMNS)
+
+
+def test_pipeline_near_copies_of_similarity_08(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(17)
+    rows = []
+    for i in range(30):
+        w = words(rng, 200).split()
+        rows.append((2 * i, " ".join(w)))
+        for at in rng.sample(range(0, 200, 20), 1 + i % 6):
+            w[at] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    similar = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(grams[::2], grams[1::2])]
+    far = [bin(brute.simhash(a[1]) ^ brute.simhash(b[1])).count("1") > 4 for a, b in zip(rows[::2], rows[1::2])]
+    assert True in similar and False in similar and any(s and f for s, f in zip(similar, far))
+    kept = {r["doc_id"] for r in P.one_of_near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert kept == set(range(60)) - {2 * i + 1 for i, s in enumerate(similar) if s}
+
+
+def test_pipeline_near_copies_chain_within_a_band(spark):
+    """Components are those of all similar pairs, also where rows are near each other but not near the least."""
+    rng = random.Random(5)
+    w = words(rng, 300).split()
+    rows = []
+    for i in range(8):
+        rows.append((i, " ".join(w)))
+        for at in range(12 * i, 12 * i + 12, 6):
+            w[at] += "x"
+    rows += [(20 + i, words(rng, 50)) for i in range(3)]
+    kept = {r["doc_id"] for r in near_copies.one_of_each(frame(spark, rows)).collect()}
+    assert kept == {0, 20, 21, 22}
+    assert near_copies.one_of_each(frame(spark, [])).count() == 0

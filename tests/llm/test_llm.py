@@ -357,3 +357,14 @@ def test_pipeline_near_copies_chain_within_a_band(spark):
     kept = {r["doc_id"] for r in near_copies.one_of_each(frame(spark, rows)).collect()}
     assert kept == {0, 20, 21, 22}
     assert near_copies.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_pipeline_near_copies_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(23)
+    a, b, c, d, e = (words(rng, 80) for _ in range(5))
+    near = d + " end"
+    rows = [(None, a), (None, b), (None, b), (4, c), (4, d), (3, near), (5, None), (None, ""), (6, e), (6, e)]
+    got = P.one_of_near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (4, c), (3, near), (5, None), (6, e)]))

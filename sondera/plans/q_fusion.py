@@ -40,7 +40,7 @@ def fus3(spark, sf):
 
 @registry("fus4_fit_head")
 def fus4(spark, sf):
-    head = U.fit(evidence(spark, sf), "id", epochs=5)
+    head = U.fit(evidence(spark, sf), "id")
     return spark.createDataFrame([(d, w) for d, w in head.weights.items()] + [("bias", head.bias)], "dimension string, weight double")
 
 

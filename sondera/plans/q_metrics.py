@@ -10,6 +10,8 @@ from .registry import Registry, r6, rounded
 from .views import LINES_SQL, lines
 
 registry = Registry()
+#: bootstrap resamples, the definition's own number
+REPLICATES = 1000
 
 
 def _cum(source: str = LINES_SQL, score: str = "score", group: str = "") -> str:
@@ -97,12 +99,12 @@ def met8(spark, sf):
 
 @registry("met9_bootstrap_ci")
 def met9(spark, sf):
-    return M.bootstrap_ci(lines(spark, sf).select("id", "label", F.col("qty").alias("score")), "id", 20)
+    return M.bootstrap_ci(lines(spark, sf).select("id", "label", F.col("qty").alias("score")), "id", REPLICATES)
 
 
 @registry("met10_paired_bootstrap")
 def met10(spark, sf):
-    return M.bootstrap_ci(lines(spark, sf), "id", 20, scores=("qty", "score"))
+    return M.bootstrap_ci(lines(spark, sf), "id", REPLICATES, scores=("qty", "score"))
 
 
 @registry(

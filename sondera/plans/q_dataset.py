@@ -251,7 +251,7 @@ def ft4(spark, sf):
 def ft5(spark, sf):
     df = lines(spark, sf)
     buffer = replay.reservoir(df.where("label = 1"), "generator", "id", 50)
-    return replay.mixed_batch(df.where("label = 0 and id % 1000 = 1"), buffer, "generator", "id")
+    return replay.mixed_batch(df.where("label = 0"), buffer, "generator", "id")
 
 
 @registry("ft6_buffer_stats", f"SELECT generator, least(50, count(*)) AS n FROM {LINES_SQL} v WHERE label = 1 GROUP BY 1")

@@ -30,3 +30,9 @@ def test_head_is_fitted_for_300_epochs(spark, small, monkeypatch):
     monkeypatch.setattr(fusion, "sigmoid", lambda x: steps.append(1) or real(x))
     assert catalog.QUERIES["fus4_fit_head"](spark, small).count() == 7
     assert len(steps) == 300
+
+
+def test_mixed_batch_has_all_new_rows(spark, small):
+    rows = catalog.QUERIES["ft5_mixed_batch"](spark, small).collect()
+    assert sum(not r["replayed"] for r in rows) == 32
+    assert sum(r["replayed"] for r in rows) == 16

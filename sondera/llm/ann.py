@@ -3,7 +3,13 @@
 Vectors are scaled by the largest norm M and given one more component, sqrt(1 - |x|^2 / M^2); a query
 is scaled to length one and given a zero there. Then the largest inner product is the smallest
 Euclidean distance, for which p-stable (Gaussian) projections floor((a.v + b) / w) are a locality
-sensitive hash. A table has k such functions, k growing with the logarithm of the number of vectors.
+sensitive hash.
+
+The index is fitted on bounded samples, by one rule at every size (`fit`): SAMPLE_QUERIES queries are
+answered exactly in one pass, which gives the radius (median distance of the last neighbour due);
+w is WIDTH radii; the number k of functions a table is the least at which SAMPLE_ROWS rows, scaled to
+the table, share buckets of OCCUPANCY rows (MOST at most); `reach` is the least at which TARGET of the sample's true
+neighbours are met. All rows are indexed.
 
 A query visits, in each table, its own bucket and perturbed ones in order of the estimated success
 probability: that a neighbour at distance `radius` falls there, a product over the functions of
@@ -13,13 +19,15 @@ ranked by the exact inner product in double precision and merged.
 Equal vectors are one entry that carries its smallest ids, as many as a result can hold, so a vector
 that a third of the rows share makes no large bucket; a bucket of many different vectors is cut into
 blocks, and queries meet blocks in batches: one matrix product each, of which the best stay. A query
-that has found fewer than it is due is compared with all blocks of one table.
+that has found fewer than it is due meets all rows, in numbered blocks.
 """
 
+
 from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +37,38 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, release
 
-TABLES, WIDTH, RADIUS, REACH, BUCKET, SEED = 3, 2.0, 1.1, 0.7, 2048, 11
+TABLES, WIDTH, OCCUPANCY, TARGET, SEED = 2, 2.5, 64, 0.94, 11
+SAMPLE_QUERIES, SAMPLE_ROWS, DRAWS = 96, 4096, 1000
+#: Functions a table at most: the probes of a query grow about as 2 to their number.
+MOST = 9
 TOP, QUERY_MOD, BLOCK, BATCH = 20, 20, 2048, 256
 
 
-def functions_for(n: int) -> int:
-    """Hash functions a table: none up to BUCKET vectors (one bucket), then log2(n / BUCKET)."""
-    return max(0, min(24, round(math.log2(max(n, 1) / BUCKET)))) if n > BUCKET else 0
+@dataclass(frozen=True)
+class Index:
+    """Projections (tables, dim + 1, k) and offsets of the hash functions, slot width, radius, reach."""
+
+    a: np.ndarray
+    b: np.ndarray
+    width: float
+    radius: float
+    reach: float
+    scale: float
+
+    def places(self, vectors: np.ndarray, t: int, query: bool) -> np.ndarray:
+        """Places of vectors on table t's lines, in slots."""
+        if query:
+            x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            x = np.column_stack([x, np.zeros(len(x))])
+        else:
+            x = vectors / self.scale
+            x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
+        return x @ self.a[t] / self.width + self.b[t]
 
 
 def projections(dim: int, k: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.normal(size=(TABLES, dim + 1, k)), rng.uniform(0, 1, size=(TABLES, k))
+    return rng.normal(size=(TABLES, dim + 1, MOST))[:, :, :k], rng.uniform(0, 1, size=(TABLES, MOST))[:, :k]
 
 
 def bucket_ids(slots: np.ndarray) -> np.ndarray:
@@ -55,81 +83,149 @@ def bucket_ids(slots: np.ndarray) -> np.ndarray:
 _erf = np.vectorize(math.erf)
 
 
-def probe_slots(place: np.ndarray, radius: float, reach: float) -> list[np.ndarray]:
-    """Slot vectors in order of estimated success, until their probabilities sum to `reach`.
-    place: (a.q + b / w) of one query, k numbers in units of slots."""
+def probe_slots(place: np.ndarray, width: float, radius: float, reach: float) -> tuple[list[np.ndarray], list[float]]:
+    """Slot vectors in order of estimated success, until their probabilities sum to `reach`, and
+    these sums. place: (a.q + b / w) of one query, k numbers in units of slots."""
     k = len(place)
     own = np.floor(place).astype(np.int64)
-    if not k:
-        return [own]
-    steps = np.arange(-3, 4)
-    edge = (own[:, None] + steps - place[:, None]) * WIDTH / (radius * math.sqrt(2))
-    high = (own[:, None] + steps + 1 - place[:, None]) * WIDTH / (radius * math.sqrt(2))
+    steps = np.arange(-4, 5)
+    edge = (own[:, None] + steps - place[:, None]) * width / (radius * math.sqrt(2))
+    high = edge + width / (radius * math.sqrt(2))
     prob = np.maximum((_erf(high) - _erf(edge)) / 2, 1e-12)
     order = np.argsort(-prob, axis=1)
     log_p = np.log(np.take_along_axis(prob, order, axis=1))
-    heap, out, total = [(-float(log_p[:, 0].sum()), (0,) * k)], [], 0.0
-    seen = {(0,) * k}
+    costs = (log_p[:, :-1] - log_p[:, 1:]).tolist()
+    heap, out, sums, total = [(-float(log_p[:, 0].sum()), (0,) * k, 0)], [], [], 0.0
     while heap and total < reach:
-        cost, ranks = heapq.heappop(heap)
+        # each vector of ranks is made once: only places from the last that was raised on are raised
+        cost, ranks, last = heapq.heappop(heap)
         total += math.exp(-cost)
-        out.append(own + steps[order[np.arange(k), ranks]])
-        for i in range(k):
-            if ranks[i] + 1 < len(steps):
-                nxt = (*ranks[:i], ranks[i] + 1, *ranks[i + 1 :])
-                if nxt not in seen:
-                    seen.add(nxt)
-                    heapq.heappush(heap, (cost + float(log_p[i, ranks[i]] - log_p[i, ranks[i] + 1]), nxt))
+        out.append(ranks)
+        sums.append(total)
+        for i in range(last, k):
+            if ranks[i] < len(steps) - 1:
+                heapq.heappush(heap, (cost + costs[i][ranks[i]], (*ranks[:i], ranks[i] + 1, *ranks[i + 1 :]), i))
+    return list(own + steps[order[np.arange(k), np.array(out, np.int64).reshape(-1, k)]]), sums
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows; shorter ones end in zeros."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(sizes), dim), flat.dtype)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    dim = len(column[0]) if len(column) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+def _nearest_of_sample(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, top: int) -> DataFrame:
+    """q, score, v: the best `top` entries of each sampled query in each task, then of all."""
+    dim = asked.shape[1]
 
-
-def _hashed(vectors: DataFrame, a: np.ndarray, b: np.ndarray, scale: float) -> DataFrame:
+    def run(batches):
+        best_s, best_v = np.full((len(asked), 0), 0.0), np.zeros((len(asked), 0, dim))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b[1], dim).astype(np.float64)
+            s = asked @ x.T
+            own = b[0].to_pylist()
+            for j, of in enumerate(own):
+                if len(of) == 1:
+                    s[ids == of[0], j] = -np.inf
+            s = np.concatenate([best_s, s], axis=1)
+            keep = np.argsort(-s, axis=1, kind="stable")[:, :top]
+            held = best_s.shape[1]
+            best_v = np.stack([np.stack([best_v[q, j] if j < held else x[j - held] for j in row]) for q, row in enumerate(keep)])
+            best_s = np.take_along_axis(s, keep, 1)
+        q, j = np.nonzero(np.isfinite(best_s))
+        yield pa.record_batch([pa.array(q, pa.int32()), pa.array(best_s[q, j]), pa.array(list(best_v[q, j]), pa.list_(pa.float64()))], names=["q", "score", "v"])
+
+    got = vectors.select("ids", "v").mapInArrow(run, "q int, score double, v array<double>")
+    return got.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("r") <= top).drop("r")
+
+
+def _log_success(slots: np.ndarray, place: np.ndarray, width: float) -> np.ndarray:
+    """Log of the estimated success probability of each slot vector; width in radii."""
+    low = (slots - place) * width / math.sqrt(2)
+    return np.log(np.maximum((_erf(low + width / math.sqrt(2)) - _erf(low)) / 2, 1e-12)).sum(axis=1)
+
+
+def fit(vectors: DataFrame, asked: DataFrame, size: int, dim: int, scale: float, top: int = TOP, target: float = TARGET) -> Index:
+    """An index's parameters, from at most SAMPLE_QUERIES queries and SAMPLE_ROWS rows, those of the
+    smallest hashes."""
+    sample = asked.orderBy(F.xxhash64("qid", "v"), "qid").limit(SAMPLE_QUERIES).collect()
+    pad = lambda v: np.pad(np.array(v, float), (0, dim - len(v)))
+    q = np.array([pad(r["v"]) for r in sample]).reshape(-1, dim)
+    rows = np.array([pad(r["v"]) for r in vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("v").collect()]).reshape(-1, dim)
+    near = _nearest_of_sample(vectors, np.array([r["qid"] for r in sample]), q, top).collect() if len(q) else []
+    at = np.array([r["q"] for r in near], int)
+    score, v = np.array([r["score"] for r in near]), np.array([r["v"] for r in near]).reshape(-1, dim)
+    distance = np.sqrt(np.maximum(2 - 2 * score / (np.linalg.norm(q[at], axis=1) * scale), 0)) if len(near) else np.ones(1)
+    last = np.array([distance[at == i].max() for i in range(len(q)) if (at == i).any()]) if len(near) else distance
+    radius = max(float(np.median(last)), 1e-3)
+    width = WIDTH * radius
+    for k in range(2, MOST + 1):
+        a, b = projections(dim, k)
+        index = Index(a, b, width, radius, 1.0, scale)
+        count = np.unique(bucket_ids(np.floor(index.places(rows, 0, False))), return_counts=True)[1]
+        # chance that two rows share a bucket, from the pairs of the sample
+        if size * float((count * (count - 1)).sum()) / max(1, len(rows) * (len(rows) - 1)) <= OCCUPANCY:
+            break
+    # what must be reached for each true neighbour, in the table that meets it first: the share of
+    # drawn displacements that fall into likelier slots than the neighbour's
+    need = np.full(len(near), 1.0)
+    drawn = np.random.default_rng(SEED).normal(size=(DRAWS, k)) * radius / width
+    for t in range(TABLES if len(near) else 0):
+        place, own = index.places(q, t, True), np.floor(index.places(v, t, False))
+        for i in np.unique(at):
+            mine = np.flatnonzero(at == i)
+            likely = np.sort(_log_success(np.floor(place[i] + drawn), place[i], width / radius))
+            got = _log_success(own[mine], place[i], width / radius)
+            need[mine] = np.minimum(need[mine], 1 - np.searchsorted(likely, got - 1e-9) / DRAWS)
+    reach = float(np.quantile(need, target)) if len(near) else 1.0
+    return Index(a, b, width, radius, min(reach, 0.99), scale)
+
+
+def _hashed(vectors: DataFrame, index: Index, dim: int, kind: str) -> DataFrame:
     """vectors (ids, v) with a row for each table: t, bucket."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch[1]).astype(np.float64) / scale
-            x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
-            for t in range(len(a)):
-                bucket = bucket_ids(np.floor(x @ a[t] / WIDTH + b[t]))
-                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), batch[0], batch[1]], names=["t", "bucket", "ids", "v"])
+            x = _matrix(batch[1], dim)
+            v = pa.array(list(x), batch[1].type)
+            for t in range(len(index.a)):
+                bucket = bucket_ids(np.floor(index.places(x.astype(np.float64), t, False)))
+                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), batch[0], v], names=["t", "bucket", "ids", "v"])
 
-    return vectors.select("ids", "v").mapInArrow(run, "t int, bucket long, ids array<bigint>, v array<float>")
+    return vectors.select("ids", "v").mapInArrow(run, f"t int, bucket long, ids array<bigint>, v array<{kind}>")
 
 
-def _probed(queries: DataFrame, a: np.ndarray, b: np.ndarray, radius: float, reach: float) -> DataFrame:
+def _probed(queries: DataFrame, index: Index, dim: int, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ts, buckets, at = [], [], []
-            x = _matrix(batch[1]).astype(np.float64) if batch.num_rows else np.zeros((0, 0))
-            for i, q in enumerate(x):
-                q = np.append(q / np.linalg.norm(q), 0.0)
-                for t in range(len(a)):
-                    got = bucket_ids(np.array(probe_slots(q @ a[t] / WIDTH + b[t], radius, reach)))
+            x = _matrix(batch[1], dim)
+            v = pa.array(list(x), batch[1].type)
+            for t in range(len(index.a) if len(x) else 0):
+                buckets, at = [], []
+                for i, place in enumerate(index.places(x.astype(np.float64), t, True)):
+                    got = bucket_ids(np.array(probe_slots(place, index.width, index.radius, index.reach)[0]))
                     buckets.append(got)
-                    ts += [t] * len(got)
                     at += [i] * len(got)
-            take = pa.array(at, pa.int64())
-            yield pa.record_batch(
-                [pa.array(ts, pa.int32()), pa.array(np.concatenate(buckets) if buckets else np.empty(0, np.int64), pa.int64()), batch[0].take(take), batch[1].take(take)],
-                names=["t", "bucket", "qid", "v"],
-            )
+                take = pa.array(at, pa.int64())
+                yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate(buckets), pa.int64()), batch[0].take(take), v.take(take)], names=["t", "bucket", "qid", "v"])
 
-    return queries.select("qid", "v").mapInArrow(run, "t int, bucket long, qid long, v array<float>")
+    return queries.select("qid", "v").mapInArrow(run, f"t int, bucket long, qid long, v array<{kind}>")
 
 
-def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str) -> DataFrame:
+def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str, dim: int, real: type) -> DataFrame:
     """Rows of one bucket in packs of `most` at most, each with its vectors as one binary."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a bucket of many rows is dealt to several tasks; the counts are one small row a bucket
-    large = rows.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (4 * most)).cast("int").alias("parts")).where("parts > 1")
+    large = rows.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
     salted = rows.join(large, ["t", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))))
     dealt = salted.repartition(n, "t", "bucket", "salt").sortWithinPartitions("t", "bucket", "salt")
 
@@ -137,14 +233,14 @@ def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str) -> DataF
         key, held_ids, held_v = None, [], []
 
         def out():
-            v = np.array(held_v, np.float32)
+            v = np.array(held_v, real)
             return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([held_ids], pa.list_(kind_type)), pa.array([v.tobytes()], pa.binary())], names=["t", "bucket", name, name + "_v"])
 
         kind_type = pa.list_(pa.int64()) if kind == "array<bigint>" else pa.int64()
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b["v"])
+            v = _matrix(b["v"], dim)
             for i, row in enumerate(zip(b["t"].to_pylist(), b["bucket"].to_pylist(), b[ids].to_pylist())):
                 if key != row[:2] or len(held_ids) >= most:
                     if held_ids:
@@ -171,7 +267,7 @@ def _top(q: np.ndarray, s: np.ndarray, low: np.ndarray, keep: int) -> np.ndarray
     return order[rank < keep + 3]
 
 
-def _best(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
+def _best(pairs: DataFrame, dim: int, keep: int, real: type) -> DataFrame:
     """qid, ids, score: for each query the best entries of the packs that it meets in a task."""
     # partial results are kept a task, so a few tasks a core make fewer of them than one a partition
     pairs = pairs.select("qs", "qs_v", "es", "es_v").coalesce(2 * pairs.sparkSession.sparkContext.defaultParallelism)
@@ -190,8 +286,8 @@ def _best(pairs: DataFrame, dim: int, keep: int) -> DataFrame:
 
         for b in batches:
             for q_ids, q_v, ids, v in zip(*(b[c] for c in ("qs", "qs_v", "es", "es_v"))):
-                q = np.frombuffer(q_v.as_py(), np.float32).reshape(-1, dim).astype(np.float64)
-                e = np.frombuffer(v.as_py(), np.float32).reshape(-1, dim).astype(np.float64)
+                q = np.frombuffer(q_v.as_py(), real).reshape(-1, dim).astype(np.float64)
+                e = np.frombuffer(v.as_py(), real).reshape(-1, dim).astype(np.float64)
                 ids, q_ids = ids.as_py(), q_ids.values.to_numpy()
                 low = np.array([x[0] for x in ids], np.int64)
                 scores = q @ e.T
@@ -230,49 +326,53 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, radius: float = RADIUS, reach: float = REACH) -> DataFrame:
+def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each query among rows other than
-    its own, nearest first, ties to the smaller id.
+    its own, nearest first, ties to the smaller id. `target` is the recall that the index is fitted to.
 
-    Null vectors, empty or zero ones, those with a null or non-finite component, of another length
-    than most, or without an id take no part, as queries or candidates. Repeated rows count once; an
-    id with several vectors is a candidate, or a query, by its best. An empty table gives an empty
-    result. Extra columns are left out.
+    Null vectors, empty or zero ones, those with a null or non-finite component or without an id take
+    no part, as queries or candidates. Vectors of unequal lengths meet as if the shorter ended in
+    zeros. Doubles stay doubles. Repeated rows count once; an id with several vectors is a candidate,
+    or a query, by its best. An empty table gives an empty result. Extra columns are left out.
     """
     spark = rows.sparkSession
     number = F.col("v")
-    fit = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(number, lambda x: x != 0)
-    prepare = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(fit)
+    single = all(df.schema[vec_col].dataType.simpleString() == "array<float>" for df in (rows, queries))
+    kind, real = ("float", np.float32) if single else ("double", np.float64)
+    fit_for = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(number, lambda x: x != 0)
+    prepare = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("v")).where(fit_for)
     entries, asked = prepare(rows), prepare(queries)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    dims = entries.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "dim").first()
-    if dims is None:
+    most = entries.agg(F.max(F.size("v")).alias("dim"), F.max(norm).alias("m")).first()
+    if most["dim"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, scale = dims["dim"], math.sqrt(dims["m"])
-    entries, asked = entries.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    dim, scale = most["dim"], math.sqrt(most["m"])
+    dim = max(dim, asked.agg(F.max(F.size("v"))).first()[0] or 0)
     # the smallest ids of each distinct vector: no more of them can be in one result
     few = W.partitionBy("v").orderBy("vec_id")
     distinct = entries.groupBy("v", "vec_id").agg(F.lit(1)).select("v", "vec_id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= top + 1)
     distinct = distinct.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct, distinct_path = materialize(distinct, "ann-vectors")
-    size = distinct.count()
-    a, b = projections(dim, functions_for(size))
-    packs, packs_path = materialize(_packed(_hashed(distinct, a, b, scale), BLOCK, "ids", "array<bigint>", "es"), "ann-index")
     asked = asked.select(F.col("vec_id").alias("qid"), "v").dropDuplicates()
-    probes = _packed(_probed(asked, a, b, radius, reach), BATCH, "qid", "bigint", "qs")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = fit(distinct, asked, distinct.count(), dim, scale, top, target)
+    packs, packs_path = materialize(_packed(_hashed(distinct, index, dim, kind), BLOCK, "ids", "array<bigint>", "es", dim, real), "ann-index")
+    probes = _packed(_probed(asked, index, dim, kind), BATCH, "qid", "bigint", "qs", dim, real)
     pairs = probes.join(packs, ["t", "bucket"])
-    found, found_path = materialize(_ranked(_best(pairs, dim, top + 1), top), "ann-found")
-    # a query that has found fewer than it is due meets all blocks of the first table
+    found, found_path = materialize(_ranked(_best(pairs, dim, top + 1, real), top), "ann-found")
+    # a query that has found fewer than it is due meets the first table, whole, in numbered blocks
     have = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     short = asked.join(have, "qid", "left").where(F.coalesce("n", F.lit(0)) < top).select("qid", "v")
-    lacking = short.count()
-    if lacking:
-        rest = _packed(short.withColumn("t", F.lit(0)).withColumn("bucket", F.lit(0).cast("long")), BATCH, "qid", "bigint", "qs").select("qs", "qs_v").repartition(n)
-        all_pairs = rest.join(packs.where("t = 0").select("es", "es_v"))
-        again = _ranked(_best(all_pairs, dim, top + 1), top)
+    if short.count():
+        whole = packs.where("t = 0").select("es", "es_v")
+        blocks = max(1, whole.count() // 16)
+        rest = _packed(short.withColumn("t", F.lit(0)).withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(64))), BATCH, "qid", "bigint", "qs", dim, real).select("qs", "qs_v")
+        rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = rest.join(whole.withColumn("block", F.pmod(F.xxhash64("es_v"), F.lit(blocks)).cast("int")), "block")
+        again = _ranked(_best(met, dim, top + 1, real), top)
         found = found.join(short.select("qid").distinct(), "qid", "left_anti").select("qid", "rank", "vec_id", "score").unionByName(again.select("qid", "rank", "vec_id", "score"))
-    release(spark, distinct_path)
+        found, again_path = materialize(found, "ann-found")
+        release(spark, found_path)
+    release(spark, distinct_path, packs_path)
     return found.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

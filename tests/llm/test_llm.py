@@ -186,6 +186,11 @@ def test_ann_recall_and_order(spark):
     assert hit / 600 >= 0.9 and 9000 not in got and 9001 not in got
 
 
+def _exact(x, ids, q, top):
+    s = x.astype(float) @ x[q].astype(float)
+    return [(int(ids[j]), s[j]) for j in sorted((j for j in range(len(x)) if j != q), key=lambda j: (-s[j], ids[j]))[:top]]
+
+
 def test_ann_small_and_empty(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     got = ann.neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()
@@ -193,6 +198,48 @@ def test_ann_small_and_empty(spark):
     assert ann.neighbours(df.where("false"), df.where("false")).count() == 0
 
 
+def test_ann_doubles_lengths_signs_and_clashing_columns(spark):
+    rows = [(1, [0.17, 0.1]), (2, [-1.0, 0.3]), (3, [1.0]), (4, [2.0, 0.5, 0.1]), (5, [1.0, 0.0]), (6, [-1.0, 0.3])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, v string")
+    got = [(r["vec_id"], r["score"]) for r in ann.neighbours(df, df.where("vec_id = 3")).orderBy("rank").collect()]
+    # the shorter vector ends in zeros; ties (2 and 6) go to the smaller id; doubles are exact
+    assert got == [(4, 2.0), (5, 1.0), (1, 0.17), (2, -1.0), (6, -1.0)]
+
+
+def test_ann_clustered_data_visits_little(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(100, 24))
+    x = (np.repeat(centre, 40, axis=0) + rng.normal(size=(4000, 24)) * 0.05).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 100 = 0")
+    got = {}
+    for r in ann.neighbours(df, asked).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len({i for i, _ in _exact(x, range(4000), q, 20)} & got[q]) for q in range(0, 4000, 100))
+    assert hit / 800 >= 0.9
+    # share of the table that the fitted index scores for a query, over both tables
+    norm = float(np.linalg.norm(x, axis=1).max())
+    entries = df.selectExpr("embedding as v", "array(vec_id) as ids")
+    index = ann.fit(entries, asked.selectExpr("vec_id as qid", "embedding as v"), 4000, 24, norm)
+    scored = 0
+    for t in range(ann.TABLES):
+        own = ann.bucket_ids(np.floor(index.places(x.astype(float), t, False)))
+        size = dict(zip(*(z.tolist() for z in np.unique(own, return_counts=True))))
+        for place in index.places(x[::100].astype(float), t, True):
+            slots, _ = ann.probe_slots(place, index.width, index.radius, index.reach)
+            scored += sum(size.get(b, 0) for b in ann.bucket_ids(np.array(slots)).tolist())
+    print("scored share", scored / 40 / 4000, "k", index.a.shape[2], "reach", index.reach)
+    assert scored / 40 / 4000 < 0.1
+
+
+def test_probe_order_is_by_success():
+    place = np.array([0.1, 5.55, -2.3])
+    slots, sums = ann.probe_slots(place, 1.0, 0.5, 0.999)
+    p = np.diff([0.0, *sums])
+    assert len({tuple(s) for s in slots}) == len(slots) and (np.diff(p) <= 1e-12).all() and sums[-1] >= 0.999
+
+
 def test_html_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a>Home</a></nav><div class='ad'>Buy</div>"

@@ -130,6 +130,48 @@ def test_simhash_groups(spark):
     assert got == sorted(brute.near_groups(rows, 4))
 
 
+def test_covering_sets():
+    from itertools import combinations
+
+    for most in range(1, 8):
+        sets = simhash.covering(most)
+        assert all(any(set(x) <= set(y) for x in sets) for y in combinations(range(8), 8 - most))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_simhash_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(31)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(30)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()
+
+    def groups(pairs):
+        parent = {f: f for f in fps}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return {f: root(f) for f in fps}
+
+    pairs = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in got]
+    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    assert groups(pairs) == groups([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+
+
+def test_simhash_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "A b c d e"), (7, "A b c d e"), (None, "x y z w q"), (8, "é É")]
+    got = sorted(simhash.near_duplicates(frame(spark, rows)).collect(), key=str)
+    a, x = (f"{brute.simhash(t):016x}" for t in ("a b c d e", "x y z w q"))
+    e = f"{simhash.fingerprint('é É'):016x}"
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a, 7)] * 2 + [(7, a, 7)] * 2 + [(None, x, None), (8, e, 8)], key=str)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 21), (5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}

@@ -57,9 +57,22 @@ def release(spark: SparkSession, *paths: str) -> None:
 
 
 def row_key(*cols: str) -> Column:
-    """A key for a row's id and text together. Rows that repeat share it, and whatever holds for
-    one of them holds for the other; equal ids with different texts stay apart."""
-    return F.xxhash64(*cols)
+    """A key of 128 bits (binary) for some columns of a row together, such as its id and text. Rows
+    that repeat share it, and whatever holds for one of them holds for the other; equal ids with
+    different texts stay apart."""
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *cols)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none clashes with a column (case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -14,8 +14,11 @@ Retrieved items are verified on the words: four fifths of the 5-word shingles of
 of the answer, must stand in the passage. An item's answer is its last sentence (its last quarter if
 it has only one), the question what comes before.
 
-The index of one block of items (`MAX_ITEMS` at most) goes to the executors with the task; a larger
-benchmark is searched in as many rounds.
+Document frequencies, the number of items and their mean length are of all items together, counted
+by Spark. The items are then dealt into index blocks: by length (the passages that meet a block are
+as long as its longest item, so one long item does not lengthen the passages of all others), and by
+words, about BLOCK_WORDS at most. A block is one row of a written table and is broadcast by itself,
+its size so bounded; small blocks share a pass over the texts. No number of items changes a score.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read, slices, spread
+from .common import materialize, read, release, slices, spread
 
 K1, B, THETA, SHINGLE, OVERLAP = 1.2, 0.75, 0.6, 5, 0.8
-MAX_ITEMS, BLOCKS, STRIDE, MEMO = 20_000, 100, 64, 1 << 19
+BLOCK_WORDS, BLOCKS, STRIDE, MEMO = 500_000, 100, 64, 1 << 19
 _EDGE = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
@@ -54,10 +58,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def idf_of(items: int, holding: int) -> float:
+    """Inverse document frequency of a word that `holding` of `items` test items hold."""
+    return float(np.log(1 + (items - holding + 0.5) / (holding + 0.5)))
+
+
 class ItemIndex:
-    """Inverted index of test items with impacts and block maxima."""
+    """Inverted index of a block of test items with impacts and block maxima. idf and mean are those
+    of all items; where none are given the block is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], idf: dict[str, float] | None = None, mean: float | None = None):
         self.ids = [i for i, _ in items]
         words = [terms_of(t) for _, t in items]
         self.vocab: dict[str, int] = {}
@@ -65,9 +75,10 @@ class ItemIndex:
             for t in w:
                 self.vocab.setdefault(t, len(self.vocab))
         self.stride = max(STRIDE, max(map(len, words), default=0))
-        n, mean = len(items), sum(map(len, words)) / max(1, len(items))
-        df = Counter(t for w in words for t in set(w))
-        idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        n = len(items)
+        if idf is None:
+            mean = sum(map(len, words)) / max(1, n)
+            idf = {t: idf_of(n, d) for t, d in Counter(t for w in words for t in set(w)).items()}
         size = -(-n // BLOCKS) if n else 1
         self.block_size = size
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.vocab]
@@ -184,50 +195,95 @@ def search(texts: list[np.ndarray], index: ItemIndex, theta: float = THETA) -> l
     return [(*k, *v) for k, v in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", theta: float = THETA, max_items: int = MAX_ITEMS) -> DataFrame:
+def index_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
+    """block, ids (strings of the items' numbers), texts, idf (of the block's words), mean: the table
+    of index blocks, and the paths to release. Items without words are left out; equal rows are one."""
+    spark = items.sparkSession
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def count(batches):
+        for b in batches:
+            words = [terms_of(t) if t else [] for t in b[1].to_pylist()]
+            yield pa.record_batch([b[0], b[1].cast(pa.string()), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["i", "t", "n", "terms"])
+
+    rows = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).dropDuplicates(["i", "t"])
+    rows, rows_path = materialize(rows.mapInArrow(count, f"i {kind}, t string, n long, terms array<string>").where("n > 0"), "items-words")
+    total = rows.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), F.sum("n").alias("words")).first()
+    # lengths up to a stride are one class, then one for each doubling
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / STRIDE))).cast("int")
+    sizes = rows.groupBy(level.alias("level")).agg(F.ceil(F.sum("n") / (block_words * 0.8)).cast("int").alias("parts"))
+    dealt = rows.withColumn("level", level).join(F.broadcast(sizes), "level").withColumn("part", F.pmod(F.xxhash64("i", "t"), F.col("parts")))
+    dealt = dealt.select(F.format_string("%d-%d", "level", "part").alias("block"), "i", "t", "terms")
+    dealt, dealt_path = materialize(dealt, "items-dealt")
+    df = dealt.select("block", F.explode("terms").alias("term"))
+    holding = df.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    per_block = df.distinct().join(holding, "term").groupBy("block").agg(F.collect_list("term").alias("terms"), F.collect_list("d").alias("d"))
+    texts = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("items"))
+    blocks = texts.join(per_block, "block").select("block", "items", "terms", "d", F.lit(total["items"]).cast("long").alias("all_items"), F.lit(total["mean"]).cast("double").alias("mean"))
+    blocks, blocks_path = materialize(blocks, "items-blocks")
+    release(spark, rows_path, dealt_path)
+    return blocks, [blocks_path]
+
+
+def _search_blocks(rows: list[dict], batches, id_col: str, item_type, theta: float):
+    """Hits of all texts of some batches in some index blocks."""
+
+    class Number(dict):
+        """Word -> number in a block's vocabulary, its size for any other word, -1 for none."""
+
+        def __init__(self, vocab):
+            super().__init__()
+            self.vocab = vocab
+
+        def __missing__(self, word):
+            if len(self) > MEMO:
+                self.clear()
+            bare = term(word)
+            self[word] = v = self.vocab.get(bare, len(self.vocab)) if bare else -1
+            return v
+
+    indexes = []
+    for row in rows:
+        idf = {t: idf_of(row["all_items"], d) for t, d in zip(row["terms"], row["d"])}
+        index = ItemIndex([(x["i"], x["t"]) for x in row["items"]], idf, row["mean"])
+        indexes.append((index, Number(index.vocab)))
+    for batch in batches:
+        for b in slices(batch, "text"):
+            words = [t.lower().split() if t else [] for t in b["text"].to_pylist()]
+            for index, number in indexes:
+                texts = [np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in words]
+                hits = search([v[v >= 0] for v in texts], index, theta)
+                ids = b[id_col].take(pa.array([h[0] for h in hits], pa.int64()))
+                cols = [ids, pa.array([index.ids[h[1]] for h in hits], item_type)]
+                yield pa.record_batch([*cols, *(pa.array([h[i] for h in hits], pa.float64()) for i in (2, 3, 4))], names=[id_col, "item_id", "score", "question_overlap", "answer_overlap"])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", theta: float = THETA, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, item_id, score, question_overlap, answer_overlap: one row for each text (row) and test
-    item that stands in it.
+    item that stands in it. Item ids may be of any type.
 
-    Null and empty texts and items match nothing. Repeated rows give a row each. An empty table on
-    either side gives an empty result. Extra columns are left out.
+    Null and empty texts and items match nothing. Texts are searched whole, however long. Repeated
+    rows give a row each; repeated items count once. An empty table on either side gives an empty
+    result. Extra columns are left out.
     """
+    spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     ddl = f"`{id_col}` {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
-    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    rounds = max(1, -(-items.count() // max_items))
-    docs = spread(docs.select(F.col(id_col), F.col(text_col).alias("text")))
-    found = None
-    for r in range(rounds):
-        part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == r)
-        block = sorted((x["i"], x["t"]) for x in part.collect() if terms_of(x["t"]))
-
-        def run(batches, block=block):
-            index = ItemIndex(block)
-            other = len(index.vocab)
-
-            class Number(dict):
-                def __missing__(self, word):
-                    if len(self) > MEMO:
-                        self.clear()
-                    bare = term(word)
-                    self[word] = v = index.vocab.get(bare, other) if bare else -1
-                    return v
-
-            number = Number()
-            for batch in batches:
-                for b in slices(batch, "text"):
-                    texts = []
-                    for t in b["text"].to_pylist():
-                        w = t.lower().split() if t else []
-                        v = np.fromiter(map(number.__getitem__, w), np.int32, len(w))
-                        texts.append(v[v >= 0])
-                    hits = search(texts, index, theta)
-                    ids = b[id_col].take(pa.array([h[0] for h in hits], pa.int64()))
-                    cols = [ids, pa.array([index.ids[h[1]] for h in hits]).cast(pa.int64() if item_kind == "bigint" else pa.string() if item_kind == "string" else pa.int32())]
-                    yield pa.record_batch([*cols, *(pa.array([h[i] for h in hits], pa.float64()) for i in (2, 3, 4))], names=[id_col, "item_id", "score", "question_overlap", "answer_overlap"])
-
-        got = docs.mapInArrow(run, ddl)
-        found = got if found is None else found.unionByName(got)
+    blocks, _ = index_blocks(items, item_id, item_text, block_words)
+    docs = spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text")))
+    found = spark.createDataFrame([], ddl)
+    sizes = blocks.select("block", F.aggregate("items", F.lit(0), lambda n, x: n + F.size(F.split(x["t"], r"\s+"))).alias("n")).orderBy("block").collect()
+    passes, room = [], 0
+    for r in sizes:
+        if r["n"] > room:
+            passes.append([])
+            room = block_words
+        passes[-1].append(r["block"])
+        room -= r["n"]
+    for names in passes:
+        sent = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in blocks.where(F.col("block").isin(names)).orderBy("block").collect()])
+        found = found.unionByName(docs.mapInArrow(lambda batches, sent=sent: _search_blocks(sent.value, batches, id_col, item_type, theta), ddl))
     return found
 
 

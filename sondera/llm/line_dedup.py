@@ -24,15 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release, row_key, spread
+from .common import fresh, materialize, read, release, row_key, spread
 from .simhash import components
 
 MAX_EDITS, MIN_CHARS, FUZZY_CHARS, BLOCK, SALT = 2, 8, 24, 128, 16
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), 1) >> 1
+def line_id(line: str) -> tuple[int, int]:
+    """A line's 128 bits, as two signed numbers. The first half alone is what the index holds."""
+    d = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"), 1)
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -114,21 +116,22 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """id, key, n, line of every line that takes part; docs: id, key, text."""
+    """id, key, n, line, half of every line that takes part; docs: id, key, text."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            at, n, lid = [], [], []
+            at, n, lid, half = [], [], [], []
             for i, t in enumerate(b[2].to_pylist()):
                 for k, s in lines_of(t) if t else ():
                     at.append(i)
                     n.append(k)
-                    lid.append(line_id(s))
+                    for column, x in zip((lid, half), line_id(s)):
+                        column.append(x)
             at = pa.array(at, pa.int64())
-            yield pa.record_batch([b[0].take(at), b[1].take(at), pa.array(n, pa.int32()), pa.array(lid, pa.int64())], names=["id", "key", "n", "line"])
+            yield pa.record_batch([b[0].take(at), b[1].take(at), pa.array(n, pa.int32()), pa.array(lid, pa.int64()), pa.array(half, pa.int64())], names=["id", "key", "n", "line", "half"])
 
-    return spread(docs.select("id", "key", "text")).mapInArrow(run, f"id {kind}, key long, n int, line long")
+    return spread(docs.select("id", "key", "text")).mapInArrow(run, f"id {kind}, key binary, n int, line long, half long")
 
 
 def _keys(docs: DataFrame, max_edits: int, probes: bool) -> DataFrame:
@@ -138,7 +141,7 @@ def _keys(docs: DataFrame, max_edits: int, probes: bool) -> DataFrame:
             k, lid, seen = [], [], set()
             for t in b[0].to_pylist():
                 for _, s in lines_of(t) if t else ():
-                    if len(s) >= FUZZY_CHARS and (i := line_id(s)) not in seen:
+                    if len(s) >= FUZZY_CHARS and (i := line_id(s)[0]) not in seen:
                         seen.add(i)
                         got = make(s.encode("utf-32-le", "surrogatepass"), len(s), max_edits)
                         k += got
@@ -149,24 +152,26 @@ def _keys(docs: DataFrame, max_edits: int, probes: bool) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, text of lines (line, key, n of one occurrence each)."""
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
+    """line, node (the line's 128 bits), text of lines (line, half, key, n of one occurrence each)."""
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("line", "half", "n")).alias("lines"))
 
     def run(batches):
         for b in batches:
-            lid, text = [], []
+            lid, node, text = [], [], []
             for t, found in zip(b[0], b[1].to_pylist()):
                 lines = t.as_py().split("\n")
                 for x in found:
                     lid.append(x["line"])
+                    node.append(x["line"].to_bytes(8, "big", signed=True) + x["half"].to_bytes(8, "big", signed=True))
                     text.append(lines[x["n"]].strip(_SPACE))
-            yield pa.record_batch([pa.array(lid, pa.int64()), pa.array(text, pa.string())], names=["line", "line_text"])
+            yield pa.record_batch([pa.array(lid, pa.int64()), pa.array(node, pa.binary()), pa.array(text, pa.string())], names=["line", "node", "line_text"])
 
-    return docs.join(per_text.hint("shuffle_hash"), "key").select("text", "lines").mapInArrow(run, "line long, line_text string").dropDuplicates(["line"])
+    return docs.join(per_text.hint("shuffle_hash"), "key").select("text", "lines").mapInArrow(run, "line long, node binary, line_text string").dropDuplicates(["node"])
 
 
-def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """a, b: links between different lines whose closure is that of all pairs within max_edits."""
+def similar(docs: DataFrame, first: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """a, b: links between different lines (their 128 bits) whose closure is that of all pairs within
+    max_edits. first: line, half, first (an occurrence) of every line."""
     spark = docs.sparkSession
     index, index_path = materialize(_keys(docs, max_edits, False), "lines-keys")
     by_key = index.groupBy("k").agg(F.min("line").alias("low"), F.max("line").alias("high"))
@@ -176,22 +181,22 @@ def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> Dat
     held, held_path = materialize(index.join(hits.select("k").distinct(), "k").select("k", "line").distinct(), "lines-index")
     sides = hits.withColumn("side", F.lit(1)).unionByName(held.withColumn("side", F.lit(0)))
     blocks = sides.groupBy("k").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"b{s}") for s in (0, 1)))
-    wanted = seen.join(sides.select("line").distinct(), "line").groupBy("line").agg(F.min(F.struct("key", "n")).alias("o")).select("line", "o.key", "o.n")
+    wanted = first.join(sides.select("line").distinct(), "line").select("line", "half", "first.key", "first.n")
     texts, texts_path = materialize(_texts(docs, wanted), "lines-texts")
     spread_out = sides.join(blocks, "k").join(texts, "line")
-    own = F.pmod(F.xxhash64("line"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
     spread_out = spread_out.withColumn("own", own).withColumn("other", other)
     cell = F.when(F.col("side") == 0, F.struct(F.col("own").alias("i"), F.col("other").alias("p"))).otherwise(F.struct(F.col("other").alias("i"), F.col("own").alias("p")))
-    cells = spread_out.groupBy("k", cell.alias("cell")).agg(F.collect_set(F.struct("side", "line", "line_text")).alias("lines"))
+    cells = spread_out.groupBy("k", cell.alias("cell")).agg(F.collect_set(F.struct("side", "node", "line_text")).alias("lines"))
 
     def run(batches):
         for b in batches:
             a, z = [], []
             for lines in b[0].to_pylist():
-                left = [(x["line"], x["line_text"]) for x in lines if x["side"] == 0]
-                right = [(x["line"], x["line_text"]) for x in lines if x["side"] == 1]
-                parent: dict[int, int] = {}
+                left = [(x["node"], x["line_text"]) for x in lines if x["side"] == 0]
+                right = [(x["node"], x["line_text"]) for x in lines if x["side"] == 1]
+                parent: dict[bytes, bytes] = {}
 
                 def root(i):
                     while parent.setdefault(i, i) != i:
@@ -205,9 +210,9 @@ def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> Dat
                             parent[max(p, q)] = min(p, q)
                             a.append(i)
                             z.append(j)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(z, pa.binary())], names=["a", "b"])
 
-    links, _ = materialize(cells.select("lines").mapInArrow(run, "a long, b long"), "lines-links")
+    links, _ = materialize(cells.select("lines").mapInArrow(run, "a binary, b binary"), "lines-links")
     release(spark, index_path, hits_path, held_path, texts_path)
     return links
 
@@ -215,36 +220,40 @@ def similar(docs: DataFrame, seen: DataFrame, max_edits: int = MAX_EDITS) -> Dat
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
     """docs with the text's repeated lines removed; `n_lines` and `n_removed` are added.
 
-    Lines are parted by line feeds and compared without the ASCII white space at their edges; those
-    of fewer than MIN_CHARS characters, and blank ones, always stay. Null texts stay null. Rows that
-    repeat, id and text alike, count as one and are treated alike. A null id comes first in the order
-    of occurrences. An empty table gives an empty result. Columns named n_lines and n_removed are
-    replaced; all others stay.
+    Lines are parted by line feeds and compared, whole however long, without the ASCII white space at
+    their edges; those of fewer than MIN_CHARS characters, and blank ones, always stay. Null texts
+    stay null. Rows that repeat, id and text alike, count as one and are treated alike. A null id
+    comes first in the order of occurrences. An empty table gives an empty result. Columns named
+    n_lines and n_removed are replaced; all others stay, whatever their names.
     """
     spark = docs.sparkSession
-    keyed = docs.drop("n_lines", "n_removed").withColumn("__key", row_key(id_col, text_col))
-    slim = keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    docs = docs.drop("n_lines", "n_removed")
+    key, gone_at = fresh(docs.columns, "__key", "__gone")
+    keyed = docs.withColumn(key, row_key(f"`{id_col}`", f"`{text_col}`"))
+    slim = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{key}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
     seen, seen_path = materialize(occurrences(slim), "lines-seen")
-    links = similar(slim, seen, max_edits)
-    roots, _ = components(links, "lines-classes")
+    at = F.struct("id", "key", "n")
+    first, first_path = materialize(seen.groupBy("line", "half").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines-first")
+    links = similar(slim, first, max_edits)
+    roots, paths = components(links, "lines-classes")
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    first = seen.groupBy("line").agg(F.min(F.struct("id", "key", "n")).alias("first"), F.max(F.struct("id", "key", "n")).alias("last"))
-    classes = first.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("root", "line"))
-    several = classes.where("root is not null").groupBy("class").agg(F.min("first").alias("keeper"))
-    repeats = classes.where("root is not null").select("line", "class").join(several, "class").select("line", "keeper")
-    repeats = repeats.unionByName(classes.where("root is null and first <> last").select("line", F.col("first").alias("keeper")))
+    node = F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in ("line", "half"))))
+    classes = first.withColumn("node", node).join(roots, "node", "left")
+    several = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("keeper"))
+    repeats = classes.where("root is not null").select("line", "half", "root").join(several, "root").select("line", "half", "keeper")
+    repeats = repeats.unionByName(classes.where("root is null and first <> last").select("line", "half", F.col("first").alias("keeper")))
     # a line that a third of all texts have is met in SALT tasks
-    salted = seen.withColumn("salt", F.pmod(F.col("key"), F.lit(SALT)).cast("int"))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int"))
     repeats = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    gone = salted.join(repeats, ["line", "salt"]).where(~F.struct("id", "key", "n").eqNullSafe(F.col("keeper")))
-    per_text, _ = materialize(gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("n").alias("__gone")), "lines-gone")
-    release(spark, seen_path)
-    fields = [f for f in keyed.schema.fields if f.name != "__key"]
+    gone = salted.join(repeats, ["line", "half", "salt"]).where(~at.eqNullSafe(F.col("keeper")))
+    per_text, _ = materialize(gone.groupBy(F.col("key").alias(key)).agg(F.collect_set("n").alias(gone_at)), "lines-gone")
+    release(spark, seen_path, first_path, *paths)
+    fields = docs.schema.fields
 
     def run(batches):
         for b in batches:
             texts, n_lines, n_removed = [], [], []
-            for t, found in zip(b[text_col].to_pylist(), b["__gone"].to_pylist()):
+            for t, found in zip(b[text_col].to_pylist(), b[gone_at].to_pylist()):
                 lines = t.split("\n") if t is not None else []
                 n_lines.append(len(lines))
                 n_removed.append(len(found) if found else 0)
@@ -256,7 +265,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([*cols, pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())], names=[*(f.name for f in fields), "n_lines", "n_removed"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_lines int, n_removed int"])
-    return keyed.join(per_text.hint("shuffle_hash"), "__key", "left").drop("__key").mapInArrow(run, ddl)
+    return keyed.join(per_text.hint("shuffle_hash"), key, "left").drop(key).mapInArrow(run, ddl)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,37 @@ def near_groups(rows, bits):
     for x, (i, _) in enumerate(fps):
         least[root(x)] = min(least.get(root(x), i), i)
     return [(i, f"{f:016x}", least[root(x)]) for x, (i, f) in enumerate(fps)]
+
+
+def leaks(docs, items, module):
+    """(doc, item) -> BM25 share of every passage against every item, verified on words."""
+    import math
+
+    texts = {i: module.terms_of(t) for i, t in items}
+    mean = sum(map(len, texts.values())) / len(texts)
+    df = Counter(w for t in texts.values() for w in set(t))
+    idf = {w: math.log(1 + (len(texts) - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    out = {}
+    for i, t in docs:
+        words = module.terms_of(t)
+        for j, item in items:
+            n, stride = len(texts[j]), module.STRIDE
+            while stride < n:
+                stride *= 2
+            longest = max(len(x) for x in texts.values() if len(x) <= stride and (stride == module.STRIDE or len(x) > stride // 2))
+            stride = max(module.STRIDE, longest)
+            norm = module.K1 * (1 - module.B + module.B * n / mean)
+            impact = {w: idf[w] * k * (module.K1 + 1) / (k + norm) for w, k in Counter(texts[j]).items()}
+            parts = module.question_and_answer(dict(items)[j])
+            for at in range(0, len(words), stride):
+                passage = words[at : at + 2 * stride]
+                score = sum(x for w, x in impact.items() if w in set(passage)) / sum(impact.values())
+                shares = []
+                for p in parts:
+                    k = min(module.SHINGLE, len(p))
+                    grams = {tuple(p[a : a + k]) for a in range(len(p) - k + 1)} if k else set()
+                    have = {tuple(passage[a : a + k]) for a in range(len(passage) - k + 1)}
+                    shares.append(len(grams & have) / len(grams) if grams else 1.0)
+                if score >= module.THETA - 1e-6 and min(shares) >= module.OVERLAP:
+                    out[i, j] = max(score, out.get((i, j), 0))
+    return out

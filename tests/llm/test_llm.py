@@ -116,6 +116,13 @@ def test_line_dedup(spark):
     assert got == brute.kept_lines(rows, line_dedup.MIN_CHARS, line_dedup.FUZZY_CHARS, 2)
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    line = "the same long line of text here"
+    df = spark.createDataFrame([(1, line, 5, 6), (2, line + "\n" + line, 7, 8)], "doc_id long, text string, __key int, __gone int")
+    got = sorted(map(tuple, line_dedup.dedup_lines(df).select("doc_id", "text", "__key", "__gone", "n_removed").collect()))
+    assert got == [(1, line, 5, 6, 0), (2, "", 7, 8, 2)]
+
+
 def test_line_dedup_edges(spark):
     rows = [(1, None), (2, ""), (3, "the same long line of text here"), (3, "the same long line of text here"), (None, "another line of some length")]
     got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()), key=str)
@@ -188,8 +195,38 @@ def test_decontamination(spark):
     docs += [(20, None), (21, "")]
     got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(2, 4), (3, 7)]
-    blocks = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), max_items=3)
-    assert sorted((r["doc_id"], r["item_id"]) for r in blocks.collect()) == [(2, 4), (3, 7)]
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()}
+    blocks = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=60)
+    # how the items are cut into blocks changes no score
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["score"], abs=1e-9) for r in blocks.collect()} == found
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(19)
+    vocab = words(rng, 300).split()
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.randint(8, 30)).capitalize() + ". " + text(rng.randint(3, 9)).capitalize() + ".") for i in range(30)] + [(99, text(300) + ". " + text(10) + ".")]
+    docs = []
+    for i in range(25):
+        w = text(rng.randint(20, 260)).split()
+        for item in rng.sample(items, rng.randint(0, 2)):
+            piece = item[1].split()
+            for j in rng.sample(range(len(piece)), rng.randint(0, 3)):
+                piece[j] = rng.choice(vocab)
+            w[len(w) // 2 : len(w) // 2] = piece
+        docs.append((i, " ".join(w)))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.leaks(docs, items, decontaminate)
+    assert len(got) > 5 and {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("kind,ids", [("smallint", [1, 2]), ("decimal(10,2)", ["1.50", "2.50"]), ("string", ["a", "b"])])
+def test_decontamination_item_ids_of_any_type(spark, kind, ids):
+    rng = random.Random(20)
+    a, b = words(rng, 20) + ". " + words(rng, 8), words(rng, 20) + ". " + words(rng, 8)
+    items = spark.createDataFrame([(ids[0], a), (ids[1], b), (ids[1], b)], "i string, text string").selectExpr(f"cast(i as {kind}) as item_id", "text", "1 as score")
+    got = decontaminate.contaminated(frame(spark, [(1, words(rng, 40) + " " + b), (1, words(rng, 40) + " " + b), (None, a)]), items).collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in got) == [("1", str(ids[1]))] * 2 + [("None", str(ids[0]))]
 
 
 def test_wand_finds_all_above_threshold():
@@ -414,6 +451,26 @@ def test_pipeline(spark, tmp_path):
     assert set(P.run(spark, f"file://{tmp_path}").columns) >= set(P.COLUMNS)
 
 
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(29)
+    leak = words(rng, 25).capitalize() + ". " + words(rng, 9).capitalize() + "."
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, b + " " + leak), (7, b), (7, leak), (7, c), (8, None), (8, "")]
+    got = P.drop_leaks(spark, frame(spark, rows), f"file://{tmp_path}").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t in [(None, a), (7, b), (7, c), (8, None), (8, "")])
+    # as many rows as the mix takes, also with repeated rows and ids
+    rows = [(7, a), (7, a), (7, b), (None, a), (None, c), (5, None)] + [(10 + i, words(rng, 20)) for i in range(10)]
+    docs = frame(spark, rows)
+    mixed = P.mix_sources(spark, docs, "")
+    assert mixed.count() == mixing.mix(P._keyed(docs), id_col="row").count()
+    empty = docs.where("false")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
+
+
 def test_pipeline_near_copies_of_similarity_08(spark):
     import corpus_pipeline as P
 

@@ -5,12 +5,14 @@ A fixed public vocabulary gives the pieces; each language has a probability for
 pieces of the product of their probabilities; a text's likelihood is the product over its words.
 Characters that no piece covers fall back on one shared unknown probability.
 
-Training is expectation-maximisation on a bounded sample of the labelled rows (`max_train_docs`, by
-the smallest hashes of text): the expected number of uses of each piece is summed over all
+Training is expectation-maximisation on a bounded sample of the labelled rows: of each language its
+rows of smallest hash, the same share of each but FLOOR_DOCS at least where it has them, about
+MAX_TRAIN_DOCS in all (and the floors beside). The expected number of uses of each piece is summed over all
 segmentations by the forward-backward algorithm, on the executors, from (language, word, count)
 rows; the driver only sees piece counts, at most the vocabulary times the languages.
 
-Scoring reads whole texts. A word's scores are computed once a task and kept in a bounded memo.
+Every letter piece of the vocabulary is used, and words are scored whole: forward sums are scaled at
+each character, so no word is too long for them. Scoring reads whole texts. A word's scores are computed once a task and kept in a bounded memo.
 """
 
 from __future__ import annotations
@@ -26,21 +28,27 @@ from pyspark.sql import functions as F
 from .common import materialize, read, release, slices, spread
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_TRAIN_DOCS, ROUNDS, SMOOTHING = 5_000, 2, 0.01
-#: Characters of the longest piece that is used.
-LONGEST = 8
+MAX_TRAIN_DOCS, FLOOR_DOCS, ROUNDS, SMOOTHING = 5_000, 200, 2, 0.01
 #: Words in the memo of a task.
 MEMO = 1 << 19
-_WORD = re.compile(r"[^\W\d_]+")
+_NOT_SPACE = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
-#: Words longer than this are scored piecewise, each part a word's inside.
-_LONG = 64
 _UNKNOWN = 1e-7
+#: Characters that are scored at once, so that a word of any length needs bounded memory.
+_AT_ONCE = 1 << 18
+
+
+def letter_runs(token: str) -> list[str]:
+    """Runs of letters (str.isalpha); signs that regular expressions take for word characters, as
+    ½, ² or ⅷ, are none."""
+    if token.isalpha():
+        return [token]
+    return [w for run in _NOT_SPACE.findall(token) for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 @lru_cache(2)
 def pieces(path: str = VOCABULARY) -> dict[str, int]:
-    """Piece -> number, of the letters-only pieces of up to LONGEST characters in lower case."""
+    """Piece -> number, of the letters-only pieces in lower case."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,7 +57,7 @@ def pieces(path: str = VOCABULARY) -> dict[str, int]:
         if sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i):
             continue
         p = sp.id_to_piece(i).lower()
-        if len(p) <= LONGEST and (p == _MARK or _WORD.fullmatch(p.removeprefix(_MARK))):
+        if p == _MARK or p.removeprefix(_MARK).isalpha():
             out.setdefault(p, len(out))
     return out
 
@@ -61,7 +69,7 @@ class Lookup:
     BITS, BASE = 20, np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocab: dict[str, int]):
-        self.n = len(vocab)
+        self.n, self.longest = len(vocab), max(map(len, vocab), default=1)
         keys = {self.key(p): i for p, i in vocab.items()}
         assert len(keys) == len(vocab), "two pieces have one key"
         self.tables = []
@@ -95,9 +103,9 @@ class Lookup:
         none, and the number after the last piece stands for an unknown character."""
         n = len(words[0])
         chars = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
-        ids = np.full((len(words), n, LONGEST), -1, np.int32)
+        ids = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
         key = np.zeros_like(chars)
-        for length in range(1, min(LONGEST, n) + 1):
+        for length in range(1, min(self.longest, n) + 1):
             key = key[:, : n - length + 1] * self.BASE + chars[:, length - 1 :]
             ids[:, : n - length + 1, length - 1] = self.find(key)
         one = ids[:, :, 0]
@@ -110,19 +118,13 @@ def lookup(path: str = VOCABULARY) -> Lookup:
     return Lookup(pieces(path))
 
 
-def parts(word: str) -> list[str]:
-    """A word with its mark; one of over 64 characters is cut up, each part scored by itself."""
-    marked = _MARK + word
-    return [marked] if len(marked) <= _LONG else [marked[i : i + _LONG] for i in range(0, len(marked), _LONG)]
-
-
 def _by_length(items: list[str], most: int = 1 << 13):
     order = sorted(range(len(items)), key=lambda i: len(items[i]))
     at = 0
     while at < len(order):
         end = at
         n = len(items[order[at]])
-        while end < len(order) and end - at < most and len(items[order[end]]) == n:
+        while end < len(order) and end - at < max(1, min(most, _AT_ONCE // n)) and len(items[order[end]]) == n:
             end += 1
         yield np.array(order[at:end])
         at = end
@@ -135,14 +137,21 @@ def score_parts(items: list[str], table: Lookup, prob: np.ndarray) -> np.ndarray
     out = np.zeros((len(items), prob.shape[1]))
     for rows in _by_length(items):
         ids, n = table.substrings([items[i] for i in rows])
-        alpha = np.zeros((n + 1, len(rows), prob.shape[1]))
-        alpha[0] = 1
+        # only the last `longest` sums are held, all scaled to the greatest of them
+        reach = min(table.longest, n)
+        alpha, log_scale = [np.ones((len(rows), prob.shape[1]))], np.zeros((len(rows), prob.shape[1]))
+        some = (ids >= 0).any(axis=0)
         for e in range(1, n + 1):
-            for length in range(1, min(LONGEST, e) + 1):
-                i = ids[:, e - length, length - 1]
-                if length == 1 or (i >= 0).any():
-                    alpha[e] += alpha[e - length] * padded[i]
-        out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+            new = np.zeros_like(alpha[0])
+            for length in range(1, min(reach, e) + 1):
+                if some[e - length, length - 1]:
+                    new += alpha[-length] * padded[ids[:, e - length, length - 1]]
+            alpha = [*alpha[-reach + 1 :], new] if reach > 1 else [new]
+            if e % 8 == 0:
+                top = np.maximum.reduce(alpha)
+                alpha = [x / top for x in alpha]
+                log_scale += np.log(top)
+        out[rows] = np.log(alpha[-1]) + log_scale
     return out
 
 
@@ -153,22 +162,33 @@ def expected_uses(items: list[str], lang: np.ndarray, count: np.ndarray, table:
     sums = np.zeros(padded.size)
     for rows in _by_length(items):
         ids, n = table.substrings([items[i] for i in rows])
-        langs, steps = lang[rows], [(s, k) for s in range(n) for k in range(1, min(LONGEST, n - s) + 1)]
+        langs, some = lang[rows], (ids >= 0).any(axis=0)
+        steps = [(s, k) for s in range(n) for k in range(1, min(table.longest, n - s) + 1) if some[s, k - 1]]
         p = {(s, k): padded[ids[:, s, k - 1], langs] for s, k in steps}
+        # a[e] is in units of exp(scale[e]): each place has a scale of its own, b the same with what follows
         a, b = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+        up = np.zeros((n + 1, len(rows)))
         a[0], b[n] = 1, 1
+        into, out_of = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
         for s, k in steps:
-            a[s + k] += a[s] * p[s, k]
-        for s, k in reversed(steps):
-            b[s] += p[s, k] * b[s + k]
-        scale = count[rows] / np.maximum(a[n], 1e-300)
+            into[s + k].append((s, k))
+            out_of[s].append((s, k))
+        for e in range(1, n + 1):
+            base = np.max([up[s] for s, _ in into[e]], axis=0)
+            a[e] = sum(a[s] * p[s, k] * np.exp(up[s] - base) for s, k in into[e])
+            up[e] = base + np.log(a[e])
+            a[e] = 1
+        for s in range(n - 1, -1, -1):
+            # b times what a[s] stands for, over the whole word's sum: the posterior of a cut at s
+            b[s] = sum(p[s, k] * b[s + k] * np.exp(up[s] - up[s + k]) for s, k in out_of[s])
+        scale = count[rows]
         for s, k in steps:
             at = np.where(ids[:, s, k - 1] < 0, len(prob), ids[:, s, k - 1]).astype(np.int64) * prob.shape[1] + langs
-            sums += np.bincount(at, weights=a[s] * p[s, k] * b[s + k] * scale, minlength=sums.size)
+            sums += np.bincount(at, weights=p[s, k] * b[s + k] * np.exp(up[s] - up[s + k]) * scale, minlength=sums.size)
     return sums.reshape(padded.shape)[:-1]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, max_docs: int = MAX_TRAIN_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str = VOCABULARY, max_docs: int = MAX_TRAIN_DOCS, floor_docs: int = FLOOR_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece probabilities (pieces + 1, languages) and log priors, from labelled rows."""
     spark = docs.sparkSession
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -177,9 +197,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path:
     vocab = pieces(path)
     if not langs:
         return [], np.zeros((len(vocab) + 1, 0)), np.zeros(0)
-    # the sample: for each language the same share of hash values, at most max_docs rows in all
+    # the sample: of each language the hashes up to a bound of its own, compared in all 64 bits
     share = min(1.0, max_docs / sum(sizes.values()))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    bound = F.lit(None).cast("long")
+    for x, n in sizes.items():
+        of_lang = min(1.0, max(share, floor_docs / n))
+        bound = F.when(F.col("lang") == F.lit(x), F.lit(min(int(of_lang * 2.0**64) - (1 << 63), (1 << 63) - 1)).cast("long")).otherwise(bound)
+    sample = rows.where(F.xxhash64("text") <= bound)
 
     def count(batches):
         from collections import Counter
@@ -188,9 +212,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path:
             n = Counter()
             for lang, text in zip(b[0].to_pylist(), b[1].to_pylist()):
                 for token, k in Counter(text.split()).items():
-                    for w in _WORD.findall(token.lower()):
-                        for part in parts(w):
-                            n[lang, part] += k
+                    for w in letter_runs(token.lower()):
+                        n[lang, _MARK + w] += k
             if n:
                 yield pa.record_batch([pa.array([k[0] for k in n]), pa.array([k[1] for k in n]), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -240,10 +263,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                     new = list({w for t in tokens for w in t})
                 if new:
                     number.update(zip(new, range(len(number), len(number) + len(new))))
-                    words = [_WORD.findall(w.lower()) for w in new]
-                    pieces_of = [[x for w in ws for x in parts(w)] for ws in words]
-                    flat = [x for ps in pieces_of for x in ps]
-                    owner = np.repeat(np.arange(len(new)), [len(ps) for ps in pieces_of])
+                    words = [letter_runs(w.lower()) for w in new]
+                    flat = [_MARK + w for ws in words for w in ws]
+                    owner = np.repeat(np.arange(len(new)), [len(ws) for ws in words])
                     scores = score_parts(flat, table, prob) if flat else np.zeros((0, len(langs)))
                     known = np.vstack([known, np.column_stack([np.bincount(owner, weights=scores[:, c], minlength=len(new)) for c in range(len(langs))])])
                     sizes = np.concatenate([sizes, [len(ws) for ws in words]])

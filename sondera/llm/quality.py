@@ -33,8 +33,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~!"]] = True
 
 #: (name, statistic, bad from, good up to): at or over the first a vote for bad, at or below the
-#: second one for good, no vote in between. Most can only tell what is bad: that a text has no table
-#: rows in it does not make it a good one.
+#: second one for good, no vote in between. Some can only tell what is bad: that a text has no table
+#: rows in it does not make it a good one. They overlap and may disagree; the label model weighs them.
 LABELLERS = (
     ("symbols", "symbol_share", 0.08, -1.0),
     ("capitals", "upper_share", 0.5, -1.0),
@@ -43,10 +43,13 @@ LABELLERS = (
     ("long words", "mean_word", 12.0, -1.0),
     ("odd ends", "odd_ends", 0.3, 0.1),
     ("stutter", "stutter_share", 0.3, 0.1),
+    ("letters", "unlettered", 0.3, 0.1),
+    ("sentences", "sentence_gap", 0.5, 0.07),
+    ("lines", "line_repeats", 0.5, -1.0),
 )
-STATS = ("symbol_share", "upper_share", "repeat_share", "pipe_share", "mean_word", "odd_ends", "stutter_share")
+STATS = ("symbol_share", "upper_share", "repeat_share", "pipe_share", "mean_word", "odd_ends", "stutter_share", "unlettered", "sentence_gap", "line_repeats")
 #: Bins a unit of each statistic in the scorer's features.
-_BINS = (20, 20, 20, 20, 1, 20, 20)
+_BINS = (20, 20, 20, 20, 1, 20, 20, 20, 20, 20)
 
 
 def statistics(raw: bytes) -> tuple[float, ...]:
@@ -63,6 +66,8 @@ def statistics(raw: bytes) -> tuple[float, ...]:
     last = [w[-1] for w in words]
     odd = sum(x in tails for x in last)
     stutter = sum(map(operator.eq, words, words[1:]))
+    ends = last.count(46) + last.count(63)
+    lines = raw.split(b"\n")
     return (
         int(count[_SYMBOL].sum()) / seen,
         int(count[_UPPER].sum()) / letters if letters >= 20 else 0.0,
@@ -72,6 +77,10 @@ def statistics(raw: bytes) -> tuple[float, ...]:
         letters / n,
         odd / n,
         stutter / n,
+        1 - min(1.0, letters / seen),
+        # from a word in eleven, about what prose has; a few words tell nothing against a text
+        abs(ends / n - 0.09) if n >= 30 else 0.0,
+        1 - len(set(lines)) / len(lines),
     )
 
 
@@ -83,23 +92,27 @@ def votes_of(stats: tuple[float, ...]) -> list[int]:
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Posterior probability of `good` for each pattern (rows of -1, 0, 1), by EM.
 
-    A labeller has three outcomes (abstain, bad, good) with probabilities of their own in either
-    class: that a labeller keeps silent tells something too. EM starts from labellers that call bad
-    what is good once in fifty times, which fixes which class is which."""
+    A labeller has three outcomes (abstain, bad, good) with probabilities of their own in each class:
+    that a labeller keeps silent tells something too. Bad texts are of several kinds, of which most
+    labellers see one: the bad class is a mixture with a kind for each labeller, so that labellers who
+    see a rare kind are not outvoted by the silence of the others. EM starts from labellers that call
+    bad what is good once in fifty times, and from kinds that their labeller calls bad mostly, which
+    fixes which class is which."""
     m = patterns.shape[1]
-    outcome = [(patterns == v).astype(float) for v in (-1, 0, 1)]
-    given_good, given_bad = np.tile([0.49, 0.02, 0.49], (m, 1)), np.tile([0.45, 0.4, 0.15], (m, 1))
-    prior, post = 0.8, np.full(len(patterns), 0.5)
+    outcome = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    given = np.tile([0.45, 0.25, 0.3], (m + 1, m, 1))
+    given[np.arange(m), np.arange(m)] = [0.1, 0.85, 0.05]
+    given[m] = [0.49, 0.02, 0.49]
+    prior, share = np.append(np.full(m, 0.2 / m), 0.8), np.zeros((len(patterns), m + 1))
     for _ in range(rounds):
-        log_good = np.log(prior) + sum(o @ np.log(given_good[:, i]) for i, o in enumerate(outcome))
-        log_bad = np.log(1 - prior) + sum(o @ np.log(given_bad[:, i]) for i, o in enumerate(outcome))
-        post = 1 / (1 + np.exp(np.clip(log_bad - log_good, -700, 700)))
-        for given, w in ((given_good, post * counts), (given_bad, (1 - post) * counts)):
-            # half a pseudo-vote of each kind
-            got = np.stack([w @ o for o in outcome], axis=1) + 0.5
-            given[:] = got / got.sum(axis=1, keepdims=True)
-        prior = float(np.clip((post @ counts + 1) / (counts.sum() + 2), 0.01, 0.99))
-    return post
+        log = np.log(prior) + np.einsum("pio,kio->pk", outcome, np.log(given))
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        # half a pseudo-vote of each outcome
+        given = np.einsum("pk,pio->kio", share * counts[:, None], outcome) + 0.5
+        given /= given.sum(axis=2, keepdims=True)
+        prior = (counts @ share + 1) / (counts.sum() + m + 1)
+    return share[:, m]
 
 
 def _feature_ids(raw: bytes, stats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +174,14 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = MAX_TRAIN_DOC
     got.sort(key=lambda r: r["votes"])
     patterns, counts = np.array([r["votes"] for r in got]), np.array([r["n"] for r in got], float)
     post = dict(zip(map(tuple, patterns.tolist()), label_model(patterns, counts)))
+    # shares of all 64 bits of a hash, so that a sample of the bounded size stays at any number of rows
     share = min(1.0, max_docs / counts.sum())
     # bad rows are rare; they are taken at a higher rate, to an equal number at most
     bad = sum(n for p, n in zip(patterns.tolist(), counts) if post[tuple(p)] < 0.5)
     share_bad = min(1.0, max_docs / max(bad, 1.0))
-    bucket = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000))
-    pool = texts.where(bucket < int(max(share, share_bad) * 1_000_000)).withColumn("u", bucket)
+    bound = lambda x: min(int(x * 2.0**64) - (1 << 63), (1 << 63) - 1)
+    bucket = F.xxhash64(F.coalesce("text", F.lit("")))
+    pool = texts.where(bucket <= F.lit(bound(max(share, share_bad)))).withColumn("u", bucket)
 
     def sample(batches):
         for b in batches:
@@ -174,7 +189,7 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = MAX_TRAIN_DOC
             for text, u in zip(b[0], b[1].to_pylist()):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 good = post.get(tuple(votes_of(statistics(raw))), 0.5)
-                if u < (share if good >= 0.5 else share_bad) * 1_000_000:
+                if u <= bound(share if good >= 0.5 else share_bad):
                     ids, vals = features(raw)
                     t.append((ids, vals))
                     p.append(good)
@@ -220,8 +235,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", column:
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, quality_score, keep of every row.
 
-    Null, empty and blank texts score 0 and are not kept. Repeated rows stay and score alike. An
-    empty table gives an empty result. Extra columns are left out.
+    Null, empty and blank texts score 0 and are not kept. Texts are scored whole, however long; a
+    score at the threshold keeps. Repeated rows stay and score alike. An empty table gives an empty
+    result. Extra columns are left out, also those named quality_score or keep.
     """
     small = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     scored = score(small, train(small), "text").drop("text")

@@ -344,12 +344,12 @@ def test_language_id(spark):
     rng = random.Random(11)
     vocab = {"en": "the of and to in is that for it was on with".split(), "de": "der die und in den von zu das mit sich des auf".split(), "fr": "le la les et des en un du une que est pour".split()}
     rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randint(3, 40))), lang) for i in range(150) for lang in [rng.choice(list(vocab))]]
-    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (903, "der und die mit", None)]
+    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (904, "½ ² ①", None), (903, "der und die mit", None)]
     df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
     got = {r["doc_id"]: r for r in langid.identify(df).collect()}
     right = [got[i]["lang_pred"] == lang for i, t, lang in rows[:150] if got[i]["held_out"]]
     assert sum(right) / len(right) > 0.9
-    assert all(got[i]["lang_pred"] == "und" for i in (900, 901, 902)) and got[903]["lang_pred"] == "de"
+    assert all(got[i]["lang_pred"] == "und" for i in (900, 901, 902, 904)) and got[903]["lang_pred"] == "de"
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
@@ -372,12 +372,49 @@ def test_forward_sums_all_segmentations():
             total += p
         return np.log(total)
 
-    items = ["▁the", "▁und", "▁ñandú", "xyz"]
+    items = ["▁the", "▁und", "▁ñandú", "xyz", "▁information", "▁importants"]
+    assert "▁information" in vocab
     assert np.allclose(langid.score_parts(items, table, prob), [brute_force(w) for w in items])
+    # a word of many unknown characters keeps its own score in each language
+    assert np.allclose(langid.score_parts(["ꙮ" * 200], table, prob), 200 * np.log(prob[-1]))
+    assert langid.letter_runs("½²") == [] and langid.letter_runs("a²b") == ["a", "b"] and langid.letter_runs("don't") == ["don", "t"]
+    many = langid.expected_uses(["▁information" * 40], np.array([1]), np.array([1]), table, prob)
+    assert np.isfinite(many).all() and many[:, 1].sum() > 40
     uses = langid.expected_uses(["▁the"], np.array([0]), np.array([3]), table, prob)
     assert uses[:, 1].sum() == 0 and uses[:, 0].sum() > 0
 
 
+def test_language_id_equals_brute_force(spark):
+    """Predictions over whole texts are the greatest of prior plus the sum of all words' scores."""
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()), max_docs=10**9)
+    langs, prob, prior = model
+    got = {r["doc_id"]: r for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    table, memo = langid.lookup(), {}
+    right = []
+    for r in docs.collect():
+        runs = [w for t in (r["text"] or "").split() for w in langid.letter_runs(t.lower())]
+        if not runs:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        new = sorted(set(runs).difference(memo))
+        memo.update(zip(new, langid.score_parts(["▁" + w for w in new], table, prob) if new else []))
+        total = prior + sum(memo[w] for w in runs)
+        assert got[r["doc_id"]]["lang_pred"] == langs[int(np.argmax(total))]
+        if r["lang"]:
+            right.append(got[r["doc_id"]]["lang_pred"] == r["lang"])
+    assert np.mean(right) > 0.97
+
+
+def test_language_sample_has_a_floor(spark):
+    rows = [(i, f"the of and {i}", "en") for i in range(400)] + [(1000 + i, f"og det som {i}", "da") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prob, _ = langid.train(df, max_docs=4, floor_docs=20)
+    piece = langid.pieces()["▁det"] if "▁det" in langid.pieces() else langid.pieces()["▁som"]
+    assert langs == ["da", "en"] and prob[piece, 0] > 10 * prob[piece, 1]
+
+
 def test_quality(spark):
     rng = random.Random(12)
     good = [(i, words(rng, rng.randint(30, 120)).capitalize() + ".") for i in range(200)]
@@ -389,6 +426,34 @@ def test_quality(spark):
     assert not any(got[i] for i in (2000, 2001, 2002))
 
 
+def test_quality_equals_brute_force_and_labels(spark):
+    """The query's scores are those of a plain run of the same steps, and tell labelled rows apart."""
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    votes = {i: tuple(quality.votes_of(quality.statistics(t))) for i, t in texts.items()}
+    patterns = sorted(set(votes.values()))
+    post = dict(zip(patterns, quality.label_model(np.array(patterns), np.array([list(votes.values()).count(p) for p in patterns], float))))
+    w = quality.fit([quality.features(t) for t in texts.values()], np.array([post[votes[i]] for i in texts]))
+    want = {}
+    for i, t in texts.items():
+        ids, vals = quality.features(t)
+        want[i] = 1 / (1 + np.exp(-(w[ids] @ vals + w[-1]))) if t.strip() else 0.0
+    got = {r["doc_id"]: r["quality_score"] for r in quality.op6_quality(spark, root).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in got)
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{root}/labels.parquet").collect()}
+    good, bad = [got[i] for i in got if label.get(i) == 1], [got[i] for i in got if label.get(i) == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.9 and np.mean([g >= quality.THRESHOLD for g in good]) > 0.98
+
+
+def test_quality_repeats_and_clashing_columns(spark):
+    rng = random.Random(40)
+    rows = [(i, words(rng, 60).capitalize() + ".") for i in range(30)] + [(90, "%% $$ ## " * 30)] * 3 + [(None, "A b.")]
+    df = frame(spark, rows).selectExpr("*", "1 as keep", "'x' as quality_score")
+    got = quality.classify(df).collect()
+    assert len(got) == 34 and len({r["quality_score"] for r in got if r["doc_id"] == 90}) == 1 and not any(r["keep"] for r in got if r["doc_id"] == 90)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(20000) < 0.8

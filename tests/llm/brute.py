@@ -136,3 +136,35 @@ def leaks(docs, items, module):
                 if score >= module.THETA - 1e-6 and min(shares) >= module.OVERLAP:
                     out[i, j] = max(score, out.get((i, j), 0))
     return out
+
+
+def style_tree(pages, module):
+    """path -> composite importance over the distinct pages of one host, by recursion."""
+    import math
+
+    seen = [module.features(module.parse(p)) for p in dict.fromkeys(pages)]
+    styles, texts, parent = {}, {}, {}
+    for i, found in enumerate(seen):
+        for node, up, _, _, kind, feature in found:
+            parent[node] = up
+            if kind == 0:
+                styles.setdefault(node, []).append(feature)
+            else:
+                texts.setdefault(node, {}).setdefault(feature, set()).add(i)
+    kids = {}
+    for node, up in parent.items():
+        if node != up:
+            kids.setdefault(up, []).append(node)
+
+    def composite(node):
+        m = len(styles[node])
+        log = lambda x: math.log(x) / math.log(m) if m > 1 else 0.0
+        style = -sum(k / m * log(k / m) for k in Counter(styles[node]).values()) if m > 1 else 1.0
+        content = 1 - sum(log(len(p)) for p in texts[node].values()) / len(texts[node]) if node in texts else None
+        if node not in kids:
+            return 1.0 if content is None else content
+        parts = [(len(styles[k]), composite(k)) for k in kids[node]] + ([(m, content)] if content is not None else [])
+        decay = module.DECAY ** len(parts)
+        return (1 - decay) * style + decay * sum(w * x for w, x in parts) / sum(w for w, _ in parts)
+
+    return {node: composite(node) for node in styles}

@@ -340,6 +340,47 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert all("Welcome" not in r["text"] and len(r["text"]) > 50 for r in got)
 
 
+def test_html_article_survives_copies_and_telling_classes(spark):
+    rng = random.Random(14)
+    same = f"<body><nav>Home</nav><article class='post sidebar-layout'><h1>Title</h1><p>{words(rng, 30)}</p><div class='share-price'>The share price</div><section class='related-work'><p>Related work</p></section><div class='comments'>me too</div></article></body>"
+    rows = [(i, f"http://c.example/{i}", same) for i in range(12)] + [(20 + i, f"http://c.example/{20 + i}", same.replace("Title", f"T{i}")) for i in range(12)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 24 and all("The share price\nRelated work" in r["text"] and len(r["text"]) > 60 and "me too" not in r["text"] and "Home" not in r["text"] for r in got)
+
+
+def test_html_importance_equals_brute_force(spark):
+    rng = random.Random(15)
+
+    def page(i):
+        cells = "".join(f"<li>{rng.choice(['Home', 'News', words(rng, 1)])}</li>" for _ in range(rng.randint(1, 4)))
+        return f"<body><div class='a'>Welcome</div><div class='b'><ul>{cells}</ul></div><div class='c'>{words(rng, 9)}<p>{words(rng, 5)}</p></div></body>"
+
+    pages = [page(i) for i in range(12)]
+    want = brute.style_tree(pages, html_text)
+    df = spark.createDataFrame([("h", i.to_bytes(2, "big"), p) for i, p in enumerate(pages)], "host string, page binary, html string")
+    got = {r["node"]: r["importance"] for r in html_text.importance(html_text.page_features(df)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_html_tree_alone_and_without_it(spark):
+    """Pages without an article or a telling class: what the style tree itself cuts (an ablation)."""
+    rng = random.Random(16)
+    body = [words(rng, 40) for _ in range(40)]
+    page = lambda i: f"<body><div class='q1'>About us, legal and contact</div><div class='q2'><div>Sign up now</div></div><div class='q3'><p>{body[i]}</p></div><div class='q4'>All rights reserved</div></body>"
+    rows = [(i, f"http://t.example/{i}", page(i)) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == body[i] for i in range(40))
+    alone = ["\n".join(html_text.blocks(html_text.parse(page(i)), frozenset())) for i in range(40)]
+    assert all(t == f"About us, legal and contact\nSign up now\n{body[i]}\nAll rights reserved" for i, t in enumerate(alone))
+
+
+def test_html_very_long_and_deep_page(spark):
+    long = "<article>" + "".join(f"<p>Paragraph number {i} of it</p>" for i in range(20000)) + "</article>"
+    deep = "<body>" + "<div>" * 3000 + "<p>down here</p>" + "</div>" * 3000
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(1, "u", long), (2, "u", deep)], "page_id long, url string, html string")).collect()}
+    assert got[1].count("\n") == 19999 and got[2] == "down here"
+
+
 def test_language_id(spark):
     rng = random.Random(11)
     vocab = {"en": "the of and to in is that for it was on with".split(), "de": "der die und in den von zu das mit sich des auf".split(), "fr": "le la les et des en un du une que est pour".split()}

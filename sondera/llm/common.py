@@ -37,12 +37,12 @@ def _collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     _collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -5,7 +5,7 @@ at the same place, so whatever repeats is found among windows that share an anch
 that occurs once settles all its windows at once. Consecutive windows with the same anchor make one
 row (a run): about one for every (W - k + 2) / 2 tokens.
 
-Runs are equal if their anchor hash (64 bits) and the digest of all their tokens (another 64) are.
+Runs are equal if their anchor hash (64 bits) and the digest of all their tokens (another 128) are.
  - A run that occurs twice or more: all its windows repeat, at every occurrence.
  - An anchor under which different runs stand: their windows may still agree in part. One
    representative of each of those runs goes on to an exact comparison of single windows.
@@ -28,7 +28,9 @@ _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _BITS = np.uint64(21)
 #: Tokens that are hashed at once.
 PIECE = 1 << 20
-RUN_DDL = "h long, seg long, key long, lo long, n int, off int"
+RUN_DDL = "h long, seg long, seg2 long, key binary, lo long, n int, off int"
+#: What identifies a run.
+RUN = ["h", "seg", "seg2"]
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -77,9 +79,9 @@ def anchor_runs(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, window
     return at[first], np.diff(np.r_[first, len(at)]), place[first], g[place[first]]
 
 
-def run_rows(texts: Iterator[tuple[int, np.ndarray, bytes, int]], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def run_rows(texts: Iterator[tuple[bytes, np.ndarray, bytes, int]], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """texts: (key, tokens, the same tokens as bytes, bytes a token). Rows of RUN_DDL."""
-    held: list[tuple[int, int, np.ndarray, bytes]] = []
+    held: list[tuple[bytes, int, np.ndarray, bytes]] = []
     size = width = 0
 
     def flush():
@@ -87,21 +89,22 @@ def run_rows(texts: Iterator[tuple[int, np.ndarray, bytes, int]], window: int, g
         ends = np.cumsum([len(x[2]) for x in held])
         starts = ends - [len(x[2]) for x in held]
         lo, n, place, h = anchor_runs(tokens, starts, ends, window, gram)
-        raw, digest = b"".join(x[3] for x in held), xxhash.xxh3_64_intdigest
+        raw, digest = b"".join(x[3] for x in held), xxhash.xxh3_128_digest
         a, z, off = (lo * width).tolist(), ((lo + n + window - 1) * width).tolist(), place - lo
-        seg = [digest(raw[i:j], o) for i, j, o in zip(a, z, off.tolist())]
+        seg = np.frombuffer(b"".join([digest(raw[i:j], o) for i, j, o in zip(a, z, off.tolist())]), np.int64).reshape(-1, 2)
         text = np.searchsorted(ends, lo, side="right")
-        keys, base = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        keys, base = pa.array([x[0] for x in held], pa.binary()), np.array([x[1] for x in held], np.int64)
         return pa.record_batch(
             [
                 pa.array(h.view(np.int64)),
-                pa.array(np.array(seg, np.uint64).view(np.int64), pa.int64()),
-                pa.array(keys[text] if len(lo) else keys[:0]),
+                pa.array(seg[:, 0]),
+                pa.array(seg[:, 1]),
+                keys.take(pa.array(text)),
                 pa.array(lo - starts[text] + base[text] if len(lo) else lo),
                 pa.array(n.astype(np.int32)),
                 pa.array(off.astype(np.int32)),
             ],
-            names=["h", "seg", "key", "lo", "n", "off"],
+            names=["h", "seg", "seg2", "key", "lo", "n", "off"],
         )
 
     for key, tokens, raw, width in texts:
@@ -133,12 +136,12 @@ def runs_of(docs: DataFrame, tokens_of: Callable, window: int, gram: int) -> Dat
 
 def classes_of(runs: DataFrame) -> DataFrame:
     """One row for each distinct run: its occurrences `c` and a representative."""
-    return runs.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "lo", "n", "off")).alias("rep"))
+    return runs.groupBy(*RUN).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "lo", "n", "off")).alias("rep"))
 
 
 def repeated(runs: DataFrame, classes: DataFrame) -> DataFrame:
     """key, lo, n: the occurrences of runs that occur twice or more."""
-    return runs.join(classes.where("c > 1").select("h", "seg"), ["h", "seg"]).select("key", "lo", "n")
+    return runs.join(classes.where("c > 1").select(*RUN), RUN).select("key", "lo", "n")
 
 
 def in_question(classes: DataFrame) -> DataFrame:
@@ -148,4 +151,5 @@ def in_question(classes: DataFrame) -> DataFrame:
 
 
 def by_text(runs: DataFrame, *columns: str) -> DataFrame:
-    return runs.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("runs"))
+    """Each key's distinct runs: rows that repeat whole share a key, and their runs are one another's."""
+    return runs.groupBy("key").agg(F.collect_set(F.struct(*columns)).alias("runs"))

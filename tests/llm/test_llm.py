@@ -94,13 +94,33 @@ def test_index_knows_history(spark):
 
     index = substring_dedup.FingerprintIndex(spark, 6)
     runs = lambda rows: runs_of(frame(spark, rows).select(row_key("doc_id", "text").alias("key"), "text"), substring_dedup.word_tokens, 6, index.gram)
-    text = words(random.Random(4), 80)
-    assert index.known(runs([(1, text)])).count() == 0
-    index.add(runs([(1, text)]))
-    assert index.known(runs([(2, text)])).count() == runs([(2, text)]).count()
+    text, other = words(random.Random(4), 80), words(random.Random(5), 80)
+    first = index.sorted_run(runs([(1, text)]))
+    assert index.known(first).count() == 0
+    index.add(first)
+    # the second text of a batch is told in the batch and, as it stood alone, in history
+    told, _ = substring_dedup.repeats_with_history(index, runs([(2, text), (3, other)]))
+    n = runs([(1, text)]).count()
+    assert told.count() == 2 * n and told.select("key").distinct().count() == 2
+    # no more than the third time's own rows: history has been told before
+    assert substring_dedup.repeats_with_history(index, runs([(4, text)]))[0].count() == n
+    # the merge-join of two runs has no shuffle
+    plan = index.known(index.levels[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     index.drop()
 
 
+def test_substring_dedup_repeated_rows_null_ids_and_long_texts(spark, monkeypatch):
+    from sondera.llm import repeats
+
+    rng = random.Random(6)
+    long = words(rng, 3000)
+    rows = [(1, long), (1, long), (None, words(rng, 20) + " " + " ".join(long.split()[100:300])), (None, None), (3, "")]
+    monkeypatch.setattr(repeats, "PIECE", 1024)
+    got = [tuple(r)[1:4] for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(x[1:] for x in brute.removed_words(rows, 35))
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     base = [words(rng, 6) for _ in range(12)]

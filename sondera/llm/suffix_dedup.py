@@ -4,7 +4,8 @@
    that occurs twice is settled; an anchor that occurs once is settled too.
 2. What is left is one representative of each distinct run that shares its anchor with another.
    Their bytes, sharded by anchor, are sorted by external induced sorting with common-prefix values
-   (induced.py): neighbours that share 200 bytes or more are windows that repeat.
+   (induced.py): neighbours that share 200 bytes or more are windows that repeat. Equal runs are one
+   row of the shard: suffixes of equal bytes would only be sorted to find what the digests tell.
 3. Each text is met by its intervals once, and what stays is digested.
 
 Equal windows stand under equal anchors, so shards never miss a pair. An anchor with more than
@@ -15,17 +16,20 @@ windows have in common, so that one frequent passage does not make one large sha
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401  binds pa.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import covered, materialize, read, release, row_key
-from .induced import repeated_windows
+from .induced import Shard
 from .repeats import by_text, classes_of, in_question, repeated, runs_of
 
-WINDOW, GRAM, SLICE = 200, 48, 512
+WINDOW, GRAM, SLICE, SHARD = 200, 48, 512, 1 << 24
 #: One number for each byte value, so that the anchor hash has no regard for the bytes' order.
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -56,46 +60,56 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 for r in found:
                     for column, x in zip(out, (r["h"], r["slice"], key, r["first"], r["c"], raw[r["first"] : r["first"] + r["m"] + window - 1])):
                         column.append(x)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "slice", "key", "first", "c", "bytes"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "slice", "key", "first", "c", "bytes"])
 
-    return docs.join(per_text.hint("shuffle_hash"), "key").select("key", "text", "runs").mapInArrow(run, "h long, slice int, key long, first long, c long, bytes binary")
+    return docs.join(per_text.hint("shuffle_hash"), "key").select("key", "text", "runs").mapInArrow(run, "h long, slice int, key binary, first long, c long, bytes binary")
 
 
-def _sorted_windows(segments: DataFrame, window: int) -> DataFrame:
-    """key, lo, n: runs of repeated windows among the segments, shard by shard."""
+def _sorted_windows(segments: DataFrame, size: int, window: int) -> DataFrame:
+    """key, lo, n: runs of repeated windows among the segments (of `size` bytes in all), shard by
+    shard. A task streams its segments to a file, and what belongs to them to another one."""
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        key, first, c = (t[x].to_numpy() for x in ("key", "first", "c"))
-        found = repeated_windows(t["bytes"].to_pylist(), window, c)
-        out = [[], [], []]
-        for i, at in enumerate(found):
-            if len(at) and c[i] == 1:  # those that stand for several are known to repeat
-                edge = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-                n = np.diff(np.r_[edge, len(at)])
-                out[0] += [key[i]] * len(edge)
-                out[1] += (first[i] + at[edge]).tolist()
-                out[2] += n.tolist()
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["key", "lo", "n"])
-
-    shards = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(shards, "h", "slice").mapInArrow(run, "key long, lo long, n int")
+        with tempfile.TemporaryDirectory() as folder:
+            shard, weights, path = Shard(folder), [], os.path.join(folder, "rows")
+            meta = pa.schema([("key", pa.binary()), ("first", pa.int64())])
+            with pa.OSFile(path, "wb") as f, pa.ipc.new_stream(f, meta) as rows:
+                for b in batches:
+                    for segment in b["bytes"]:
+                        shard.add(segment.as_py())
+                    weights.append(b["c"].to_numpy())
+                    rows.write_batch(pa.record_batch([b["key"], b["first"]], schema=meta))
+            found = shard.repeated(window, np.concatenate(weights) if weights else np.empty(0, np.int64))
+            with pa.OSFile(path, "rb") as f, pa.ipc.open_stream(f) as rows:
+                done = 0
+                for b in rows:
+                    out = [[], [], []]
+                    for key, first, w in zip(b["key"], b["first"].to_pylist(), np.concatenate(weights)[done : done + b.num_rows].tolist()):
+                        at = next(found)
+                        if len(at) and w == 1:  # those that stand for several are known to repeat
+                            edge = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+                            out[0] += [key.as_py()] * len(edge)
+                            out[1] += (first + at[edge]).tolist()
+                            out[2] += np.diff(np.r_[edge, len(at)]).tolist()
+                    done += b.num_rows
+                    yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["key", "lo", "n"])
+
+    # shards of about SHARD bytes at any size of the input
+    shards = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    return segments.repartition(shards, "h", "slice").mapInArrow(run, "key binary, lo long, n int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the kept bytes (`kept`,
     binary) where asked for.
 
-    A null text counts as empty. Texts shorter than the window lose nothing. Rows that repeat, id
+    A null text counts as empty. Texts are taken whole, however long. Texts shorter than the window lose nothing. Rows that repeat, id
     and text alike, repeat each other and all lose what is covered; a row whose id is null is
     treated like any other. An empty table gives an empty result. Extra columns are left out.
     """
     spark = docs.sparkSession
     gram = min(GRAM, window)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     docs = docs.withColumn("key", row_key("id", "text"))
     runs, runs_path = materialize(runs_of(docs, byte_tokens, window, gram), "suffix-runs")
     classes, classes_path = materialize(classes_of(runs), "suffix-classes")
@@ -103,7 +117,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked, asked_path = materialize(in_question(classes), "suffix-asked")
     release(spark, runs_path, classes_path)
     segments, segments_path = materialize(_segments(docs, asked, window), "suffix-segments")
-    new, _ = materialize(_sorted_windows(segments, window), "suffix-new")
+    size = segments.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    new, _ = materialize(_sorted_windows(segments, size, window), "suffix-new")
     release(spark, asked_path, segments_path)
     per_text = by_text(known.unionByName(new), "lo", "n")
     kind = docs.schema["id"].dataType.simpleString()

@@ -38,19 +38,56 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en" if i is None or i % 2 else "de", f"src{(i or 0) % 3}", 0, 1, "k", "s") for i, t in rows], SCHEMA)
 
 
-def test_suffix_array_order():
-    rng = np.random.default_rng(0)
-    import tempfile
+def _sorted(raw):
+    order = sorted(range(len(raw)), key=lambda i: raw[i:])
+    shared = [0] + [next((k for k in range(min(len(raw) - a, len(raw) - b)) if raw[a + k] != raw[b + k]), min(len(raw) - a, len(raw) - b)) for a, b in zip(order, order[1:])]
+    return order, shared
+
 
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_order_and_common_prefixes(monkeypatch, tmp_path, small):
+    if small:  # queues, columns and texts go to disk, and many symbols share a range
+        for k, v in (("HELD", 20), ("BLOCK", 8), ("IN_MEMORY", 10), ("RANGES", 3.0)):
+            monkeypatch.setattr(induced, k, v)
+    rng = np.random.default_rng(0)
     for n in (1, 2, 7, 60, 500):
-        text = rng.integers(1, 4, n).astype(np.int16)
-        with tempfile.TemporaryDirectory() as folder:
-            got = induced.suffix_array(text, n, folder)
-        raw = text.astype(np.uint8).tobytes()
-        assert list(got) == sorted(range(n), key=lambda i: raw[i:])
+        for top in (2, 4, 200):
+            raw = rng.integers(1, top, n).astype(np.uint8).tobytes() + b"\0"
+            text = np.frombuffer(raw, np.uint8).copy()
+            order, shared = induced.sorted_suffixes(text, 257, induced.Room(str(tmp_path)))
+            want, common = _sorted(raw)
+            assert list(order) == want and list(shared) == common
+    for n in (300, 3000):  # more symbols than ranges
+        text = rng.integers(1, 2000, n) * rng.integers(1, 3, n)
+        text = np.r_[text, np.tile(text[:40], 4), 5000, 0]
+        order, shared = induced.sorted_suffixes(text, 5001, induced.Room(str(tmp_path)))
+        want, common = _sorted(tuple(text.tolist()))
+        assert list(order) == want and list(shared) == common
+
+
+def test_suffix_sorter_is_bounded(monkeypatch):
+    """A shard ten times the limit of what is held in memory: arrays are files, queues spill, and
+    what Python holds stays far below the shard's own arrays."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    words_ = [bytes(rng.choice(b"abcdefgh ") for _ in range(40)) for _ in range(400)]
+    segments = [b"".join(rng.choice(words_) for _ in range(9)) for _ in range(4000)]
+    n = sum(map(len, segments))
+    for k, v in (("HELD", 1 << 15), ("BLOCK", 1 << 14), ("IN_MEMORY", n // 10)):
+        monkeypatch.setattr(induced, k, v)
+    tracemalloc.start()
+    got = induced.repeated_windows(segments, 120, np.ones(len(segments), int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    from collections import Counter
+
+    seen = Counter(s[i : i + 120] for s in segments for i in range(0, len(s) - 119))
+    assert all(list(g) == [i for i in range(len(s) - 119) if seen[s[i : i + 120]] > 1] for s, g in zip(segments, got))
+    assert peak < 25 * n, peak / n  # the arrays of a shard are over 60 bytes a symbol
 
 
-def test_suffix_array_from_disk(monkeypatch):
+def test_repeated_windows_from_disk(monkeypatch):
     monkeypatch.setattr(induced, "HELD", 40)
     monkeypatch.setattr(induced, "BLOCK", 16)
     monkeypatch.setattr(induced, "IN_MEMORY", 10)

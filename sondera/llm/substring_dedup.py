@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import covered, materialize, read, release, row_key, scratch_root, words_of
 from .repeats import RUN, by_text, classes_of, in_question, runs_of
 
-WINDOW, GRAM, BATCHES = 35, 8, 2
+WINDOW, GRAM, BATCHES, SALT = 35, 8, 2, 16
 
 
 def word_tokens(text: str | None):
@@ -118,7 +118,9 @@ def repeats_with_history(index: FingerprintIndex, runs: DataFrame) -> tuple[Data
     run = index.sorted_run(runs)
     known, path = materialize(index.known(run), "index-known")
     twice = index.spark.table(run[1]).where("c > 1").select(*RUN).unionByName(known.select(*RUN)).distinct()
-    here = runs.join(twice, RUN).select("key", "lo", "n")
+    # a run that a third of all rows share is met in SALT tasks
+    twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    here = runs.withColumn("salt", F.pmod(F.xxhash64("key", "lo"), F.lit(SALT)).cast("int")).join(twice, [*RUN, "salt"]).select("key", "lo", "n")
     # what stood alone in history no longer does; what stood there twice has been told before
     there = known.where("c = 1").select("rep.key", "rep.lo", "rep.n")
     out = materialize(here.unionByName(there), "index-repeats")

@@ -5,7 +5,9 @@
 2. What is left is one representative of each distinct run that shares its anchor with another.
    Their bytes, sharded by anchor, are sorted by external induced sorting with common-prefix values
    (induced.py): neighbours that share 200 bytes or more are windows that repeat. Equal runs are one
-   row of the shard: suffixes of equal bytes would only be sorted to find what the digests tell.
+   row of the shard: suffixes of equal bytes would only be sorted to find what the digests tell. A
+   window reaches over half of what is beside its anchor to the left or to the right, so a segment
+   with no such half in common with another one of its anchor repeats nothing and is not sorted.
 3. Each text is met by its intervals once, and what stays is digested.
 
 Equal windows stand under equal anchors, so shards never miss a pair. An anchor with more than
@@ -22,6 +24,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc  # noqa: F401  binds pa.ipc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ def byte_tokens(text: str | None):
     return _BYTE[np.frombuffer(raw, np.uint8)], raw, 1
 
 
+def _half(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) >> 1 | 1
+
+
 def _segments(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """shard columns, key, lo, c and the bytes of every run in question."""
     span = window - GRAM + 1 if window > GRAM else 1
@@ -50,19 +57,33 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     cut = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     top, bottom = F.least(F.col("off"), (F.col("slice") + 1) * width - 1), F.greatest(F.col("off") - F.col("n") + 1, F.col("slice") * width)
     cut = cut.withColumn("first", F.col("lo") + F.col("off") - top).withColumn("m", top - bottom + 1).where("m > 0")
-    per_text = by_text(cut, "h", "slice", "first", "m", "c")
+    per_text = by_text(cut, "h", "slice", "first", "m", "c", "lo", "n", "off")
+    gram = min(GRAM, window)
+    side = (window - gram + 1) // 2
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], [], []]
             for key, text, found in zip(b[0].to_pylist(), b[1], b[2].to_pylist()):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for r in found:
-                    for column, x in zip(out, (r["h"], r["slice"], key, r["first"], r["c"], raw[r["first"] : r["first"] + r["m"] + window - 1])):
+                    at = r["lo"] + r["off"]
+                    # what no window of the run reaches tells nothing: 0
+                    left = _half(raw[at - side : at]) if r["off"] >= side else 0
+                    right = _half(raw[at + gram : at + gram + side]) if r["n"] - 1 - r["off"] + window - gram >= side else 0
+                    for column, x in zip(out, (r["h"], r["slice"], key, r["first"], r["c"], raw[r["first"] : r["first"] + r["m"] + window - 1], left, right)):
                         column.append(x)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "slice", "key", "first", "c", "bytes"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["h", "slice", "key", "first", "c", "bytes", "left", "right"])
+
+    return docs.join(per_text.hint("shuffle_hash"), "key").select("key", "text", "runs").mapInArrow(run, "h long, slice int, key binary, first long, c long, bytes binary, left long, right long")
+
 
-    return docs.join(per_text.hint("shuffle_hash"), "key").select("key", "text", "runs").mapInArrow(run, "h long, slice int, key binary, first long, c long, bytes binary")
+def _in_common(group: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Segments that have a half (not 0) in common with another one of their group."""
+    with np.errstate(over="ignore"):
+        both = (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ half.astype(np.uint64)
+    _, place, count = np.unique(both, return_inverse=True, return_counts=True)
+    return (count[place] > 1) & (half != 0)
 
 
 def _sorted_windows(segments: DataFrame, size: int, window: int) -> DataFrame:
@@ -71,27 +92,43 @@ def _sorted_windows(segments: DataFrame, size: int, window: int) -> DataFrame:
 
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
-            shard, weights, path = Shard(folder), [], os.path.join(folder, "rows")
-            meta = pa.schema([("key", pa.binary()), ("first", pa.int64())])
-            with pa.OSFile(path, "wb") as f, pa.ipc.new_stream(f, meta) as rows:
+            path = os.path.join(folder, "rows")
+            numbers = [[], [], [], []]
+            schema = None
+            with pa.OSFile(path, "wb") as f:
+                rows = None
                 for b in batches:
-                    for segment in b["bytes"]:
+                    schema = schema or b.schema
+                    rows = rows or pa.ipc.new_stream(f, schema)
+                    rows.write_batch(b)
+                    # anchor and slice as one number: what collides is sorted in vain, no more
+                    numbers[0].append(b["h"].to_numpy() * 31 + b["slice"].to_numpy())
+                    for i, c in enumerate(("left", "right", "c")):
+                        numbers[i + 1].append(b[c].to_numpy())
+                if rows is None:
+                    return
+                rows.close()
+            group, left, right, weight = (np.concatenate(x) for x in numbers)
+            picked = _in_common(group, left) | _in_common(group, right)
+            shard, done = Shard(folder), 0
+            with pa.OSFile(path, "rb") as f, pa.ipc.open_stream(f) as rows:
+                for b in rows:
+                    for segment in b["bytes"].filter(pa.array(picked[done : done + b.num_rows])):
                         shard.add(segment.as_py())
-                    weights.append(b["c"].to_numpy())
-                    rows.write_batch(pa.record_batch([b["key"], b["first"]], schema=meta))
-            found = shard.repeated(window, np.concatenate(weights) if weights else np.empty(0, np.int64))
+                    done += b.num_rows
+            found, done = shard.repeated(window, weight[picked]), 0
             with pa.OSFile(path, "rb") as f, pa.ipc.open_stream(f) as rows:
-                done = 0
                 for b in rows:
+                    mine, done = picked[done : done + b.num_rows], done + b.num_rows
+                    b = b.select(["key", "first", "c"]).filter(pa.array(mine))
                     out = [[], [], []]
-                    for key, first, w in zip(b["key"], b["first"].to_pylist(), np.concatenate(weights)[done : done + b.num_rows].tolist()):
+                    for key, first, w in zip(b[0], b[1].to_pylist(), b[2].to_pylist()):
                         at = next(found)
                         if len(at) and w == 1:  # those that stand for several are known to repeat
                             edge = np.flatnonzero(np.r_[True, np.diff(at) > 1])
                             out[0] += [key.as_py()] * len(edge)
                             out[1] += (first + at[edge]).tolist()
                             out[2] += np.diff(np.r_[edge, len(at)]).tolist()
-                    done += b.num_rows
                     yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["key", "lo", "n"])
 
     # shards of about SHARD bytes at any size of the input

@@ -11,6 +11,7 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .operators import harness as H
@@ -51,7 +52,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     cfg = H.EvalConfig(primary_fpr=a.primary_fpr, bootstrap=a.bootstrap)
     df = read_scores(spark, a.scores)
     if a.bootstrap:
-        df = df.withColumn("__row", F.xxhash64(*df.columns))
+        # equal rows are rows of their own: they are numbered, and which has which number is all the same
+        copy = F.row_number().over(W.partitionBy(*df.columns).orderBy(F.lit(1)))
+        df = df.withColumn("__row", F.concat_ws("-", F.xxhash64(*df.columns), copy))
     result = H.evaluate(df, cfg, row_id="__row" if a.bootstrap else None)
     text, blocked = H.report(result, cfg, a.title), False
     if a.baseline:

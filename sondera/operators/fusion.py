@@ -89,18 +89,20 @@ def fit(df: DataFrame, row_id: str, label: str = "label", epochs: int = 300, rat
     """Batch gradient descent with modality dropout: each epoch is one aggregate of seven sums; the
     masks come from hashes of (row, repeat, dimension), so a retried task sees the same ones. A row
     whose available dimensions would all be dropped keeps them all."""
-    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(label).cast("double").alias("y"), *(F.when(F.col(f"a_{d}"), logit(F.col(f"s_{d}"))).otherwise(0.0).alias(f"x_{d}") for d in DIMENSIONS))
+    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(label).cast("double").alias("y"), *(F.when(F.col(f"a_{d}"), logit(F.col(f"s_{d}"))).otherwise(0.0).alias(f"x_{d}") for d in DIMENSIONS), *(F.coalesce(F.col(f"a_{d}").cast("boolean"), F.lit(False)).alias(f"has_{d}") for d in DIMENSIONS))
     base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     for d in DIMENSIONS:
         base = base.withColumn(f"k_{d}", hash_uniform(F.lit(f"{seed}|{d}"), F.col("id"), F.col("rep").cast("string")) >= dropout)
-    kept = sum((F.when(F.col(f"k_{d}"), F.abs(f"x_{d}")).otherwise(0.0) for d in DIMENSIONS), F.lit(0.0))
+    # by what is available, not by its logit: a score of one half is a card like any other
+    kept = sum((F.when(F.col(f"k_{d}") & F.col(f"has_{d}"), 1).otherwise(0) for d in DIMENSIONS), F.lit(0))
     base = base.withColumn("all", kept == 0)
     rows = base.select("y", *(F.when(F.col("all") | F.col(f"k_{d}"), F.col(f"x_{d}")).otherwise(0.0).alias(d) for d in DIMENSIONS)).persist()
     n, w, b = max(1, rows.count()), {d: 1.0 / len(DIMENSIONS) for d in DIMENSIONS}, 0.0
     for _ in range(epochs):
         err = sigmoid(sum((F.col(d) * w[d] for d in DIMENSIONS), F.lit(b))) - F.col("y")
         g = rows.agg(*(F.sum(err * F.col(d)).alias(d) for d in DIMENSIONS), F.sum(err).alias("b")).first()
-        w = {d: w[d] - rate * (g[d] / n + l2 * w[d] / n) for d in DIMENSIONS}
+        # the data term is a mean over rows and repeats, the penalty is a share of the rows alone
+        w = {d: w[d] - rate * (g[d] / n + l2 * w[d] * reps / n) for d in DIMENSIONS}
         b -= rate * g["b"] / n
     rows.unpersist()
     return Head(w, b)

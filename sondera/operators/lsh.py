@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hamming64
 
 
-def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int = 64, max_bucket: int = 500) -> DataFrame:
-    """a, b, distance for ids a < b that share a band and differ in max_dist bits at most.
+def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int = 64, max_bucket: int | None = None, block: int = 500) -> DataFrame:
+    """a, b, distance for ids a < b that differ in max_dist bits at most and share a band.
 
-    Buckets of more than max_bucket ids are skipped, as in the operator that this stands for: a
-    documented loss of recall that is part of its semantics and also bounds the join's skew."""
+    With more bands than max_dist every such pair shares one, so none is lost; bits that are left over
+    go to the last band. A bucket of over `block` ids is cut into blocks, whose pairs are cells of
+    their own. With max_bucket, buckets of more ids are skipped instead: a loss of recall that some
+    definitions have, and keep for comparison."""
     width = bits // bands
     rows = hashes.select("id", "hash", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    rows = rows.withColumn("key", F.expr(f"shiftright(hash, band * {width})").bitwiseAND((1 << width) - 1))
-    small = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, max_bucket)).select("band", "key")
-    rows = rows.join(small, ["band", "key"])
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    last = (F.lit(1).cast("long") * -1) if bits - width * (bands - 1) >= 64 else F.lit((1 << (bits - width * (bands - 1))) - 1)
+    rows = rows.withColumn("key", F.expr(f"shiftrightunsigned(hash, band * {width})").bitwiseAND(F.when(F.col("band") == bands - 1, last).otherwise(F.lit((1 << width) - 1))))
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if max_bucket is not None:
+        sizes = sizes.where(F.col("k") <= max_bucket)
+    rows = rows.join(sizes.select("band", "key", F.ceil(F.col("k") / block).cast("int").alias("blocks")), ["band", "key"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(every)).alias("a")
+    b = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(every)).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("band", "key", "i", "j")]
+    pairs = a.join(b, [*same, F.col("a.id") < F.col("b.id")])
     d = hamming64(F.col("a.hash"), F.col("b.hash"))
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).where(F.col("distance") <= max_dist).distinct()
 

@@ -120,3 +120,13 @@ def quota(df: DataFrame, key: str, seq: str, n_keys: int, per_key: int, keep: Co
     first = ok.groupBy(key).agg(F.min(seq).alias("__first")).orderBy("__first", key).limit(n_keys).select(key)
     ranked = ok.join(F.broadcast(first) if n_keys <= 100_000 else first, key).withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(seq)))
     return ranked.where(F.col("__r") <= per_key).drop("__r")
+
+
+def lookup(df: DataFrame, store: DataFrame, on: dict[str, str], message: str = "key is missing from the store") -> DataFrame:
+    """df with the columns of store, joined by key (column of df -> column of store, unique there).
+    A row whose key the store lacks fails the job when it is read."""
+    held = store.withColumn("__held", F.lit(True))
+    met = df.join(held, [df[a] == held[b] for a, b in on.items()], "left")
+    first = store.columns[0]
+    checked = F.when(F.col("__held").isNull(), F.raise_error(F.concat_ws(" ", F.lit(message + ":"), *(F.col(a).cast("string") for a in on)))).otherwise(F.col(first))
+    return met.withColumn(first, checked).drop("__held")

@@ -88,10 +88,10 @@ def rel11(spark, sf):
     return replay.round_robin(table(spark, sf, "supplier"), "s_suppkey", ["anna", "ben", "cleo"], ["a", "b"])
 
 
-@registry("rel12_key_lookup_join", "SELECT l_orderkey, l_linenumber, round(p_retailprice, 2) AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1")
+@registry("rel12_key_lookup_join", "SELECT l_orderkey, l_linenumber, round(p_retailprice, 2) AS price FROM lineitem JOIN part ON l_partkey = p_partkey")
 def rel12(spark, sf):
-    li, p = table(spark, sf, "lineitem").where("l_linenumber = 1"), table(spark, sf, "part")
-    return li.join(p, li["l_partkey"] == p["p_partkey"]).select("l_orderkey", "l_linenumber", F.round("p_retailprice", 2).alias("price"))
+    met = split.lookup(table(spark, sf, "lineitem"), table(spark, sf, "part"), {"l_partkey": "p_partkey"})
+    return met.select("l_orderkey", "l_linenumber", F.round("p_retailprice", 2).alias("price"))
 
 
 @registry("rel13_index_lookup", "SELECT vec_id, label FROM embeddings WHERE label = 6")
@@ -208,11 +208,16 @@ def dat5(spark, sf):
     return a.join(b, F.col("b.id") == F.col("a.id") + 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), S.hamming64(F.col("a.hash"), F.col("b.hash")).alias("distance"))
 
 
-@registry("dat6_phash_pairs", f"""WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings), k AS (SELECT id, hash, band, (hash >> (8 * band)::INT) & 255 AS key FROM h, (SELECT unnest(range(8)) AS band)),
-c AS (SELECT band, key FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 500), r AS (SELECT k.* FROM k JOIN c USING (band, key))
-SELECT DISTINCT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM r a JOIN r b ON a.band = b.band AND a.key = b.key AND a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 18""")
+@registry("dat6_phash_pairs", f"""WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6""")
 def dat6(spark, sf):
-    return lsh.near_pairs(hashes(spark, sf), max_dist=18)
+    return lsh.near_pairs(hashes(spark, sf))
+
+
+@registry("dat6_phash_pairs_wide", f"""WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 18""")
+def dat6_wide(spark, sf):
+    return lsh.near_pairs(hashes(spark, sf), max_dist=18, bands=19)
 
 
 @registry("dat7_quality_bucket", "SELECT event_id, CASE WHEN value IS NULL THEN 'native' WHEN value >= 90 THEN 'q_high' WHEN value >= 65 THEN 'q_mid' ELSE 'q_low' END AS quality FROM events")
@@ -264,7 +269,9 @@ def ft7(spark, sf):
     return spark.range(221).select(F.col("id").alias("step"), r6(S.cosine_schedule(F.col("id"), 200), "lr"))
 
 
-@registry("prb4_consistency_guard", f"SELECT bool_and(abs(score - (score + 1e-9)) <= 1e-6 + 1e-5 * abs(score)) AS consistent FROM {LINES_SQL} v")
+@registry("prb4_consistency_guard", f"SELECT bool_and(abs(score - score::FLOAT::DOUBLE) <= 1e-6 + 1e-5 * abs(score::FLOAT::DOUBLE)) AS consistent, count(*) FILTER (abs(score - qty) > 1e-6 + 1e-5 * abs(qty)) AS unlike FROM {LINES_SQL} v")
 def prb4(spark, sf):
-    again = F.col("score") + 1e-9
-    return lines(spark, sf).agg(F.bool_and(F.abs(F.col("score") - again) <= 1e-6 + 1e-5 * F.abs(again)).alias("consistent"))
+    # scores against themselves in single precision (consistent) and against another score (not)
+    near = lambda x, y: F.abs(x - y) <= 1e-6 + 1e-5 * F.abs(y)
+    s, q = F.col("score"), F.col("qty")
+    return lines(spark, sf).agg(F.bool_and(near(s, s.cast("float").cast("double"))).alias("consistent"), F.count_if(~near(s, q)).alias("unlike"))

@@ -241,3 +241,50 @@ def test_cli_writes_a_report_and_gates(spark, tmp_path):
     spark.createDataFrame(worse, "label int, score double, generator string").write.parquet(f"file://{tmp_path}/new")
     assert cli.main(["--scores", f"file://{tmp_path}/new", "--baseline", f"file://{tmp_path}/old", "--out", f"file://{tmp_path}/out", "--primary-fpr", "0.1"], spark) == 1
     assert "BLOCKED" in (tmp_path / "out/eval.md").read_text() and "overall" in (tmp_path / "out/eval.json").read_text()
+
+
+def test_head_fit_equals_numpy(spark):
+    """Without dropout the fit is plain batch descent: mean gradient, penalty a share of the rows."""
+    import numpy as np
+
+    from sondera.operators import fusion
+
+    rng = np.random.default_rng(2)
+    n, dims = 40, fusion.DIMENSIONS
+    s, a, y = rng.uniform(0.05, 0.95, (n, len(dims))), rng.random((n, len(dims))) < 0.7, rng.integers(0, 2, n)
+    s[0], a[0] = 0.5, True
+    rows = [(i, int(y[i]), *map(float, s[i]), *map(bool, a[i])) for i in range(n)]
+    schema = "id long, label int, " + ", ".join(f"s_{d} double" for d in dims) + ", " + ", ".join(f"a_{d} boolean" for d in dims)
+    head = fusion.fit(spark.createDataFrame(rows, schema), "id", epochs=5, l2=0.5, dropout=0.0)
+    x = np.where(a, np.log(s / (1 - s)), 0.0)
+    w, b = np.full(len(dims), 1.0 / len(dims)), 0.0
+    for _ in range(5):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.1 * (x.T @ err / n + 0.5 * w / n), b - 0.1 * err.mean()
+    assert np.allclose([head.weights[d] for d in dims], w, atol=1e-9) and abs(head.bias - b) < 1e-9
+
+
+def test_near_pairs_are_exact_and_blocks_do_not_matter(spark):
+    import random
+
+    from sondera.operators import lsh
+
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    vals = [base ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 8))) for _ in range(60)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in vals]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, hash long")
+    want = sorted((a, b) for a in range(60) for b in range(a + 1, 60) if (vals[a] ^ vals[b]).bit_count() <= 6)
+    for block in (7, 500):
+        assert sorted((r["a"], r["b"]) for r in lsh.near_pairs(df, block=block).collect()) == want
+
+
+def test_lookup_fails_on_missing_keys(spark):
+    import pytest
+
+    from sondera.operators import split
+
+    store = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert sorted(r["v"] for r in split.lookup(spark.createDataFrame([(1,), (2,), (2,)], "id long"), store, {"id": "k"}).collect()) == ["a", "b", "b"]
+    with pytest.raises(Exception, match="missing from the store"):
+        split.lookup(spark.createDataFrame([(1,), (3,)], "id long"), store, {"id": "k"}).collect()

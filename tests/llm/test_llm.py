@@ -668,6 +668,34 @@ def test_pipeline_near_copies_chain_within_a_band(spark):
     assert near_copies.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_pipeline_near_copies_in_dense_groups(spark, monkeypatch):
+    """Bands of many rows that are not all alike: blocks of them give the same groups as all pairs."""
+    monkeypatch.setattr(near_copies, "MEMBERS", 3)
+    monkeypatch.setattr(near_copies, "CELL", 5)
+    rng = random.Random(41)
+    w = words(rng, 240).split()
+    rows = []
+    for i in range(36):
+        v = list(w)
+        for at in rng.sample(range(0, 240, 6), rng.randint(1, 5)):
+            v[at] = rng.choice(["one", "two"])
+        rows.append((i, " ".join(v)))
+    sets = [near_copies.shingles(t) for _, t in rows]
+    parent = list(range(36))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(36):
+        for b in range(a):
+            if near_copies.similarity(sets[a], sets[b]) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    kept = {r["doc_id"] for r in near_copies.one_of_each(frame(spark, rows)).collect()}
+    assert 1 < len(kept) < 36 and kept == {root(i) for i in range(36)}
+
+
 def test_pipeline_near_copies_null_and_repeated_ids(spark):
     import corpus_pipeline as P
 

@@ -105,9 +105,9 @@ class TupleQueue:
         at = np.searchsorted(edges, tuples["symbol"], side="right") - 1
         order = np.argsort(at, kind="stable")
         at, tuples = at[order], tuples[order]
-        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-            self.parts.setdefault((kind, int(at[i])), []).append(tuples[i:j])
+        cut = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for i, j, k in zip(cut, cut[1:], at[cut[:-1]].tolist()):
+            self.parts.setdefault((kind, k), []).append(tuples[i:j])
         self.size += len(tuples)
 
     def push(self, tuples: np.ndarray) -> None:
@@ -115,11 +115,14 @@ class TupleQueue:
             return
         # no symbol lies below the band that is open
         edge = (self.open + 1) * self.FAN
-        near = tuples["symbol"] < self.edges[edge] if edge < len(self.edges) else np.ones(len(tuples), bool)
-        if near.any():
-            self._deal(tuples[near], self.edges, "range")
-        if not near.all():
-            self._deal(tuples[~near], self.bands, "band")
+        near = tuples["symbol"] < self.edges[edge] if edge < len(self.edges) else None
+        if near is None or near.all():
+            self._deal(tuples, self.edges, "range")
+        else:
+            if near.any():
+                self._deal(tuples[near], self.edges, "range")
+                tuples = tuples[~near]
+            self._deal(tuples, self.bands, "band")
         if self.size > HELD:
             for k, parts in self.parts.items():
                 with open(self._path(k), "ab") as f:
@@ -172,20 +175,24 @@ class Minima:
 
 
 def _range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of values[lo:hi] for each pair, lo < hi, by doubling."""
-    levels, width = [values], 1
-    longest = int((hi - lo).max()) if len(lo) else 0
-    while 2 * width <= longest:
-        below = levels[-1]
-        levels.append(np.minimum(below[: len(below) - width], below[width:]))
-        width *= 2
-    k = np.frexp((hi - lo).astype(np.float64))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for level in np.unique(k).tolist():
-        some = k == level
-        table, a, z = levels[level], lo[some], hi[some]
-        out[some] = np.minimum(table[a], table[z - (1 << level)])
-    return out
+    """Least of values[lo:hi] for each pair, lo < hi: range by range where all of them are short
+    in sum, else by doubling."""
+    if not len(lo):
+        return np.empty(0, values.dtype)
+    width = hi - lo
+    if int(width.sum()) <= 8 * len(values) + 64:
+        ends = np.empty(2 * len(lo), np.int64)
+        ends[::2], ends[1::2] = lo, hi
+        # the end of a range may be the end of the values, which reduceat does not take for a place
+        return np.minimum.reduceat(np.append(values, values[-1:]), ends)[::2]
+    k = np.frexp(width.astype(np.float64))[1] - 1
+    levels = np.empty((int(k.max()) + 1, len(values)), values.dtype)
+    levels[0] = values
+    for i in range(1, len(levels)):
+        half = 1 << i - 1
+        levels[i] = levels[i - 1]
+        np.minimum(levels[i - 1, :-half], levels[i - 1, half:], out=levels[i, :-half])
+    return np.minimum(levels[k, lo], levels[k, hi - (1 << k)])
 
 
 class _Induction:

@@ -16,6 +16,7 @@ MODULES = {
     "op3_html_text": "html_text",
     "op4_language_id": "langid",
     "op9_simhash": "simhash",
+    "op12_token_files": "token_files",
 }
 
 

@@ -16,6 +16,7 @@ MODULES = {
     "op3_html_text": "html_text",
     "op4_language_id": "langid",
     "op9_simhash": "simhash",
+    "op11_ranked_search": "ranked_search",
     "op12_token_files": "token_files",
 }
 
@@ -26,5 +27,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import ORACLE_SQL as mixing
+    from .ranked_search import ORACLE_SQL as ranked_search
 
-    return {"op2_mixing": mixing}
+    return {"op2_mixing": mixing, "op11_ranked_search": ranked_search}

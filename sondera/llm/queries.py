@@ -18,6 +18,7 @@ MODULES = {
     "op9_simhash": "simhash",
     "op11_ranked_search": "ranked_search",
     "op12_token_files": "token_files",
+    "op13_spelling": "spelling",
 }
 
 

@@ -17,7 +17,8 @@ executor costs its parts only. Readers map a part into memory and cut documents
 
 Encoding: between a character that is no white space and a space there always is a cut of the byte
 level tokenizer's own splitting, so texts are cut there, and each distinct piece is encoded by the
-library once a task and kept, as packed ids, in a bounded memo. The ids equal those of whole texts.
+library once and kept, as packed ids, in a bounded memo of the task; texts are then put together from
+the pieces' ids as arrays. The ids equal those of whole texts (compared in tests).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release, scratch_root, slices
+from .common import materialize, ranges, read, release, scratch_root, slices
 
 END_ID = 2
 #: Pieces in the memo of a task.
@@ -44,6 +45,8 @@ NULL_ID = -(1 << 63)
 _AT_ONCE = 1 << 22
 _BETWEEN_SPACES = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )")
+# letters and ASCII signs of which any splitting by letters, digits and the rest makes the same words
+_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -52,18 +55,29 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: itself if it is a printable
+    sign, else the next one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Whole texts to packed ids of one tokenizer file, each with the end id after it."""
+    """Whole texts to ids of one tokenizer file, each with the end id after it."""
 
     def __init__(self, path: str, end_id: int = END_ID, memo: int = MEMO):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(width_of(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id))
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.limit, self.known = memo, {}
+        self.end, self.limit, self.young, self.old = end_id, memo, {}, {}
+        before = self.tokenizer.pre_tokenizer
         # only a byte-level tokenizer without normaliser is known to cut where a space begins
-        self.cuts = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.cuts = self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
+        self.by_word = Tokenizer(self.tokenizer.model)  # words in byte letters, a space between them
+        self.by_word.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.letters = _byte_letters()
 
     def pieces(self, text: str) -> list[str]:
         """Pieces whose ids, one after another, are those of the text."""
@@ -74,18 +88,78 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *(" " + x for x in rest)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        new = list({x for pieces in cut for x in pieces if x not in known})
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({x for pieces in cut for x in pieces})
-        for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(got.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in cut]
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece. A word with signs after it is a word and its signs, and many are
+        encoded at once; any other piece is encoded by itself. What half a memo's worth of newer pieces
+        has not needed is forgotten."""
+        if len(self.young) > self.limit // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        open_ = [i for i, x in enumerate(out) if x is None]
+        words, others, composed = {}, {}, []
+        for i in open_:
+            p = pieces[i]
+            if (x := old.get(p)) is not None:
+                young[p] = out[i] = x
+            elif self.cuts and (m := _WORD.fullmatch(p)):
+                composed.append((i, m.groups()))
+            else:
+                others[p] = None
+        for _, parts in composed:
+            for x in parts:
+                if x and x not in young:
+                    if x in old:
+                        young[x] = old[x]
+                    else:
+                        words[x] = None
+        words = list(words)
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            text = " ".join(["\u0120" + x[1:] if x[0] == " " and x.isascii() else x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in some])
+            got = self.by_word.encode(text, add_special_tokens=False)
+            packed = np.array(got.ids, self.dtype).tobytes()
+            edges = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
+            young.update((x, packed[i:j]) for x, i, j in zip(some, edges, edges[1:]))
+        for i, (word, signs) in composed:
+            out[i] = young[word] + young[signs] if signs else young[word]
+        if others:
+            names = list(others)
+            for p, got in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
+                young[p] = np.array(got.ids, self.dtype).tobytes()
+            for i in open_:
+                if out[i] is None:
+                    out[i] = young[pieces[i]]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (string, no nulls), end ids included, and the ids of each text."""
+        n = len(texts)
+        whole = texts.to_pylist()
+        odd = [i for i, t in enumerate(whole) if not self.cuts or _BETWEEN_SPACES.search(t)]
+        if odd:  # their pieces are not what lies between single spaces: one piece for each of them
+            mask = np.zeros(n, bool)
+            mask[odd] = True
+            texts = pa.compute.if_else(pa.array(mask), pa.scalar("", texts.type), texts)
+        split = pa.compute.split_pattern(texts, " ")
+        codes = pa.compute.dictionary_encode(split.flatten())
+        distinct = [" " + p for p in codes.dictionary.to_pylist()]
+        starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        first = [t[: t.find(" ")] if " " in t else t for t in whole]
+        for i in odd:
+            first[i] = ""
+        packed = self.ids_of([*distinct, *first]) if n else []
+        for i in odd:
+            pieces = self.pieces(whole[i])
+            packed[len(distinct) + i] = b"".join(b"".join(self.ids_of(pieces[at : at + (1 << 16)])) for at in range(0, len(pieces), 1 << 16))
+        packed.append(np.array([self.end], self.dtype).tobytes())
+        which = codes.indices.to_numpy().astype(np.int64)
+        which[starts] = len(distinct) + np.arange(n)  # a text's first piece has no space before it
+        which = np.insert(which, np.r_[starts[1:], len(which)] if n else [], len(packed) - 1)
+        starts = starts + np.arange(n)
+        sizes = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(packed), self.dtype)[ranges((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        return ids, np.add.reduceat(sizes[which], starts) if n else np.empty(0, np.int64)
 
 
 def width_of(vocabulary_size: int, end_id: int = END_ID) -> str:
@@ -209,10 +283,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
         def chunks():
             for batch in batches:
                 for b in slices(batch, "t"):
-                    packed = encoder.encode(b["t"].to_pylist())
+                    tokens, n = encoder.encode(b["t"].fill_null(""))
                     ids.append(b["i"].fill_null(NULL_ID).to_numpy())
-                    sizes.append(np.array([len(p) for p in packed], np.int64) // encoder.dtype.itemsize)
-                    yield b"".join(packed)
+                    sizes.append(n)
+                    yield tokens.tobytes()
 
         stream = chunks()
         first = next(stream, None)

@@ -235,8 +235,9 @@ class _Build:
         if not words:
             return
         tally, numbers = Counter(words), self.numbers
-        for t in tally.keys() - numbers.keys():
-            numbers[t] = len(numbers)
+        for t in tally:
+            if t not in numbers:
+                numbers[t] = len(numbers)
         self.rows.append((doc, len(words), np.fromiter(map(numbers.__getitem__, tally), np.int32, len(tally)), np.fromiter(tally.values(), np.int64, len(tally))))
         self.count += len(words)
 

@@ -11,7 +11,6 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .operators import harness as H
@@ -51,15 +50,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.getOrCreate()
     cfg = H.EvalConfig(primary_fpr=a.primary_fpr, bootstrap=a.bootstrap)
     df = read_scores(spark, a.scores)
-    if a.bootstrap:
-        # equal rows are rows of their own: they are numbered, and which has which number is all the same
-        copy = F.row_number().over(W.partitionBy(*df.columns).orderBy(F.lit(1)))
-        df = df.withColumn("__row", F.concat_ws("-", F.xxhash64(*df.columns), copy))
-    result = H.evaluate(df, cfg, row_id="__row" if a.bootstrap else None)
+    result = H.evaluate(df, cfg, ci=a.bootstrap > 0)
     text, blocked = H.report(result, cfg, a.title), False
     if a.baseline:
         old = read_scores(spark, a.baseline)
-        gate = H.release_gate(H.group_metrics(H.complete(df), "generator", cfg), H.group_metrics(H.complete(old), "generator", cfg), M.ranking(df, (), cfg.all_fprs), M.ranking(old, (), cfg.all_fprs), cfg).first()
+        scored = lambda model, x: H.complete(x).select(F.lit(model).alias("model"), "label", "score", "generator")
+        both = scored("candidate", df).unionByName(scored("incumbent", old))
+        models = {m: F.when(F.col("model") == m, F.col("score")) for m in ("candidate", "incumbent")}
+        gate = H.gate(H.measure(both.withColumns(models), cfg, ("overall", "generator"), {m: m for m in models}), cfg).first()
         blocked = gate["blocked"]
         text += f"\nRelease gate: {'BLOCKED: ' + gate['reasons'] if blocked else 'passed'}\n"
     write_text(spark, f"{a.out.rstrip('/')}/eval.json", as_json(result))

@@ -35,63 +35,87 @@ def complete(df: DataFrame) -> DataFrame:
     return df
 
 
+#: level -> column of the optional groupings, and those measured against the negatives of the whole frame
+LEVELS = {"overall": None, "generator": "generator", "family": "family", "quality": "quality", "degradation": "degradation"}
+SHARED = ("generator", "family")
+
+
+def measure(df: DataFrame, cfg: EvalConfig = EvalConfig(), levels: tuple[str, ...] = tuple(LEVELS), scores: dict[str, str] | None = None) -> DataFrame:
+    """model, level, key, n, n_pos, n_neg, auc, eer, eer_thr, thr_*, strict_*, tpr_*, low_n: everything that
+    a report needs, from one scan and one histogram.
+
+    generator and family: positives of the key against all negatives, n counts positives. The other
+    levels: the key's own rows, and keys of a single class are left out. Null keys are `nan`.
+    """
+    out = M.levels(df, {v: LEVELS[v] for v in levels}, scores or {"score": "score"}, cfg.all_fprs, tuple(v for v in levels if v in SHARED))
+    shared = F.col("level").isin(*SHARED)
+    n = F.when(shared, F.col("n_pos")).otherwise(F.col("n_pos") + F.col("n_neg"))
+    out = out.where(shared | (F.col("level") == "overall") | ((F.col("n_pos") > 0) & (F.col("n_neg") > 0)))
+    return out.withColumn("eer", F.when(~shared, F.col("eer"))).withColumn("eer_thr", F.when(~shared, F.col("eer_thr"))).withColumn("n", n).withColumn("low_n", n < cfg.min_rows)
+
+
+def _tprs(cfg: EvalConfig) -> list[str]:
+    return [f"tpr_{M.name(f)}" for f in cfg.all_fprs]
+
+
 def group_metrics(df: DataFrame, key: str, cfg: EvalConfig = EvalConfig()) -> DataFrame:
     """A row for each value of key among the positives: n, auc and TPRs against the negatives of the
-    whole frame, low_n. One histogram of positives by (key, score) meets one of all negatives."""
-    neg = M.cumulated(M.histogram(df.where("label = 0"))).select(F.col("s").alias("ns"), F.col("n").alias("nn"), F.col("cn"), F.col("all_n"))
-    thr = neg.agg(*(c for f in cfg.all_fprs for c in _negative_threshold(f)))
-    pos = df.where("label = 1").groupBy(F.coalesce(F.col(key).cast("string"), F.lit("nan")).alias("key"), F.col("score").cast("double").alias("s")).agg(F.count(F.lit(1)).alias("p"))
-    met = pos.crossJoin(F.broadcast(thr))
-    hit = lambda f: F.when(F.col(f"strict_{M.name(f)}"), F.col("s") > F.col(f"thr_{M.name(f)}")).otherwise(F.col("s") >= F.col(f"thr_{M.name(f)}"))
-    rates = met.groupBy("key").agg(F.sum("p").alias("n"), *((F.sum(F.when(hit(f), F.col("p")).otherwise(0)) / F.sum("p")).alias(f"tpr_{M.name(f)}") for f in cfg.all_fprs))
-    # negatives below and at each positive score: the two histograms in one cumulative pass
-    both = df.where("label in (0, 1)").groupBy(F.col("score").cast("double").alias("s")).agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p"))
-    below = M.cumulated(both).select("s", (F.col("cn") - F.col("n") + F.col("n") / 2).alias("beaten"), "all_n")
-    auc = pos.join(below, "s").groupBy("key").agg(F.try_divide(F.sum(F.col("p") * F.col("beaten")), F.sum("p") * F.max("all_n").cast("double")).alias("auc"))
-    return rates.join(auc, "key").withColumn("low_n", F.col("n") < cfg.min_rows)
-
-
-def _negative_threshold(fpr: float):
-    want = F.col("all_n") - F.greatest(M.threshold_rank(fpr), F.lit(1)) + 1
-    k = M.name(fpr)
-    return F.max(F.when((F.col("cn") >= want) & (F.col("cn") - F.col("nn") < want), F.col("ns"))).alias(f"thr_{k}"), F.max(M.threshold_rank(fpr) < 1).alias(f"strict_{k}")
+    whole frame, low_n."""
+    out = M.levels(df, {"group": key}, {"score": "score"}, cfg.all_fprs, ("group",))
+    return out.select("key", F.col("n_pos").alias("n"), "auc", *_tprs(cfg)).withColumn("low_n", F.col("n") < cfg.min_rows)
 
 
 def robustness(df: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
     """degradation, n, auc, tpr at the primary rate against its own negatives; single-class groups
     are left out; best AUC first."""
-    df = df.withColumn("degradation", F.coalesce(F.col("degradation").cast("string"), F.lit("nan")))
-    f = M.name(cfg.primary_fpr)
-    out = M.ranking(df, ["degradation"], (cfg.primary_fpr,))
-    return out.where("n_pos > 0 and n_neg > 0").select("degradation", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc", F.col(f"tpr_{f}").alias("tpr")).orderBy(F.desc("auc"), "degradation")
+    return _robustness(measure(df, cfg, ("degradation",)), cfg)
+
+
+def _robustness(measured: DataFrame, cfg: EvalConfig) -> DataFrame:
+    return measured.where("level = 'degradation'").select(F.col("key").alias("degradation"), "n", "auc", F.col(f"tpr_{M.name(cfg.primary_fpr)}").alias("tpr")).orderBy(F.desc("auc"), "degradation")
 
 
 def per_quality(df: DataFrame, prob: str | None = None) -> DataFrame:
-    df = df.withColumn("quality", F.coalesce(F.col("quality").cast("string"), F.lit("nan")))
-    out = M.ranking(df, ["quality"], ()).where("n_pos > 0 and n_neg > 0").select("quality", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+    """quality, n, auc and, with a probability, ece of each quality of two classes."""
+    return _per_quality(measure(df, levels=("quality",)), df, prob)
+
+
+def _per_quality(measured: DataFrame, df: DataFrame, prob: str | None) -> DataFrame:
+    out = measured.where("level = 'quality'").select(F.col("key").alias("quality"), "n", "auc")
     if prob:
-        e = M.ece(df, prob=prob, groups=["quality"]).select(F.col("quality").alias("__q"), "ece")
-        out = out.join(e, F.col("quality") == F.col("__q")).drop("__q")
+        keyed = df.withColumn("quality", F.coalesce(F.col("quality").cast("string"), F.lit("nan")))
+        out = out.join(M.ece(keyed, prob=prob, groups=["quality"]).select("quality", "ece"), "quality")
     return out.orderBy("quality")
 
 
-def evaluate(df: DataFrame, cfg: EvalConfig = EvalConfig(), prob: str | None = None, row_id: str | None = None) -> dict[str, DataFrame]:
+def evaluate(df: DataFrame, cfg: EvalConfig = EvalConfig(), prob: str | None = None, ci: bool = False) -> dict[str, DataFrame]:
     """overall, per_generator, per_family, per_quality, robustness, and the AUC's bootstrap interval
-    (auc_ci) where a row id is given; lazily, each one small table."""
+    (auc_ci) on demand; lazily, each one small table cut out of one measured histogram."""
     df = M.checked(complete(df))
+    measured = measure(df, cfg)
     primary = F.asc(f"tpr_{M.name(cfg.primary_fpr)}")
-    overall = M.ranking(df, (), cfg.all_fprs)
+    rates = [f"{what}_{M.name(f)}" for what in ("thr", "strict", "tpr") for f in cfg.all_fprs]
+    overall = measured.where("level = 'overall'").select("n_pos", "n_neg", "auc", "eer", "eer_thr", *rates)
     if prob:
         overall = overall.crossJoin(M.ece(df, prob=prob))
-    out = {
-        "overall": overall,
-        "per_generator": group_metrics(df, "generator", cfg).orderBy(primary, "key"),
-        "per_family": group_metrics(df, "family", cfg).orderBy(primary, "key"),
-        "per_quality": per_quality(df, prob),
-        "robustness": robustness(df, cfg),
-    }
-    if row_id:
-        out["auc_ci"] = M.bootstrap_ci(df, row_id, cfg.bootstrap, seed=cfg.seed)
+    grouped = lambda level: measured.where(F.col("level") == level).select("key", "n", "auc", *_tprs(cfg), "low_n").orderBy(primary, "key")
+    out = {"overall": overall, "per_generator": grouped("generator"), "per_family": grouped("family"), "per_quality": _per_quality(measured, df, prob), "robustness": _robustness(measured, cfg)}
+    if ci:
+        out["auc_ci"] = M.bootstrap_ci(df, cfg.bootstrap, seed=cfg.seed)
+    return out
+
+
+def evaluate_table(df: DataFrame, cfg: EvalConfig = EvalConfig(), prob: str | None = None, cell=None) -> DataFrame:
+    """The whole evaluation as one table: the rows of `measure`, with ece and brier of the overall and
+    the quality rows where a probability is given, and the AUC's interval (auc_lo, auc_hi) of the overall row."""
+    df = M.checked(complete(df))
+    out = measure(df, cfg).drop("model")
+    ci = M.bootstrap_ci(df, cfg.bootstrap, seed=cfg.seed, cell=cell).select(F.lit("overall").alias("level"), F.lit("all").alias("key"), F.col("lo").alias("auc_lo"), F.col("hi").alias("auc_hi"))
+    out = out.join(F.broadcast(ci), ["level", "key"], "left")
+    if prob:
+        keys = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), (F.coalesce(F.col(c).cast("string"), F.lit("nan")) if c else F.lit("all")).alias("key")) for v, c in (("overall", None), ("quality", "quality")))))
+        e = M.ece(df.select("label", prob, keys.alias("w")).select("label", prob, "w.level", "w.key"), prob=prob, groups=["level", "key"])
+        out = out.join(e, ["level", "key"], "left")
     return out
 
 
@@ -99,13 +123,22 @@ def release_gate(candidate: DataFrame, incumbent: DataFrame, cand_tpr: DataFrame
     """blocked, reasons from two per-generator frames and two overall ones. Blocks if the overall
     primary TPR falls, or that of any generator (not low_n, known to the incumbent) by over max_drop."""
     t = f"tpr_{M.name(cfg.primary_fpr)}"
-    c, i = candidate.select("key", F.col(t).alias("c"), "low_n"), incumbent.select("key", F.col(t).alias("i"))
-    falls = c.join(i, "key").where(~F.col("low_n") & (F.col("i") - F.col("c") > max_drop))
-    per = falls.agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    both = cand_tpr.select(F.col(t).alias("ct")).crossJoin(inc_tpr.select(F.col(t).alias("it"))).crossJoin(per)
-    overall = F.col("ct") < F.col("it") - 1e-9
-    reasons = F.array_compact(F.concat(F.array(F.when(overall, F.lit("overall"))), F.col("keys")))
-    return both.select((overall | (F.size("keys") > 0)).alias("blocked"), F.array_join(reasons, ",").alias("reasons"))
+    named = lambda model, level, df: df.select(F.lit(model).alias("model"), F.lit(level).alias("level"), "key" if "key" in df.columns else F.lit("all").alias("key"), t, "low_n" if "low_n" in df.columns else F.lit(False).alias("low_n"))
+    rows = named("candidate", "generator", candidate).unionByName(named("incumbent", "generator", incumbent)).unionByName(named("candidate", "overall", cand_tpr)).unionByName(named("incumbent", "overall", inc_tpr))
+    return gate(rows, cfg, max_drop)
+
+
+def gate(measured: DataFrame, cfg: EvalConfig = EvalConfig(), max_drop: float = 0.03) -> DataFrame:
+    """blocked, reasons from the measured rows (levels overall and generator) of the models `candidate`
+    and `incumbent`, in two aggregates: one row a key with both models, then one of all."""
+    t = F.col(f"tpr_{M.name(cfg.primary_fpr)}")
+    of = lambda model, c: F.max(F.when(F.col("model") == model, c))
+    both = measured.groupBy("level", "key").agg(of("candidate", t).alias("c"), of("incumbent", t).alias("i"), of("candidate", F.col("low_n")).alias("low_n"))
+    overall = F.bool_or((F.col("level") == "overall") & (F.col("c") < F.col("i") - 1e-9))
+    falls = (F.col("level") == "generator") & ~F.col("low_n") & (F.col("i") - F.col("c") > max_drop)
+    out = both.agg(F.coalesce(overall, F.lit(False)).alias("overall"), F.array_sort(F.collect_list(F.when(falls, F.col("key")))).alias("keys"))
+    reasons = F.array_compact(F.concat(F.array(F.when(F.col("overall"), F.lit("overall"))), F.col("keys")))
+    return out.select((F.col("overall") | (F.size("keys") > 0)).alias("blocked"), F.array_join(reasons, ",").alias("reasons"))
 
 
 def markdown_table(df: DataFrame, floats: str = "{:.3f}") -> str:

@@ -97,14 +97,71 @@ def met8(spark, sf):
     return rounded(M.confusion(lines(spark, sf), 25.0, score="qty"), "precision", "recall", "f1", "fpr", "fdr")
 
 
-@registry("met9_bootstrap_ci")
+def _mixed(source: str) -> str:
+    """source with its 32-bit column x put through the bijection of the draws."""
+    for step in ("xor(x, x >> 16)", f"(x * {M._FIRST}) & {M._MASK}", "xor(x, x >> 15)", f"(x * {M._SECOND}) & {M._MASK}", "xor(x, x >> 16)"):
+        source = f"(SELECT * REPLACE ({step} AS x) FROM {source})"
+    return source
+
+
+def _resampled(scores: tuple[str, ...], cell: str, replicates: int) -> str:
+    """CTEs up to d(rep, scores, y, w): every cell's draw in every replicate."""
+    cuts = ", ".join("[" + ", ".join(f"{c}::BIGINT" for c in M.poisson_cuts(k)) + "]" for k in range(1, M.EXACT + 1))
+    one = " + ".join(f"(u >= {c})::INT" for c in M.poisson_cuts(1))
+    hex8 = lambda i: f"('0x' || substr(md5({cell}), {i}, 8))::BIGINT"
+    first = f"(SELECT *, xor(lo, ((rep + 1) * {M._SPREAD}) & {M._MASK}) AS x FROM cells, reps)"
+    second = f"(SELECT * REPLACE (xor(x, hi) AS x) FROM {_mixed(first)})"
+    third = f"(SELECT *, x AS u FROM {_mixed(second)})"
+    last = _mixed(f"(SELECT * REPLACE (xor(x, {M._OTHER}) AS x) FROM {third})")
+    z = "sqrt(-2 * ln((u + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * ((x + 0.5::DOUBLE) / 4294967296.0::DOUBLE))"
+    return f"""cells AS (SELECT label AS y, {', '.join(scores)}, count(*) AS k, {hex8(9)} AS lo, {hex8(1)} AS hi FROM {LINES_SQL} v GROUP BY ALL),
+reps AS (SELECT unnest(range({replicates})) AS rep),
+d AS (SELECT rep, y, {', '.join(scores)}, CASE WHEN k = 1 THEN {one} WHEN k <= {M.EXACT} THEN len(list_filter([{cuts}][k], lambda c: u >= c)) ELSE greatest(0, floor(k + sqrt(k::DOUBLE) * z + (z * z - 1) / 6 + 0.5::DOUBLE)) END::BIGINT AS w FROM (SELECT *, {z} AS z FROM {last}))"""
+
+
+def _aucs(score: str, out: str) -> str:
+    return f"""{out} AS (SELECT rep, sum(p * (cn - n / 2.0::DOUBLE)) / nullif(sum(p)::DOUBLE * sum(n), 0) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY rep ORDER BY s) AS cn
+FROM (SELECT rep, {score} AS s, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM d GROUP BY ALL)) GROUP BY rep)"""
+
+
+def _interval(value: str, source: str) -> str:
+    q = f"quantile_cont({value}, [0.025, 0.5, 0.975])"
+    return f"SELECT round(q[1], 6) AS lo, round(q[2], 6) AS mid, round(q[3], 6) AS hi, kept FROM (SELECT {q} AS q, count(*) AS kept FROM {source} WHERE {value} IS NOT NULL)"
+
+
+def _cell(*parts: str):
+    """64 bits of the md5 of a cell's values as whole numbers: both engines write those alike."""
+    d = F.md5(F.concat_ws("|", *(F.expr(p).cast("string") for p in parts)))
+    half = lambda at: F.conv(F.substring(d, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+_QTY, _BOTH = "concat_ws('|', label, qty::BIGINT)", "concat_ws('|', label, qty::BIGINT, round(score * 100)::BIGINT)"
+
+
+@registry("met9_bootstrap_ci", f"WITH {_resampled(('qty',), _QTY, REPLICATES)}, {_aucs('qty', 'a')} {_interval('value', 'a')}")
 def met9(spark, sf):
-    return M.bootstrap_ci(lines(spark, sf).select("id", "label", F.col("qty").alias("score")), "id", REPLICATES)
+    return rounded(M.bootstrap_ci(lines(spark, sf), REPLICATES, scores=("qty",), cell=_cell("y", "cast(qty as bigint)")), "lo", "mid", "hi")
 
 
-@registry("met10_paired_bootstrap")
+@registry("met10_paired_bootstrap", f"WITH {_resampled(('qty', 'score'), _BOTH, REPLICATES)}, {_aucs('qty', 'a')}, {_aucs('score', 'b')} {_interval('b.value - a.value', 'a JOIN b USING (rep)')}")
 def met10(spark, sf):
-    return M.bootstrap_ci(lines(spark, sf), "id", REPLICATES, scores=("qty", "score"))
+    return rounded(M.bootstrap_ci(lines(spark, sf), REPLICATES, scores=("qty", "score"), cell=_cell("y", "cast(qty as bigint)", "cast(round(score * 100) as bigint)")), "lo", "mid", "hi")
+
+
+#: resamples of the callback query: a metric of any kind needs every replicate's histogram
+CALLBACK_REPLICATES = 100
+
+
+@registry(
+    "met9_bootstrap_eer",
+    f"""WITH {_resampled(('qty',), _QTY, CALLBACK_REPLICATES)}, h AS (SELECT rep, qty AS s, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM d GROUP BY ALL),
+c AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY s) AS cp, sum(n) OVER (PARTITION BY rep ORDER BY s) AS cn, sum(p) OVER (PARTITION BY rep) AS tp, sum(n) OVER (PARTITION BY rep) AS tn FROM h WHERE p + n > 0),
+a AS (SELECT rep, e.eer AS value FROM (SELECT rep, {_EER} AS e FROM c GROUP BY rep)) {_interval('value', 'a')}""",
+)
+def met9_eer(spark, sf):
+    eer = lambda h: M.from_histogram(h, ["rep"]).select("rep", F.col("eer").alias("value"))
+    return rounded(M.bootstrap_ci(lines(spark, sf), CALLBACK_REPLICATES, scores=("qty",), fn=eer, cell=_cell("y", "cast(qty as bigint)")), "lo", "mid", "hi")
 
 
 @registry(
@@ -135,8 +192,8 @@ g AS (SELECT model, degradation, max(tp) AS tp, max(tn) AS tn, sum(p::DOUBLE * (
 SELECT model, degradation, round(auc, 6) AS auc, round(e.eer, 6) AS eer FROM g""",
 )
 def agg5(spark, sf):
-    long = lines(spark, sf).withColumnsRenamed({"score": "price", "qty": "quantity"}).unpivot(["degradation", "label"], ["price", "quantity"], "model", "score")
-    return M.ranking(long, ["model", "degradation"], ()).select("model", "degradation", r6("auc", "auc"), r6("eer", "eer"))
+    out = M.levels(lines(spark, sf), {"degradation": "degradation"}, {"price": "score", "quantity": "qty"})
+    return out.select("model", F.col("key").alias("degradation"), r6("auc", "auc"), r6("eer", "eer"))
 
 
 def _har1(source: str = LINES_SQL, score: str = "score", x: str = "") -> str:
@@ -175,7 +232,6 @@ o AS (SELECT sum(g.tpr * g.n) / sum(g.n) AS ct, (SELECT sum(tpr * n) / sum(n) FR
 SELECT (ct < it - 1e-9 OR coalesce(len(keys), 0) > 0) AS blocked, concat_ws(',', CASE WHEN ct < it - 1e-9 THEN 'overall' END, nullif(array_to_string(coalesce(keys, []), ','), '')) AS reasons FROM f, o""",
 )
 def har5(spark, sf):
-    df = lines(spark, sf)
-    old = df.withColumn("score", F.col("qty"))
-    tpr = lambda x: M.ranking(x, (), (0.01,)).select("tpr_01")
-    return H.release_gate(H.group_metrics(df, "generator"), H.group_metrics(old, "generator"), tpr(df), tpr(old))
+    return H.gate(H.measure(lines(spark, sf), levels=("overall", "generator"), scores={"candidate": "score", "incumbent": "qty"}))
+
+

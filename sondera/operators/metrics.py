@@ -26,6 +26,12 @@ def checked(df: DataFrame, score: str = "score") -> DataFrame:
     return df.withColumn(score, F.when(F.isnan(score), F.raise_error(F.lit("score is NaN"))).otherwise(F.col(score)))
 
 
+def input_contract(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: rows, nan_scores, null_scores, other_labels (null or neither 0 nor 1), without raising."""
+    s, y = F.col(score).cast("double"), F.col(label)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnan(s)).alias("nan_scores"), F.count_if(s.isNull()).alias("null_scores"), F.count_if(~F.coalesce(y.isin(0, 1), F.lit(False))).alias("other_labels"))
+
+
 def histogram(df: DataFrame, groups: list[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """groups, s, p, n: positives and negatives at each distinct score. Other labels count in neither."""
     return (
@@ -35,11 +41,10 @@ def histogram(df: DataFrame, groups: list[str] = (), label: str = "label", score
     )
 
 
-def with_ranges(df: DataFrame, column: str = "s", ranges: int = RANGES, live: Column | None = None) -> DataFrame:
+def with_ranges(df: DataFrame, column: str = "s", ranges: int = RANGES) -> DataFrame:
     """df with `r`, the number of quantile cuts below the score: 0 .. ranges - 1. The cuts are a row
-    that the same plan computes; nothing runs before the plan does. live: which rows to cut by."""
-    probe = F.col(column) if live is None else F.when(live, F.col(column))
-    cuts = df.agg(F.percentile_approx(probe, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    that the same plan computes; nothing runs before the plan does."""
+    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
     below = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(column)))
     return df.crossJoin(F.broadcast(cuts)).withColumn("r", below).drop("__cuts")
 
@@ -48,11 +53,12 @@ def cumulated(hist: DataFrame, groups: list[str] = ()) -> DataFrame:
     """hist with cp, cn (running sums over a group's scores to this one inclusive), ns (negatives at
     this score) and the group's totals all_p, all_n. Several rows of a group may share a score.
 
-    The cuts and the ranges' totals come from the histogram that the plan has anyhow (all branches
-    need p and n, so that they read one exchange); the rows behind it are scanned once.
+    The cuts and the ranges' totals come from the histogram that the plan has anyhow: all branches
+    need p and n, for the filter, so they read one exchange and the rows behind it are scanned once.
+    Cells of other labels only are left out.
     """
     groups = list(groups)
-    hist = with_ranges(hist, live=F.col("p") + F.col("n") > 0).withColumn("__g", F.struct(*groups, "r"))
+    hist = with_ranges(hist.where(F.col("p") + F.col("n") > 0)).withColumn("__g", F.struct(*groups, "r"))
     per = hist.groupBy("__g").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     group = [F.col("__g")[g] for g in groups] or [F.lit(0)]
     before, every = W.partitionBy(*group).orderBy(F.col("__g.r")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)

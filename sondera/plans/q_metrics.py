@@ -183,6 +183,21 @@ def met12(spark, sf):
     return M.checked(lines(spark, sf)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnan("score")).alias("nan_scores"))
 
 
+_ODD = "SELECT CASE WHEN qty > 45 THEN 'NaN'::DOUBLE WHEN qty < 4 THEN NULL ELSE score END AS score, CASE WHEN quality = 'q_low' THEN NULL ELSE label + (qty > 40)::INT END AS label FROM " + LINES_SQL + " v"
+
+
+@registry("met12_odd_inputs", f"SELECT count(*) AS rows, count(*) FILTER (isnan(score)) AS nan_scores, count(*) FILTER (score IS NULL) AS null_scores, count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) AS other_labels FROM ({_ODD})")
+def met12_odd(spark, sf):
+    odd = lines(spark, sf).selectExpr("CASE WHEN qty > 45 THEN double('NaN') WHEN qty < 4 THEN NULL ELSE score END AS score", "CASE WHEN quality = 'q_low' THEN NULL ELSE label + int(qty > 40) END AS label")
+    return M.input_contract(odd)
+
+
+@registry("met2_strict_threshold", f"WITH {_cum(score='qty')}, t AS (SELECT tn - floor(0.05::DOUBLE * tn) AS w, * FROM c) SELECT max(CASE WHEN cn >= w + 1 AND cn - n < w + 1 THEN s END) AS thr, round(sum(CASE WHEN cn - n >= w THEN p ELSE 0 END)::DOUBLE / max(tp), 6) AS tpr FROM t")
+def met2_strict(spark, sf):
+    out = M.ranking(lines(spark, sf), (), (0.05,), score="qty", strict=True)
+    return out.select(F.col("thr_05").alias("thr"), r6("tpr_05", "tpr"))
+
+
 @registry(
     "agg5_model_by_degradation",
     f"""WITH u AS (SELECT 'price' AS model, degradation, label, score AS x FROM {LINES_SQL} v UNION ALL SELECT 'quantity', degradation, label, qty FROM {LINES_SQL} v),
@@ -235,3 +250,35 @@ def har5(spark, sf):
     return H.gate(H.measure(lines(spark, sf), levels=("overall", "generator"), scores={"candidate": "score", "incumbent": "qty"}))
 
 
+_GROUPED = {"overall": "'all'", "generator": "generator", "family": "family", "quality": "CASE WHEN qty > 40 THEN NULL ELSE quality END", "degradation": "degradation"}
+_UNION = " UNION ALL ".join(f"SELECT '{v}' AS level, coalesce({k}, 'nan') AS key, label, qty AS s, prob FROM {LINES_SQL} v" for v, k in _GROUPED.items())
+_WANT = {f: f"(tn - greatest(floor({f}::DOUBLE * tn), 1) + 1)" for f in (0.001, 0.01, 0.05)}
+
+
+def _rates(f: float) -> str:
+    k, w = M.name(f), _WANT[f]
+    return f"""max(CASE WHEN cn >= {w} AND cn - ns < {w} AND ns > 0 THEN s END) AS thr_{k}, max(floor({f}::DOUBLE * tn)) < 1 AS strict_{k},
+round(sum(CASE WHEN cn - ns >= {w} OR (cn >= {w} AND floor({f}::DOUBLE * tn) >= 1) THEN p ELSE 0 END)::DOUBLE / nullif(sum(p), 0), 6) AS tpr_{k}"""
+
+
+@registry(
+    "har_evaluate",
+    f"""WITH {_resampled(('qty',), _QTY, 500)}, {_aucs('qty', 'boot')}, u AS ({_UNION}),
+h AS (SELECT level, key, CASE WHEN level IN ('generator', 'family') THEN '' ELSE key END AS peer, s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM u GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, peer ORDER BY s) AS cn, sum(n) OVER (PARTITION BY level, peer, s) AS ns, sum(p) OVER (PARTITION BY level, peer ORDER BY s) AS cp, sum(n) OVER (PARTITION BY level, peer) AS tn, sum(p) OVER (PARTITION BY level, peer) AS tp FROM h),
+g AS (SELECT level, key, sum(p)::BIGINT AS n_pos, max(tn)::BIGINT AS n_neg, round(sum(p * (cn - ns / 2.0::DOUBLE)) / nullif(sum(p)::DOUBLE * max(tn), 0), 6) AS auc,
+min(CASE WHEN tp * tn > 0 THEN {{'gap': abs((tn - cn + ns)::DOUBLE / nullif(tn, 0) - (cp - p)::DOUBLE / nullif(tp, 0)), 'thr': s, 'eer': ((tn - cn + ns)::DOUBLE / nullif(tn, 0) + (cp - p)::DOUBLE / nullif(tp, 0)) / 2}} END) AS e, {', '.join(map(_rates, _WANT))} FROM c GROUP BY level, key),
+b AS (SELECT level, key, {_BIN} AS bin, count(*) AS k, avg(label) AS my, avg(prob) AS mp, sum((prob - label) ** 2) AS sq FROM u WHERE level IN ('overall', 'quality') GROUP BY ALL),
+p AS (SELECT level, key, round(sum(k * abs(my - mp)) / sum(k), 6) AS ece, round(sum(sq) / sum(k), 6) AS brier FROM b GROUP BY ALL),
+i AS ({_interval('value', 'boot')})
+SELECT level, key, n_pos, n_neg, auc, CASE WHEN level IN ('generator', 'family') THEN NULL ELSE round(e.eer, 6) END AS eer, CASE WHEN level IN ('generator', 'family') THEN NULL ELSE e.thr END AS eer_thr,
+{', '.join(f'{w}_{M.name(f)}' for f in _WANT for w in ('thr', 'strict', 'tpr'))}, CASE WHEN level IN ('generator', 'family') THEN n_pos ELSE n_pos + n_neg END AS n,
+CASE WHEN level IN ('generator', 'family') THEN n_pos ELSE n_pos + n_neg END < 30 AS low_n, CASE WHEN level = 'overall' THEN i.lo END AS auc_lo, CASE WHEN level = 'overall' THEN i.hi END AS auc_hi, ece, brier
+FROM g CROSS JOIN i LEFT JOIN p USING (level, key) WHERE n_pos > 0 AND (n_neg > 0 OR level IN ('overall', 'generator', 'family'))""",
+)
+def har_evaluate(spark, sf):
+    df = lines(spark, sf).withColumn("quality", F.when(F.col("qty") <= 40, F.col("quality"))).withColumn("score", F.col("qty"))
+    cell = _cell("y", "cast(score as bigint)")
+    out = H.evaluate_table(df.select("label", "score", "prob", "generator", "family", "quality", "degradation"), prob="prob", cell=cell)
+    kept = [c for c in out.columns if c.startswith("tpr_")]
+    return rounded(out, "auc", "eer", "auc_lo", "auc_hi", "ece", "brier", *kept)

@@ -56,7 +56,7 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 300)
     df = frame(spark, y, y + rng.normal(0, 1, 300))
-    r, auc = metrics.bootstrap_ci(df, "id", 20).first(), metrics.ranking(df, (), ()).first()["auc"]
+    r, auc = metrics.bootstrap_ci(df, 20).first(), metrics.ranking(df, (), ()).first()["auc"]
     assert r["lo"] < auc < r["hi"] and r["kept"] == 20
 
 

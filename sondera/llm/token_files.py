@@ -17,7 +17,7 @@ executor costs its parts only. Readers map a part into memory and cut documents
 
 Encoding: between a character that is no white space and a space there always is a cut of the byte
 level tokenizer's own splitting, so texts are cut there, and each distinct piece is encoded by the
-library once and kept, as packed ids, in a bounded memo of the task; texts are then put together from
+library once and kept, as packed ids, in a bounded memo of the worker; texts are then put together from
 the pieces' ids as arrays. The ids equal those of whole texts (compared in tests).
 """
 
@@ -28,6 +28,7 @@ import os
 import re
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import materialize, ranges, read, release, scratch_root, slices
 
 END_ID = 2
-#: Pieces in the memo of a task.
-MEMO = 1 << 20
+#: Pieces in the memo of a worker.
+MEMO = 1 << 19
 #: Stands for a null id in the files.
 NULL_ID = -(1 << 63)
 #: Ids that a reader cuts out of a file at once.
@@ -162,6 +163,12 @@ class Encoder:
         return ids, np.add.reduceat(sizes[which], starts) if n else np.empty(0, np.int64)
 
 
+@lru_cache(1)
+def encoder_of(path: str, end_id: int = END_ID) -> Encoder:
+    """The encoder of this process: the tasks that a worker runs in turn share its memo."""
+    return Encoder(path, end_id)
+
+
 def width_of(vocabulary_size: int, end_id: int = END_ID) -> str:
     return "<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
 
@@ -277,7 +284,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(path, end_id)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(path, end_id)
         ids, sizes = [], []
 
         def chunks():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,15 +45,22 @@ def sign_hash(vec: str = "embedding", bits: int = 64):
     )
 
 
-def dct_matrix(n: int) -> np.ndarray:
-    k, x = np.arange(n)[:, None], np.arange(n)[None, :]
-    m = np.sqrt(2 / n) * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
-    m[0] /= np.sqrt(2)
-    return m
+def phash64(pixels: np.ndarray) -> np.ndarray:
+    """Perceptual hashes (63 bits) of images (n x 32 x 32): low cosine terms but the first, row by row,
+    against their median."""
+    from .images import dct_matrix
 
+    m = dct_matrix(32)[:8]
+    low = np.einsum("ki,nij,lj->nkl", m, np.asarray(pixels, float).reshape(-1, 32, 32), m).reshape(-1, 64)[:, 1:]
+    bits = low > np.median(low, axis=1)[:, None]
+    return (bits.astype(np.int64) << np.arange(63)).sum(axis=1)
 
-def phash64(pixels: np.ndarray) -> int:
-    """Perceptual hash of a 32 x 32 image: low DCT terms but the first against their median."""
-    m = dct_matrix(32)
-    low = (m @ np.asarray(pixels, float) @ m.T)[:8, :8].ravel()[1:]
-    return sum(1 << i for i, on in enumerate(low > np.median(low)) if on)
+
+def phash(pixels: str):
+    """Column: the hash of arrays of 1,024 pixels, a batch of images at a time."""
+
+    @F.pandas_udf("long")
+    def hashed(v: pd.Series) -> pd.Series:
+        return pd.Series(phash64(np.stack(v)) if len(v) else np.empty(0, np.int64))
+
+    return hashed(pixels)

@@ -1,4 +1,4 @@
-"""Rehearsal buffers, round-robin plans, inference-only classifier heads, linear probes."""
+"""Rehearsal buffers, round-robin plans, inference-only classifier heads."""
 
 from __future__ import annotations
 
@@ -58,17 +58,3 @@ def cosine_scores(df: DataFrame, vec: str, weights: list[list[float]], scale: fl
         length = max(sum(v * v for v in w) ** 0.5, 1e-12)
         outs.append(scale * dot(x, F.array(*(F.lit(v / length) for v in w))) / norm)
     return df.withColumn("logits", F.array(*outs))
-
-
-def linear_probe(train: DataFrame, test: DataFrame, vec: str = "embedding", label: str = "label", c: float = 1.0) -> DataFrame:
-    """test with `score`: standardised by the training mean and population deviation, then logistic
-    regression with penalty 1 / (c n)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    n = train.count()
-    dim = len(train.first()[vec])
-    stats = train.agg(*(f(F.col(vec)[i].cast("double")).alias(f"{k}{i}") for i in range(dim) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    scaled = lambda df: df.withColumn("features", array_to_vector(F.array(*((F.col(vec)[i].cast("double") - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0) for i in range(dim)))))
-    model = LogisticRegression(regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=200).fit(scaled(train).withColumn("label", F.col(label).cast("double")).select("features", "label"))
-    return model.transform(scaled(test)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

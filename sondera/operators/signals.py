@@ -90,7 +90,7 @@ def best_balanced_accuracy(df: DataFrame, label: str, axis: str, groups: list[st
     return best.withColumn("flag", F.when(F.col("balanced") >= 0.9, "shortcut").when(F.col("balanced") >= 0.75, "leaky").otherwise(""))
 
 
-def packet_loss(row_id: Column, x: Column, sr: int, rate: float, burst_ms: int = 20, seed: int = 0) -> Column:
+def packet_loss(row_id: Column, x: Column, sr: int, rate: float | Column, burst_ms: int = 20, seed: int = 0) -> Column:
     """Whole frames zeroed where the md5 of (seed, row, frame) falls under the rate; the tail of
     less than a frame is left alone."""
     from ..functions.scalars import hash_uniform
@@ -111,16 +111,61 @@ def shelf_coefficients(fs: float, f0: float = 6500.0, gain_db: float = -12.0, sl
     return b / d[0], d / d[0]
 
 
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, from rest."""
-    z1 = z2 = 0.0
-    out = np.empty(len(x))
-    for i, v in enumerate(np.asarray(x, float)):
-        y = b[0] * v + z1
-        z1 = b[1] * v - a[1] * y + z2
-        z2 = b[2] * v - a[2] * y
-        out[i] = y
-    return out
+def shelf_columns(fs: Column, f0: Column, gain_db: float = -12.0, slope: float = 1.0) -> tuple[list[Column], list[Column]]:
+    """The same a row: (b0, b1, b2) and (a1, a2) as columns, for clips of several rates."""
+    a = 10 ** (gain_db / 40)
+    w = 2 * math.pi * f0 / fs
+    c, r = F.cos(w), 2 * math.sqrt(a) * (F.sin(w) / 2 * math.sqrt((a + 1 / a) * (1 / slope - 1) + 2))
+    d = (a + 1) - (a - 1) * c + r
+    b = [a * ((a + 1) + (a - 1) * c + r), -2 * a * ((a - 1) + (a + 1) * c), a * ((a + 1) + (a - 1) * c - r)]
+    return [x / d for x in b], [x / d for x in (2 * ((a - 1) - (a + 1) * c), (a + 1) - (a - 1) * c - r)]
+
+
+#: Samples that a filter's inner fold appends to one array before they are put away.
+_BLOCK = 64
+
+
+def biquad(x: Column, b, a) -> Column:
+    """x through one second-order section from rest, in the JVM: a fold that carries the section's two
+    state numbers (transposed direct form, with the output put into the state's update).
+
+    An array that a fold appends to is copied each time, so an inner fold fills blocks and an outer
+    one strings them together: work and memory stay in proportion to the clip's length.
+    """
+    b0, b1, b2, a1, a2 = float(b[0]), float(b[1]), float(b[2]), float(a[1]), float(a[2])
+    none = F.array().cast("array<double>")
+    state = lambda z1, z2, out: F.struct(z1.alias("z1"), z2.alias("z2"), out.alias("out"))
+
+    def step(s, v):
+        v = v.cast("double")
+        return state((b1 - a1 * b0) * v - a1 * s["z1"] + s["z2"], (b2 - a2 * b0) * v - a2 * s["z1"], F.concat(s["out"], F.array(b0 * v + s["z1"])))
+
+    def block(x, s, i):
+        filled = F.aggregate(F.slice(x, i * _BLOCK + 1, F.lit(_BLOCK)), state(s["z1"], s["z2"], none), step)
+        return _with(filled, lambda f: state(f["z1"], f["z2"], F.concat(s["out"], F.array(f["out"]))))
+
+    def whole(x):
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")))
+        rest = state(F.lit(0.0), F.lit(0.0), F.array().cast("array<array<double>>"))
+        return F.aggregate(blocks, rest, lambda s, i: block(x, s, i), lambda s: F.flatten(s["out"]))
+
+    return _with(x, whole)
+
+
+def cascade(x: Column, sections) -> Column:
+    """x through several sections, one after another."""
+    for b, a in sections:
+        x = biquad(x, b, a)
+    return x
+
+
+def high_shelf(x: Column, fs: float, f0: float = 6500.0, gain_db: float = -12.0) -> Column:
+    """Channel equalisation: the treble of a clip turned down."""
+    return biquad(x, *shelf_coefficients(fs, f0, gain_db))
+
+
+def bandpass(x: Column, fs: float, lo: float = 300.0, hi: float = 3400.0, order: int = 4) -> Column:
+    return cascade(x, bandpass_sections(fs, lo, hi, order))
 
 
 def bandpass_sections(fs: float, lo: float = 300.0, hi: float = 3400.0, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,103 +189,125 @@ def bandpass_sections(fs: float, lo: float = 300.0, hi: float = 3400.0, order: i
     return out
 
 
-def resample(x: np.ndarray, old: int, new: int) -> np.ndarray:
-    """Band-limited resampling by the Fourier transform."""
-    x = np.asarray(x, float)
-    if old == new or not len(x):
-        return x
-    n = max(1, round(len(x) * new / old))
-    spectrum = np.fft.rfft(x)
-    keep = np.zeros(n // 2 + 1, complex)
-    m = min(len(spectrum), len(keep))
-    keep[:m] = spectrum[:m]
-    return np.fft.irfft(keep, n) * (n / len(x))
+def polyphase(old: int, new: int) -> tuple[int, int, np.ndarray]:
+    """Up and down in lowest terms, and the low-pass filter between: a windowed sinc (Kaiser, beta 5)
+    that reaches ten samples of the slower rate to either side."""
+    g = math.gcd(int(old), int(new))
+    up, down = new // g, old // g
+    half = 10 * max(up, down)
+    m = np.arange(-half, half + 1)
+    h = np.sinc(m / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    return up, down, h / h.sum() * up
 
 
-def room_response(sr: int, rt60: float, rng: np.random.Generator) -> np.ndarray:
-    """A unit direct path, then noise at 0.35 that falls by 60 dB over rt60 seconds."""
-    n = max(1, int(sr * rt60))
-    tail = rng.normal(size=n) * np.exp(-6.9 * np.arange(n) / (sr * rt60))
-    return np.r_[1.0, 0.35 * tail[1:] / max(1e-9, np.abs(tail).max())]
+def resample(x: Column, old: int, new: int) -> Column:
+    """x at another rate, ceil(n new / old) samples: sample k is the filter's sum over the input around
+    k old / new, beyond whose ends there is silence. Only products with input samples are formed."""
+    if old == new:
+        return F.transform(x, lambda v: v.cast("double"))
+    up, down, h = polyphase(old, new)
+    half = len(h) // 2
+    taps = F.array(*(F.lit(float(v)) for v in h)) if len(h) <= 1000 else F.from_json(F.lit(str(h.tolist())), "array<double>")
+    n = F.ceil(F.size(x) * F.lit(up) / F.lit(down)).cast("int")
 
+    def at(k, h):
+        # in whole numbers: the first and last input sample within reach of output sample k
+        first = F.greatest(F.lit(0), F.ceil((k * down - half) / F.lit(float(up))).cast("int"))
+        last = F.least(F.size(x) - 1, F.floor((k * down + half) / F.lit(float(up))).cast("int"))
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, i: s + x[i].cast("double") * h[F.lit(half) + k * down - i * up])
 
-def convolved(x: np.ndarray, response: np.ndarray) -> np.ndarray:
-    """Convolved, cut to the dry length and brought back to the dry RMS."""
-    x = np.asarray(x, float)
-    if not len(x):
-        return x
-    wet = np.convolve(x, response)[: len(x)]
-    level = math.sqrt(float(np.mean(wet**2)))
-    return wet * (math.sqrt(float(np.mean(x**2))) / level) if level else wet
+    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(_with(taps, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda k: at(k, h))))
 
 
-def bandpassed(x: np.ndarray, sr: int) -> np.ndarray:
-    for b, a in bandpass_sections(sr):
-        x = filtered(b, a, x)
-    return x
+def pinned(x: Column, n: Column) -> Column:
+    """Cut or filled with silence to n samples."""
+    return F.slice(F.concat(x, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), n - F.size(x)))), F.lit(1), n)
 
 
-def mu_law_roundtrip(x: np.ndarray, sr: int) -> np.ndarray:
+def mu_law_roundtrip(x: Column, sr: int) -> Column:
     """To 8 kHz, companded to 8 bits and back, at the old rate and length."""
-    narrow = np.clip(resample(x, sr, 8000), -1, 1)
-    comp = np.sign(narrow) * np.log1p(255 * np.abs(narrow)) / math.log(256)
-    grid = np.rint((comp + 1) / 2 * 255) / 255 * 2 - 1
-    back = resample(np.sign(grid) * np.expm1(np.abs(grid) * math.log(256)) / 255, 8000, sr)
-    return np.pad(back, (0, max(0, len(x) - len(back))))[: len(x)]
+    return _with(x, lambda dry: pinned(resample_of(mu_law_clip(resample_of(dry, sr, 8000)), 8000, sr), F.size(dry)))
+
+
+def resample_of(x: Column, old: int, new: int) -> Column:
+    """resample of something that is itself worked out: once, not for each sample."""
+    return _with(x, lambda v: resample(v, old, new))
 
 
-CODECS = {"mulaw": mu_law_roundtrip}
+CODECS = {"g711_mulaw": mu_law_roundtrip}
 
 
-def codec_roundtrip(x: np.ndarray, sr: int, codec: str) -> np.ndarray:
+def codec_roundtrip(x: Column, sr: int, codec: str = "g711_mulaw") -> Column:
     if codec not in CODECS:
         raise ValueError(f"unknown codec: {codec}")
     return CODECS[codec](x, sr)
 
 
-def mapped(df: DataFrame, row_id: str, samples: str, f) -> DataFrame:
-    """id, samples with a NumPy function applied to each clip, in Arrow batches."""
-    kind = df.schema[row_id].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({row_id: b[row_id], samples: [np.asarray(f(np.asarray(x, float))).tolist() for x in b[samples]]})
-
-    return df.select(row_id, samples).mapInPandas(run, f"`{row_id}` {kind}, `{samples}` array<double>")
-
-
-def telephone(x: np.ndarray, sr: int, seed: int) -> tuple[np.ndarray, str]:
-    """Room response (at times), band-pass, 8 kHz companding, packet loss; and the recipe."""
-    rng = np.random.default_rng(seed)
-    y, recipe = np.asarray(x, float), []
-    if rng.random() < 0.5:
-        rt = rng.uniform(0.15, 0.6)
-        y = convolved(y, room_response(sr, rt, rng))
-        recipe.append(f"rir:{rt:.2f}")
-    y = bandpassed(y, sr)
-    recipe.append("band")
-    if rng.random() < 0.9:
-        y = mu_law_roundtrip(y, sr)
-        recipe.append("mulaw")
-    if rng.random() < 0.7:
-        rate, burst = rng.uniform(0.02, 0.10), int(rng.choice([20, 40]))
-        n = max(1, sr * burst // 1000)
-        lost = rng.random(len(y) // n) < rate
-        y[: len(lost) * n][np.repeat(lost, n)] = 0
-        recipe.append(f"loss:{rate:.2f}@{burst}")
-    return y, "|".join(recipe)
-
-
-def telephone_channel(df: DataFrame, row_id: str, samples: str, sr: int, seed: int = 0) -> DataFrame:
-    """id, samples, recipe: each clip degraded by a recipe of its own, seeded by its id."""
-    kind = df.schema[row_id].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            rows = [telephone(x, sr, seed + int(i)) for i, x in zip(b["__h"], b[samples])]
-            yield pd.DataFrame({row_id: b[row_id], samples: [r[0].tolist() for r in rows], "recipe": [r[1] for r in rows]})
-
-    return df.select(row_id, samples, F.pmod(F.xxhash64(row_id), F.lit(1 << 30)).alias("__h")).mapInPandas(run, f"`{row_id}` {kind}, `{samples}` array<double>, recipe string")
+def normal(*parts) -> Column:
+    """A standard normal number from two hashes of the parts."""
+    from ..functions.scalars import hash_uniform
+
+    u, v = (hash_uniform(F.lit(k), *parts) for k in ("u", "v"))
+    return F.sqrt(-2 * F.log1p(-u)) * F.cos(2 * math.pi * v)
+
+
+def room_response(seed: Column, sr: int, rt60: Column) -> Column:
+    """A unit direct path, then noise that falls by 60 dB over rt60 seconds, its peak at 0.35; 8
+    samples at least. The noise is of hashes of the seed."""
+
+    def tail(rt):
+        n = F.greatest(F.lit(8), F.floor(sr * rt).cast("int"))
+        return F.transform(F.sequence(F.lit(1), n - 1), lambda k: normal(seed, k.cast("string")) * F.exp(-6.908 * (k / F.lit(float(sr))) / rt))
+
+    return _with(_with(rt60, tail), lambda t: _with(F.array_max(F.transform(t, F.abs)) + 1e-9, lambda top: F.concat(F.array(F.lit(1.0)), F.transform(t, lambda v: 0.35 * v / top))))
+
+
+def convolved(x: Column, response: Column) -> Column:
+    """Convolved, cut to the dry length and brought back to the dry RMS. Work: samples times taps."""
+
+    def wet(v, h):
+        one = lambda i: F.aggregate(F.sequence(F.lit(0), F.least(i, F.size(h) - 1)), F.lit(0.0), lambda s, k: s + v[i - k].cast("double") * h[k])
+        return F.transform(F.sequence(F.lit(0), F.size(v) - 1), one)
+
+    def levelled(v, y):
+        gain = F.when((rms(y) > 0) & (rms(v) > 0), rms(v) / rms(y)).otherwise(1.0)
+        return _with(gain, lambda g: F.transform(y, lambda s: s * g))
+
+    full = _with(x, lambda v: _with(response, lambda h: _with(wet(v, h), lambda y: levelled(v, y))))
+    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(full)
+
+
+def telephone_recipe(row_id: Column, seed: int = 0, p_rir: float = 0.5, p_codec: float = 0.9, p_loss: float = 0.7) -> Column:
+    """What a clip goes through, drawn from hashes of its id: rir, rt60, codec, loss, rate, burst, text."""
+    from ..functions.scalars import hash_uniform
+
+    u = lambda what: hash_uniform(F.lit(f"{seed}|{what}"), row_id.cast("string"))
+    rt60, rate = 0.15 + 0.45 * u("rt60"), 0.02 + 0.08 * u("rate")
+    burst = F.when(u("burst") < 0.5, 20).otherwise(40)
+    text = F.concat_ws(
+        "|",
+        F.when(u("rir") < p_rir, F.format_string("rir(rt60=%.2f,synthetic)", rt60)),
+        F.lit("bandpass(300-3400)"),
+        F.when(u("codec") < p_codec, F.lit("g711_mulaw")),
+        F.when(u("loss") < p_loss, F.format_string("ploss(rate=%.3f,burst=%dms)", rate, burst)),
+    )
+    return F.struct((u("rir") < p_rir).alias("rir"), rt60.alias("rt60"), (u("codec") < p_codec).alias("codec"), (u("loss") < p_loss).alias("loss"), rate.alias("rate"), burst.alias("burst"), text.alias("text"))
+
+
+def telephone_channel(df: DataFrame, row_id: str, samples: str, sr: int, seed: int = 0, **odds: float) -> DataFrame:
+    """id, samples, recipe: each clip through a room (at times), the telephone's band, 8-bit companding
+    at 8 kHz and packet loss, in this order, by a recipe of its own. The same odds hold for all clips."""
+    i, x, r = F.col(row_id), F.col("__x"), F.col("__r")
+    room = convolved(x, room_response(F.concat_ws("|", F.lit(str(seed)), i.cast("string")), sr, r["rt60"]))
+    lost = F.when(~r["loss"], x).when(r["burst"] == 20, packet_loss(i, x, sr, r["rate"], 20, seed)).otherwise(packet_loss(i, x, sr, r["rate"], 40, seed))
+    out = df.select(row_id, F.col(samples).alias("__x"), telephone_recipe(i, seed, **odds).alias("__r"))
+    out = out.withColumn("__x", F.when(r["rir"], room).otherwise(F.transform(x, lambda v: v.cast("double"))))
+    for section in bandpass_sections(sr):
+        out = out.withColumn("__x", biquad(x, *section))
+    out = out.withColumn("__x", F.when(r["codec"], mu_law_roundtrip(x, sr)).otherwise(x))
+    # an id is never negative, but a filter on the samples isn't written into the steps before it, over and over
+    out = out.withColumn("__x", F.when(F.monotonically_increasing_id() >= 0, lost))
+    return out.select(row_id, x.alias(samples), F.col("__r.text").alias("recipe"))
 
 
 def band_fraction(sr: int, lo: float = 7000.0, hi: float = 8000.0):

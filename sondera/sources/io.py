@@ -131,5 +131,17 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
-    """(path, layer, vec) as Parquet by layer, so that a layer's reader prunes the rest."""
-    df.write.mode("overwrite").partitionBy("layer").parquet(path)
+    """(path, layer, vec) as Parquet by layer, so that a layer's reader prunes the rest. Layers that are
+    written again replace their own folder and no other."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, layers: list[int] | None = None) -> DataFrame:
+    """(path, layer, vec) of some layers, or all; folders of other layers are not listed by the scan."""
+    df = spark.read.parquet(path)
+    return df if layers is None else df.where(F.col("layer").isin(layers))
+
+
+def missing_vectors(wanted: DataFrame, spark: SparkSession, path: str, key: str = "path") -> DataFrame:
+    """Rows of wanted (key, layer) that the store does not hold yet."""
+    return wanted.join(spark.read.parquet(path).select(key, "layer"), [key, "layer"], "left_anti")

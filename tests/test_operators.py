@@ -94,8 +94,9 @@ def test_banded_pairs(spark):
 
 
 def test_phash_is_stable_under_brightness():
-    x = np.random.default_rng(0).normal(size=(32, 32))
-    assert bin(lsh.phash64(x) ^ lsh.phash64(x + 5)).count("1") <= 2
+    x = np.random.default_rng(0).normal(size=(2, 32, 32))
+    a, b = lsh.phash64(x), lsh.phash64(x + 5)
+    assert all(int(p ^ q).bit_count() <= 2 for p, q in zip(a, b)) and a[0] != a[1]
 
 
 def test_gaussian_fit_recovers_parameters(spark):
@@ -152,27 +153,6 @@ def test_gate_blocks_a_fall(spark):
     assert text.startswith("# T") and "per_generator" in text
 
 
-def test_signal_invariants():
-    t = np.arange(32000) / 16000
-    x = 0.3 * np.sin(2 * np.pi * 1000 * t) + 0.3 * np.sin(2 * np.pi * 5000 * t)
-    power = lambda y, f: np.abs(np.fft.rfft(y))[int(f * len(y) / 16000)]
-    y = signals.bandpassed(x, 16000)
-    assert power(y, 5000) < 0.1 * power(x, 5000) and power(y, 1000) > 0.7 * power(x, 1000)
-    assert len(signals.mu_law_roundtrip(x, 16000)) == len(x)
-    a, b = signals.telephone(x, 16000, 3), signals.telephone(x, 16000, 3)
-    assert a[1] == b[1] and np.array_equal(a[0], b[0])
-    with pytest.raises(ValueError):
-        signals.codec_roundtrip(x, 16000, "opus")
-    b, a = signals.shelf_coefficients(16000)
-    assert abs(b.sum() / a.sum()) == pytest.approx(1.0)
-
-
-def test_images_keep_shape():
-    x = np.random.default_rng(0).integers(0, 256, (32, 32, 3)).astype(float)
-    for y in (images.rescale(x, 0.5), images.blur(x, 1.0), images.noise(x, 5, np.random.default_rng(0)), images.contrast(x, 1.3), images.saturation(x, 0.5)):
-        assert y.shape == x.shape and y.min() >= -1e-6 and y.max() <= 255 + 1e-6
-
-
 def test_reservoir_is_capped_and_mergeable(spark):
     df = spark.range(1500).select(F.concat(F.lit("g"), F.col("id") % 3).alias("generator"), F.col("id").alias("item"))
     whole = replay.reservoir(df, "generator", "item", 50)

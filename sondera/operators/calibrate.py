@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,28 +49,80 @@ def segmented(df: DataFrame, segment: str, min_n: int = 200, label: str = "label
     return out.select(segment, "n", "own", F.when(F.col("own"), F.col("__t")).otherwise(F.col("__g")).alias("temperature"))
 
 
-def platt(df: DataFrame, label: str = "label", score: str = "score", c: float = 1e6):
-    """(slope, intercept) of a logistic regression on the logit, penalty 1 / c."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = df.select(F.col(label).cast("double").alias("label"), logit(F.col(score), EPS).alias("z"))
-    n = rows.count()
-    data = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows)
-    model = LogisticRegression(regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=200, tol=1e-9).fit(data)
-    return float(model.coefficients[0]), float(model.intercept)
-
-
-def isotonic(df: DataFrame, label: str = "label", score: str = "score"):
-    """A fitted isotonic model; `apply_isotonic` clips what it gives."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(labelCol="label", featuresCol="score").fit(df.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score")))
-
-
-def apply_isotonic(df: DataFrame, model, score: str = "score", out: str = "prob") -> DataFrame:
-    got = model.setFeaturesCol(score).setPredictionCol(out).transform(df)
-    return got.withColumn(out, clip(F.col(out), EPS, 1 - EPS))
+def platt(df: DataFrame, label: str = "label", score: str = "score", c: float = 1e6, steps: int = 50) -> tuple[float, float]:
+    """(slope, intercept) of a logistic regression on the logit, slope^2 / 2 + c * log loss, by Newton's
+    method: an iteration sums five numbers over the distinct scores."""
+    points = _points(df, [], label, score)
+    a, b = 0.0, 0.0
+    for _ in range(steps):
+        p = sigmoid(a * F.col("z") + b)
+        g, w = (p - F.col("y")) * F.col("k") * c, p * (1 - p) * F.col("k") * c
+        z = F.col("z")
+        r = points.agg(F.sum(g * z), F.sum(g), F.sum(w * z * z), F.sum(w * z), F.sum(w)).first()
+        if r[0] is None:
+            break
+        ga, gb, aa, ab, bb = r[0] + a, r[1], r[2] + 1, r[3], r[4]
+        det = aa * bb - ab * ab
+        if not det > 0:
+            break
+        da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < 1e-10:
+            break
+    return a, b
+
+
+def pooled(blocks):
+    """Pool adjacent violators: (lo, hi, sum, weight) in order of lo -> the same with rising means."""
+    stack: list[list[float]] = []
+    for lo, hi, y, w in blocks:
+        stack.append([lo, hi, y, w])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            _, hi, y, w = stack.pop()
+            top = stack[-1]
+            top[1], top[2], top[3] = hi, top[2] + y, top[3] + w
+    return stack
+
+
+def _pool(df: DataFrame, parts: int) -> DataFrame:
+    """The blocks of each of `parts` ranges pooled, by streaming through them in order."""
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(b[c].to_pylist() for c in ("lo", "hi", "y", "w"))))
+        out = pooled(rows)
+        yield pa.record_batch([pa.array([r[i] for r in out], pa.float64()) for i in range(4)], names=["lo", "hi", "y", "w"])
+
+    return df.repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(run, "lo double, hi double, y double, w double")
+
+
+def isotonic(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """lo, hi, value: the isotonic fit's blocks of scores, in any order.
+
+    Violators are pooled inside score ranges first, on all cores, and what is left of each range is
+    then pooled across ranges: pooling may begin anywhere and gives the same blocks. The last step is one
+    task; blocks of 0/1 labels with rising means are fractions that all differ, so n rows leave n^(2/3)
+    blocks at most, and usually some hundreds.
+    """
+    spark = df.sparkSession
+    cells = df.groupBy(F.col(score).cast("double").alias("lo")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    ranged = _pool(cells.select("lo", F.col("lo").alias("hi"), "y", "w"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _pool(ranged, 1).select("lo", "hi", (F.col("y") / F.col("w")).alias("value"))
+
+
+def apply_isotonic(df: DataFrame, blocks: DataFrame, score: str = "score", out: str = "prob") -> DataFrame:
+    """df with the fit's value: a block's inside it, between two blocks on the line from one to the
+    other, beyond the ends the end's; clipped. The blocks (see their bound) go to each task."""
+    rows = sorted(tuple(r) for r in blocks.collect())
+    x = np.array([v for lo, hi, _ in rows for v in (lo, hi)])
+    y = np.array([v for *_, v in rows for _ in (0, 1)])
+    sent = df.sparkSession.sparkContext.broadcast((x, y))
+
+    @F.pandas_udf("double")
+    def value(s: pd.Series) -> pd.Series:
+        x, y = sent.value
+        return pd.Series(np.interp(s.to_numpy(float), x, y)).where(s.notna().to_numpy())
+
+    return df.withColumn(out, clip(value(F.col(score).cast("double")), EPS, 1 - EPS))
 
 
 def fit_calibrator(df: DataFrame, kind: str = "temperature", label: str = "label", score: str = "score"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming64
+from .order import covering_width
 
 
 def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int = 64, max_bucket: int | None = None, block: int = 500) -> DataFrame:
@@ -36,6 +39,38 @@ def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int =
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).where(F.col("distance") <= max_dist).distinct()
 
 
+def covered_pairs(hashes: DataFrame, max_dist: int = 6, bits: int = 64, block: int = 500, n: int | None = None) -> DataFrame:
+    """a, b, distance for ids a < b that differ in max_dist bits at most: all of them.
+
+    Hashes are cut into max_dist + t groups of bits. Two that are near differ in max_dist groups at
+    most, so they agree in t groups at least, and every choice of t groups is a key: near pairs meet
+    in one key at least. t follows from the number of hashes (n; counted if not given): keys are as
+    wide as it takes for chance meetings to be few. A pair counts in the first key it shares alone, told by
+    its own bits, so nothing is made distinct. Keys of over `block` ids are cut into blocks.
+    """
+    n = hashes.count() if n is None else n
+    groups, taken = covering_width(max(1, n), max_dist, bits)
+    edges = [bits * g // groups for g in range(groups + 1)]
+    mask = lambda g: ((1 << edges[g + 1]) - (1 << edges[g])) - (1 << 64 if edges[g + 1] == 64 else 0)  # noqa: E731  signed
+    union = lambda gs: F.lit(sum(mask(g) for g in gs)).cast("long")
+    sets = list(combinations(range(groups), taken))
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("set"), F.col("hash").bitwiseAND(union(s)).alias("key")) for i, s in enumerate(sets))))
+    rows = hashes.select("id", "hash", keys.alias("k")).select("id", "hash", "k.*")
+    sizes = rows.groupBy("set", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = rows.join(sizes.select("set", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), ["set", "key"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(every)).alias("a")
+    b = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(every)).alias("b")
+    pairs = a.join(b, [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("set", "key", "i", "j")), F.col("a.id") < F.col("b.id")])
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.set").alias("set"), F.col("a.hash").bitwiseXOR(F.col("b.hash")).alias("x"))
+    # the first key that two hashes share is of their first `taken` equal groups
+    equal = F.filter(F.array(*(F.when(F.col("x").bitwiseAND(union([g])) == 0, F.lit(g)) for g in range(groups))), lambda g: g.isNotNull())
+    chosen = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in sets)), F.col("set") + 1)
+    near = pairs.withColumn("distance", F.bit_count("x")).where((F.col("distance") <= max_dist) & (F.slice(equal, 1, taken) == chosen))
+    return near.select("a", "b", "distance")
+
+
 def sign_hash(vec: str = "embedding", bits: int = 64):
     """A 64-bit hash of a vector: bit i is set where component i is positive."""
     return F.aggregate(

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    """Record of a fine-tuning run. Fixed values."""
+
+    lr: float = 1e-4
+    head_lr: float = 1e-3
+    epochs: int = 5
+    batch_size: int = 64
+    rehearsal_ratio: float = 0.5
+    rank: int = 16
+    alpha: int = 32
+
 
 def priority(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)))
@@ -39,10 +56,9 @@ def mixed_batch(new: DataFrame, buffer: DataFrame, key: str, item: str, ratio: f
 
 
 def round_robin(df: DataFrame, id_col: str, voices: list[str], engines: list[str]) -> DataFrame:
-    """id, voice, engine: voices in turn over the sorted ids, each with every engine."""
-    order = W.orderBy(id_col)
-    n = F.row_number().over(order) - 1
-    return df.select(id_col).distinct().withColumn("__n", n).select(id_col, F.element_at(F.array(*map(F.lit, voices)), (F.col("__n") % len(voices) + 1).cast("int")).alias("voice"), F.explode(F.array(*map(F.lit, engines))).alias("engine"))
+    """id, voice, engine: voices in turn over the sorted (whole-number) ids, each with every engine."""
+    rows = numbered(df.select(id_col).distinct(), id_col, "__n")
+    return rows.select(id_col, F.element_at(F.array(*map(F.lit, voices)), (F.col("__n") % len(voices) + 1).cast("int")).alias("voice"), F.explode(F.array(*map(F.lit, engines))).alias("engine"))
 
 
 def dot(a: Column, b: Column) -> Column:

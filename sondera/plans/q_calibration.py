@@ -52,17 +52,31 @@ def cal2(spark, sf):
     return rounded(C.temperature(lines(spark, sf), score="prob"), "temperature", "nll")
 
 
-@registry("cal3_platt")
+_P = "(1 / (1 + exp(-(a * z + b))))"
+_PLATT = f"""pts AS {_points()}, fit AS (WITH RECURSIVE r(i, a, b) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+SELECT i + 1, a - (bb * ga - ab * gb) / (aa * bb - ab * ab), b - (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (SELECT i, a, b, 1e6::DOUBLE * sum(k * ({_P} - y) * z) + a AS ga, 1e6::DOUBLE * sum(k * ({_P} - y)) AS gb,
+1e6::DOUBLE * sum(k * {_P} * (1 - {_P}) * z * z) + 1 AS aa, 1e6::DOUBLE * sum(k * {_P} * (1 - {_P}) * z) AS ab, 1e6::DOUBLE * sum(k * {_P} * (1 - {_P})) AS bb FROM r, pts WHERE i < 12 GROUP BY i, a, b)) SELECT a, b FROM r WHERE i = 12)"""
+
+
+_PLATT_Z = f"(a * {_logit('prob')} + b)"
+
+
+@registry("cal3_platt", f"WITH {_PLATT} SELECT id, round({_sig(_PLATT_Z)}, 6) AS prob FROM {LINES_SQL} v, fit")
 def cal3(spark, sf):
     df = lines(spark, sf)
     a, b = C.platt(df, score="prob")
-    return df.select("id", S.sigmoid(a * S.logit(F.col("prob")) + b).alias("prob"))
+    return df.select("id", F.round(S.sigmoid(a * S.logit(F.col("prob")) + b), 6).alias("prob"))
+
+
+_ISO = f"""h AS (SELECT prob AS s, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w FROM {LINES_SQL} v GROUP BY 1), c AS (SELECT s, sum(y) OVER (ORDER BY s) AS cy, sum(w) OVER (ORDER BY s) AS cw, y, w FROM h),
+span AS (SELECT a.s AS a, b.s AS b, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.s <= b.s),
+low AS (SELECT h.s, span.a, min(mean) AS m FROM h JOIN span ON span.a <= h.s AND span.b >= h.s GROUP BY ALL), iso AS (SELECT s, max(m) AS value FROM low GROUP BY s)"""
 
 
-@registry("cal4_isotonic")
+@registry("cal4_isotonic", f"WITH {_ISO} SELECT id, round(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, value)), 6) AS calibrated FROM {LINES_SQL} v JOIN iso ON prob = s")
 def cal4(spark, sf):
     df = lines(spark, sf).select("id", "label", "prob")
-    return C.apply_isotonic(df, C.isotonic(df, score="prob"), "prob", "calibrated").select("id", "calibrated")
+    return C.apply_isotonic(df, C.isotonic(df, score="prob"), "prob", "calibrated").select("id", F.round("calibrated", 6).alias("calibrated"))
 
 
 _SEG = "CASE WHEN qty >= 50 THEN 'rare' ELSE degradation END"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import lsh, replay, split
-from ..sources import io
+from ..operators import lsh, order, replay, split
+from ..sources import io, scratch
 from .registry import Registry, r6
 from .views import LINES_SQL, MANIFEST_SQL, lines, manifest, table, uniform_duck
 
@@ -40,9 +41,9 @@ def rel3(spark, sf):
     return c.join(keys, c["c_nationkey"] == keys["n_nationkey"], "left_semi").select("c_custkey")
 
 
-@registry("rel4_computed_columns", f"SELECT id, CASE WHEN label = 1 THEN 'fake' ELSE 'real' END AS kind, 'unknown' AS channel FROM {LINES_SQL} v WHERE label = 1")
+@registry("rel4_computed_columns", f"SELECT id, CASE WHEN label = 1 THEN 'fake' ELSE 'real' END AS kind, 'unknown' AS channel FROM {LINES_SQL} v")
 def rel4(spark, sf):
-    return lines(spark, sf).where("label = 1").select("id", F.when(F.col("label") == 1, "fake").otherwise("real").alias("kind"), F.lit("unknown").alias("channel"))
+    return lines(spark, sf).select("id", F.when(F.col("label") == 1, "fake").otherwise("real").alias("kind"), F.lit("unknown").alias("channel"))
 
 
 @registry("rel5_path_normalise", f"SELECT doc_id, path FROM {MANIFEST_SQL} v")
@@ -117,9 +118,9 @@ def rel16(spark, sf):
     return io.missing_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
-@registry("rel17_unpivot", f"SELECT id, 'score' AS model, score AS x FROM {LINES_SQL} v WHERE label = 1 UNION ALL SELECT id, 'qty', qty FROM {LINES_SQL} v WHERE label = 1")
+@registry("rel17_unpivot", f"SELECT id, 'score' AS model, score AS x FROM {LINES_SQL} v UNION ALL SELECT id, 'qty', qty FROM {LINES_SQL} v")
 def rel17(spark, sf):
-    return lines(spark, sf).where("label = 1").unpivot("id", ["score", "qty"], "model", "x")
+    return lines(spark, sf).unpivot("id", ["score", "qty"], "model", "x")
 
 
 _T18 = "trim(c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '?' ELSE '' END)"
@@ -160,7 +161,7 @@ def agg3(spark, sf):
     b = lines(spark, sf).withColumn("band", band)
     key = ["degradation", "generator"]
     text = b.groupBy(*key, "band").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "band", "n"))), " ").alias("bands"))
-    return b.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile("qty", F.lit(0.5)).alias("med"), F.min("qty").alias("lo"), F.max("qty").alias("hi")).join(text, key)
+    return order.quantiles(b, key, "qty", {"med": 0.5}).select(*key, "n", "med", "lo", "hi").join(text, key)
 
 
 @registry("agg4_class_coverage", f"SELECT split, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (label = 0) = 0 OR count(*) FILTER (label = 1) = 0 AS single_class FROM {SPLIT_SQL} v GROUP BY 1")
@@ -208,10 +209,25 @@ def dat5(spark, sf):
     return a.join(b, F.col("b.id") == F.col("a.id") + 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), S.hamming64(F.col("a.hash"), F.col("b.hash")).alias("distance"))
 
 
-@registry("dat6_phash_pairs", f"""WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings)
+def reencoded_hashes(spark, sf):
+    """The hashes and, of each, a second one under its id + 1,000,000 with up to eight bits flipped."""
+    h = hashes(spark, sf)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("id") * (2 * k + 3) + 5 * k, F.lit(64)).cast("int"))
+    flip = F.lit(0).cast("long")
+    for k in range(8):
+        flip = flip.bitwiseOR(F.when(F.pmod("id", F.lit(9)) > k, bit(k)).otherwise(F.lit(0).cast("long")))
+    return h.unionByName(h.select((F.col("id") + 1_000_000).alias("id"), F.col("hash").bitwiseXOR(flip).alias("hash")))
+
+
+def _flip() -> str:
+    bit = lambda k: f"(CASE WHEN (id * {2 * k + 3} + {5 * k}) % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << ((id * {2 * k + 3} + {5 * k}) % 64) END)::BIGINT"
+    return " | ".join(f"(CASE WHEN id % 9 > {k} THEN {bit(k)} ELSE 0 END)" for k in range(8))
+
+
+@registry("dat6_phash_pairs", f"""WITH h0 AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings), h AS (SELECT * FROM h0 UNION ALL SELECT id + 1000000, xor(hash, ({_flip()})::BIGINT) FROM h0)
 SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6""")
 def dat6(spark, sf):
-    return lsh.near_pairs(hashes(spark, sf))
+    return lsh.covered_pairs(reencoded_hashes(spark, sf))
 
 
 @registry("dat6_phash_pairs_wide", f"""WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings)
@@ -225,20 +241,54 @@ def dat7(spark, sf):
     return table(spark, sf, "events").select("event_id", S.quality_bucket(F.col("value")).alias("quality"))
 
 
-@registry("io3_json_map", "SELECT user_id, sum(value)::DOUBLE AS gain FROM (SELECT DISTINCT user_id, 2.5::DOUBLE AS value FROM events) GROUP BY 1")
+@registry("io3_json_map", "SELECT 'user/' || user_id || '.wav' AS key, round(sum(value), 4) AS gain, count(*) AS clips FROM events GROUP BY user_id")
 def io3(spark, sf):
-    e = table(spark, sf, "events").select("user_id").distinct()
-    text = e.groupBy(F.pmod("user_id", F.lit(64))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), F.struct(F.lit(2.5).alias("gain")))))).alias("value"))
-    return text.select(F.explode(F.from_json("value", "map<string,struct<gain:double>>")).alias("k", "v")).select(F.col("k").cast("long").alias("user_id"), "v.gain")
+    per = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("gain"), F.count(F.lit(1)).alias("clips"))
+    entry = F.struct(F.concat(F.lit("user\\"), "user_id", F.lit(".wav")), F.struct("gain", "clips"))
+    logs = per.groupBy(F.pmod("user_id", F.lit(64)).alias("log")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    with scratch.folder(spark, "logs") as path:
+        logs.select("value").repartition(8).write.option("lineSep", "\n").text(path)  # a file a task, with several objects
+        one = spark.read.text(path)  # one object a file is what the reader takes: a folder for each
+        one.withColumn("log", F.pmod(F.xxhash64("value"), F.lit(1 << 30))).repartition("log").write.partitionBy("log").text(f"{path}/each")
+        return scratch.kept(io.read_json_map(spark, f"{path}/each/*", "struct<gain:double,clips:bigint>"), "logs-read")
+
 
+def planted_tree(spark, rel, root: str) -> int:
+    """Files (a byte each; Spark leaves out empty ones) of the relative paths in `rel` below a shared folder; how many."""
 
-@registry("io6_tree_manifest", f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'piper/spk' || doc_id % 7 || '/a_' || doc_id || '.wav' ELSE 'authentic/n' || doc_id % 5 || '_x.mp4' END AS p FROM documents)
+    def run(batches):
+        from pyarrow import fs
+
+        where, at = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for p in b[0].to_pylist():
+                where.create_dir(f"{at}/{p.rsplit('/', 1)[0]}", recursive=True)
+                with where.open_output_stream(f"{at}/{p}") as f:
+                    f.write(b".")
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rel.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+
+
+@registry("io6_tree_manifest", f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'piper/spk' || doc_id % 7 || '/a_' || doc_id || '.wav' WHEN doc_id % 9 = 1 THEN 'authentic/notes_' || doc_id || '.txt' ELSE 'authentic/n' || doc_id || '_x.MP4' END AS p FROM documents)
 SELECT p AS path, CASE WHEN p LIKE 'authentic/%' THEN 0 ELSE 1 END AS label, split_part(p, '/', 1) AS generator, {_family_sql("split_part(p, '/', 1)")} AS family,
-CASE WHEN doc_id % 2 = 0 THEN split_part(p, '/', 2) ELSE split_part(split_part(p, '/', 2), '_', 1) END AS source_id, CASE WHEN p LIKE '%.mp4' THEN 'video' ELSE 'audio' END AS media_type, 'native' AS quality FROM f""")
+CASE WHEN doc_id % 2 = 0 THEN split_part(p, '/', 2) ELSE split_part(split_part(p, '/', 2), '_', 1) END AS source_id, CASE WHEN p LIKE '%.MP4' THEN 'video' ELSE 'audio' END AS media_type, 'native' AS quality FROM f WHERE p NOT LIKE '%.txt'""")
 def io6(spark, sf):
     d = F.col("doc_id")
-    p = F.when(d % 2 == 0, F.concat(F.lit("piper/spk"), d % 7, F.lit("/a_"), d, F.lit(".wav"))).otherwise(F.concat(F.lit("authentic/n"), d % 5, F.lit("_x.mp4")))
-    return io.manifest_of(table(spark, sf, "documents").select(p.alias("rel")), "rel")
+    p = F.when(d % 2 == 0, F.concat(F.lit("piper/spk"), d % 7, F.lit("/a_"), d, F.lit(".wav"))).when(d % 9 == 1, F.concat(F.lit("authentic/notes_"), d, F.lit(".txt"))).otherwise(F.concat(F.lit("authentic/n"), d, F.lit("_x.MP4")))
+    with scratch.folder(spark, "tree") as root:
+        planted_tree(spark, table(spark, sf, "documents").select(p.alias("rel")), root)
+        return scratch.kept(io.scan_tree(spark, root), "tree-read")
+
+
+@registry("io4_keyed_upsert", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(value * 2, 4) WHEN event_id % 2 = 0 THEN round(value, 4) END AS value, CASE WHEN event_id % 3 = 0 THEN 'again' END AS note FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def io4(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.round("value", 4).alias("value"))
+    again = e.where("event_id % 3 = 0").select("event_id", F.round(F.col("value") * 2, 4).alias("value"), F.lit("again").alias("note"))
+    with scratch.folder(spark, "keyed") as path:
+        io.upsert(spark, path, e.where("event_id % 2 = 0"), "event_id")
+        io.upsert(spark, path, again, "event_id")
+        return scratch.kept(io.upsert(spark, path, again, "event_id"), "keyed-read")  # the second time changes nothing
 
 
 @registry("ft3_reservoir", f"SELECT generator, id FROM (SELECT generator, id, row_number() OVER (PARTITION BY generator ORDER BY md5('0|' || generator || '|' || id), id) AS r FROM {LINES_SQL} v WHERE label = 1) WHERE r <= 50")
@@ -252,7 +302,9 @@ def ft4(spark, sf):
     return replay.sample(replay.reservoir(lines(spark, sf).where("label = 1"), "generator", "id", 500), "generator", "id", 30, "gen2").select("generator", "id")
 
 
-@registry("ft5_mixed_batch")
+@registry("ft5_mixed_batch", f"""WITH b AS (SELECT * FROM (SELECT generator, id, md5('0|' || generator || '|' || id) AS p, row_number() OVER (PARTITION BY generator ORDER BY md5('0|' || generator || '|' || id), id) AS r FROM {LINES_SQL} v WHERE label = 1) WHERE r <= 50),
+w AS (SELECT floor(count(*) * 0.5::DOUBLE / 0.5::DOUBLE)::BIGINT AS n FROM {LINES_SQL} v WHERE label = 0), s AS (SELECT generator, id, row_number() OVER (ORDER BY generator, p, id) AS i FROM b, w WHERE r <= greatest(1, n // (SELECT count(DISTINCT generator) FROM b)))
+SELECT generator, id, false AS replayed FROM {LINES_SQL} v WHERE label = 0 UNION ALL SELECT generator, id, true FROM s, w WHERE i <= n""")
 def ft5(spark, sf):
     df = lines(spark, sf)
     buffer = replay.reservoir(df.where("label = 1"), "generator", "id", 50)
@@ -264,9 +316,10 @@ def ft6(spark, sf):
     return replay.reservoir(lines(spark, sf).where("label = 1"), "generator", "id", 50).groupBy("generator").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registry("ft7_cosine_schedule", "SELECT step, round(CASE WHEN step < 20 THEN step / 20.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - 20) / 180.0::DOUBLE))) END, 6) AS lr FROM (SELECT unnest(range(0, 221)) AS step)")
+@registry("ft7_cosine_schedule", "SELECT event_id AS step, round(CASE WHEN event_id < 900 THEN event_id / 900.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (event_id - 900) / 8100.0::DOUBLE))) END, 6) AS lr FROM events")
 def ft7(spark, sf):
-    return spark.range(221).select(F.col("id").alias("step"), r6(S.cosine_schedule(F.col("id"), 200), "lr"))
+    # an event is a step of a run of 9,000 steps; later ones stay at the end of the schedule
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"), r6(S.cosine_schedule(F.col("event_id"), 9000), "lr"))
 
 
 @registry("prb4_consistency_guard", f"SELECT bool_and(abs(score - score::FLOAT::DOUBLE) <= 1e-6 + 1e-5 * abs(score::FLOAT::DOUBLE)) AS consistent, count(*) FILTER (abs(score - qty) > 1e-6 + 1e-5 * abs(qty)) AS unlike FROM {LINES_SQL} v")

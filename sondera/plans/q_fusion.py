@@ -63,10 +63,9 @@ def fus6(spark, sf):
     return U.score_scans(evidence(spark, sf), HEAD).select("id", F.inline(ranked))
 
 
-@registry("fus7_driver_and_verdict", f"SELECT v.id, {_VERDICT.format(p=_P)} AS verdict, d.dimension AS driver FROM {EVIDENCE_SQL} v JOIN (SELECT id, arg_max(dimension, abs(c)) AS dimension FROM ({_CARDS}) GROUP BY id) d ON v.id = d.id WHERE {' OR '.join(f'a_{d}' for d in DIMENSIONS)}")
+@registry("fus7_driver_and_verdict", f"SELECT v.id, {_VERDICT.format(p=_P)} AS verdict, d.dimension AS driver FROM {EVIDENCE_SQL} v JOIN (SELECT id, dimension FROM (SELECT id, dimension, row_number() OVER (PARTITION BY id ORDER BY abs(c) DESC, place) AS r FROM ({_CARDS})) WHERE r = 1) d ON v.id = d.id")
 def fus7(spark, sf):
-    any_card = F.expr(" or ".join(f"a_{d}" for d in DIMENSIONS))
-    return U.score_scans(evidence(spark, sf).where(any_card), HEAD).select("id", "verdict", "driver")
+    return U.score_scans(evidence(spark, sf), HEAD).select("id", "verdict", "driver")
 
 
 @registry("fus8_abstention_rate", f"SELECT round(avg(({_P} >= 0.5 AND {_P} < 0.85)::INT), 6) AS abstention_rate FROM {EVIDENCE_SQL} v")

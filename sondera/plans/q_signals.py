@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quality_bucket
-from ..operators import images, lsh, probes, replay
+from ..operators import images, lsh, order, probes, replay
 from ..operators import signals as G
 from ..sources import io, scratch
 from .registry import Registry, r6, rounded
@@ -45,7 +45,7 @@ def shc3(spark, sf):
 @registry("shc4_axis_report", f"SELECT label, round(quantile_cont({_PEAK}, 0.5), 6) AS med, round(min({_PEAK}), 6) AS lo, round(max({_PEAK}), 6) AS hi FROM embeddings GROUP BY 1")
 def shc4(spark, sf):
     p = G.peak(F.col("embedding"))
-    return clips(spark, sf).groupBy("label").agg(r6(F.percentile(p, F.lit(0.5)), "med"), r6(F.min(p), "lo"), r6(F.max(p), "hi"))
+    return rounded(order.quantiles(clips(spark, sf).select("label", p.alias("peak")), ["label"], "peak", {"med": 0.5}).select("label", "med", "lo", "hi"), "med", "lo", "hi")
 
 
 @registry(

@@ -1,4 +1,4 @@
-"""Readers and writers: manifests, scored frames, keyed JSON logs, directory trees, WAV clips."""
+"""Readers and writers: manifests, scored frames, keyed logs and tables, directory trees, clips, vectors."""
 
 from __future__ import annotations
 
@@ -37,16 +37,34 @@ def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return whole.select(normalise_path(F.col("key")).alias("key"), "v.*" if value.startswith("struct") else F.col("v").alias("value"))
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> DataFrame:
-    """The table at path with rows replaced or added by key, written to a new version beside it and
-    returned; the caller swaps versions (readers of the old one are not disturbed)."""
-    try:
-        old = spark.read.parquet(path).join(rows.select(key), key, "left_anti")
-        return old.unionByName(rows, allowMissingColumns=True)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return rows
+#: Folders that a keyed table is dealt to by its key's hash.
+PARTS = 64
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
+    """Write rows into the keyed table at path, replacing those of the same key, and return the table.
+
+    A key's hash tells its folder. Only the folders that rows fall into are read and written again,
+    each as a whole when the job commits, so readers see a folder before or after, and a job that is
+    run again writes the same. A key that `rows` holds more than once keeps its greatest row. New
+    columns are null in old rows, and the other way round. `parts` is the table's for good.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    values = F.struct(*[c for c in rows.columns if c != key])
+    rows = rows.groupBy(key).agg(F.max(values).alias("__v")).select(key, "__v.*").withColumn("part", part)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        old = spark.read.parquet(path)
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # `parts` numbers at most
+        stay = old.where(F.col("part").isin(touched)).join(rows.select(key), key, "left_anti")
+        rows = stay.unionByName(rows, allowMissingColumns=True)
+    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return keyed_table(spark, path)
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `upsert` wrote."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("part")
 
 
 def missing_keys(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -108,6 +126,29 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
         return w.getframerate(), to_mono(x / 32768.0)
 
 
+def decode_any(df: DataFrame, value: str, files: DataFrame | None = None) -> DataFrame:
+    """df with sr and samples in place of `value`, a struct that has a clip in one of several shapes: `array`
+    with `sampling_rate`, `bytes` of a WAV file, or the `path` of one among files (path, content).
+    The first of these that is there counts; a clip in none of them raises."""
+    fields = df.schema[value].dataType.names
+    has = lambda f, kind: F.col(value)[f] if f in fields else F.lit(None).cast(kind)
+    raw = has("bytes", "binary")
+    if files is not None and "path" in fields:
+        found = files.select(F.col("path").alias("__p"), F.col("content").alias("__c"))
+        df = df.join(found, has("path", "string") == F.col("__p"), "left").drop("__p")
+        raw = F.coalesce(raw, F.col("__c"))
+    wav = F.when(has("array", "array<float>").isNull(), F.when(raw.isNull(), F.raise_error(F.lit("a clip has neither samples, bytes nor a known file")).cast("binary")).otherwise(raw))
+
+    @F.pandas_udf("sr int, samples array<float>")
+    def decoded(content: pd.Series) -> pd.DataFrame:
+        got = [decode_wav(c) if c is not None else (None, None) for c in content]
+        return pd.DataFrame({"sr": pd.Series([g[0] for g in got], dtype="Int32"), "samples": [None if g[1] is None else g[1].astype(np.float32) for g in got]})
+
+    out = df.withColumn("__d", decoded(wav))
+    sr, samples = F.coalesce(F.col("__d.sr"), has("sampling_rate", "int").cast("int")), F.coalesce(F.col("__d.samples"), has("array", "array<float>").cast("array<float>"))
+    return out.withColumn("sr", sr).withColumn("samples", samples).drop("__d", "__c", value)
+
+
 def encode_wav(x, sr: int) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

@@ -23,6 +23,7 @@ the pieces' ids as arrays. The ids equal those of whole texts (compared in tests
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -42,12 +43,14 @@ END_ID = 2
 MEMO = 1 << 19
 #: Stands for a null id in the files.
 NULL_ID = -(1 << 63)
+#: Bytes of text that are encoded at once: the more, the fewer distinct pieces a byte.
+_SLICE = 1 << 22
 #: Ids that a reader cuts out of a file at once.
 _AT_ONCE = 1 << 22
 _BETWEEN_SPACES = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )")
-# letters and ASCII signs of which any splitting by letters, digits and the rest makes the same words
-_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+# ASCII signs: a run of them after letters is cut from these, and into nothing smaller
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -72,7 +75,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(width_of(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id))
-        self.end, self.limit, self.young, self.old = end_id, memo, {}, {}
+        self.end, self.limit, self.young, self.old, self.signs = end_id, memo, {}, {}, {}
         before = self.tokenizer.pre_tokenizer
         # only a byte-level tokenizer without normaliser is known to cut where a space begins
         self.cuts = self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
@@ -89,78 +92,92 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *(" " + x for x in rest)]
 
+    def whole(self, text: str) -> bytes:
+        """Packed ids of a text of which nothing is known, piece by piece if it is long."""
+        pieces = self.pieces(text)
+        runs = ["".join(pieces[at : at + (1 << 16)]) for at in range(0, len(pieces), 1 << 16)]
+        return b"".join(np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, self.dtype).tobytes() for r in runs)
+
     def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of each piece. A word with signs after it is a word and its signs, and many are
-        encoded at once; any other piece is encoded by itself. What half a memo's worth of newer pieces
-        has not needed is forgotten."""
+        """Packed ids of each piece with a space before it. A word with signs after it is a word and its
+        signs, and many words are encoded at once; any other piece is encoded by itself. What half a
+        memo's worth of newer pieces has not needed is forgotten."""
         if len(self.young) > self.limit // 2:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, old, signs_of = self.young, self.old, self.signs
         out = list(map(young.get, pieces))
-        open_ = [i for i, x in enumerate(out) if x is None]
         words, others, composed = {}, {}, []
-        for i in open_:
+        for i in [i for i, x in enumerate(out) if x is None]:
             p = pieces[i]
-            if (x := old.get(p)) is not None:
-                young[p] = out[i] = x
-            elif self.cuts and (m := _WORD.fullmatch(p)):
-                composed.append((i, m.groups()))
+            word = p.rstrip(_SIGNS)
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                composed.append((i, word, p[len(word) :]))
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
+                    else:
+                        words[word] = None
+            elif p in old:
+                out[i] = young[p] = old[p]
             else:
                 others[p] = None
-        for _, parts in composed:
-            for x in parts:
-                if x and x not in young:
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        words[x] = None
         words = list(words)
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
-            text = " ".join(["\u0120" + x[1:] if x[0] == " " and x.isascii() else x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in some])
+            text = " ".join(["\u0120" + x if x.isascii() else "\u0120" + x.encode().decode("latin-1").translate(self.letters) for x in some])
             got = self.by_word.encode(text, add_special_tokens=False)
             packed = np.array(got.ids, self.dtype).tobytes()
             edges = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
-            young.update((x, packed[i:j]) for x, i, j in zip(some, edges, edges[1:]))
-        for i, (word, signs) in composed:
-            out[i] = young[word] + young[signs] if signs else young[word]
+            young.update(zip(some, [packed[i:j] for i, j in zip(edges, edges[1:])]))
+        for i, word, signs in composed:
+            if signs:
+                tail = signs_of.get(signs)
+                if tail is None:
+                    tail = self.whole(signs)
+                    if len(signs_of) < self.limit // 16:
+                        signs_of[signs] = tail
+                out[i] = young[word] + tail
+            else:
+                out[i] = young[word]
         if others:
             names = list(others)
-            for p, got in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
+            for p, got in zip(names, self.tokenizer.encode_batch_fast([" " + p for p in names], add_special_tokens=False)):
                 young[p] = np.array(got.ids, self.dtype).tobytes()
-            for i in open_:
-                if out[i] is None:
+            for i, x in enumerate(out):
+                if x is None:
                     out[i] = young[pieces[i]]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts (string, no nulls), end ids included, and the ids of each text."""
         n = len(texts)
+        if not n:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
         whole = texts.to_pylist()
         odd = [i for i, t in enumerate(whole) if not self.cuts or _BETWEEN_SPACES.search(t)]
-        if odd:  # their pieces are not what lies between single spaces: one piece for each of them
+        if odd:  # their pieces are not what lies between single spaces
             mask = np.zeros(n, bool)
             mask[odd] = True
             texts = pa.compute.if_else(pa.array(mask), pa.scalar("", texts.type), texts)
         split = pa.compute.split_pattern(texts, " ")
         codes = pa.compute.dictionary_encode(split.flatten())
-        distinct = [" " + p for p in codes.dictionary.to_pylist()]
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         first = [t[: t.find(" ")] if " " in t else t for t in whole]
         for i in odd:
             first[i] = ""
-        packed = self.ids_of([*distinct, *first]) if n else []
+        packed = self.ids_of(codes.dictionary.to_pylist())
+        distinct = len(packed)
+        packed += [np.array(got.ids, self.dtype).tobytes() for got in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
         for i in odd:
-            pieces = self.pieces(whole[i])
-            packed[len(distinct) + i] = b"".join(b"".join(self.ids_of(pieces[at : at + (1 << 16)])) for at in range(0, len(pieces), 1 << 16))
+            packed[distinct + i] = self.whole(whole[i])
         packed.append(np.array([self.end], self.dtype).tobytes())
         which = codes.indices.to_numpy().astype(np.int64)
-        which[starts] = len(distinct) + np.arange(n)  # a text's first piece has no space before it
-        which = np.insert(which, np.r_[starts[1:], len(which)] if n else [], len(packed) - 1)
+        which[starts] = distinct + np.arange(n)  # a text's first piece has no space before it
+        which = np.insert(which, np.r_[starts[1:], len(which)], len(packed) - 1)
         starts = starts + np.arange(n)
-        sizes = np.array([len(p) for p in packed], np.int64) // self.dtype.itemsize
+        sizes = np.array(list(map(len, packed)), np.int64) // self.dtype.itemsize
         ids = np.frombuffer(b"".join(packed), self.dtype)[ranges((np.cumsum(sizes) - sizes)[which], sizes[which])]
-        return ids, np.add.reduceat(sizes[which], starts) if n else np.empty(0, np.int64)
+        return ids, np.add.reduceat(sizes[which], starts)
 
 
 @lru_cache(1)
@@ -288,12 +305,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
         ids, sizes = [], []
 
         def chunks():
-            for batch in batches:
-                for b in slices(batch, "t"):
-                    tokens, n = encoder.encode(b["t"].fill_null(""))
-                    ids.append(b["i"].fill_null(NULL_ID).to_numpy())
-                    sizes.append(n)
-                    yield tokens.tobytes()
+            gc.disable()  # strings by the million and no cycles among them
+            try:
+                for batch in batches:
+                    for b in slices(batch, "t", _SLICE):
+                        tokens, n = encoder.encode(b["t"].fill_null(""))
+                        ids.append(b["i"].fill_null(NULL_ID).to_numpy())
+                        sizes.append(n)
+                        yield tokens.tobytes()
+            finally:
+                gc.enable()
 
         stream = chunks()
         first = next(stream, None)

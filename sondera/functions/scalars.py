@@ -38,7 +38,8 @@ FAMILIES = {
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

@@ -45,8 +45,8 @@ SHARD_TERMS = 1 << 20
 BLOCK_TERMS = 200_000
 #: Shards of the first search are one in so many, and so many at most.
 SEED_SHARE, SEED_SHARDS = 12, 64
-#: Subtrees in a wave.
-WAVE = 1 << 19
+#: Subtrees in a wave: the most promising ranges first, the others when those are done.
+WAVE = 1 << 16
 #: Stands for a null document id inside; such rows come after all others of their score.
 NULL_ID = (1 << 63) - 1
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -208,11 +208,13 @@ class Shard:
             lo, hi, hit = _split(self.docs, self.left, self.right, node, pivot[owner], low[owner], high[owner])
             score = np.add.reduceat(np.where(hit >= 0, weights * self.impacts[hit], 0), starts)
             best.add(q, score, self.ids[pivot])
+            below = []
             for child, least, most in ((lo, low, pivot), (hi, pivot + 1, high)):
                 there = child >= 0
                 count = np.bincount(owner[there], minlength=len(q))
                 some = count > 0
-                waves.append((q[some], least[some], most[some], count[some], child[there], weights[there]))
+                below.append((q[some], least[some], most[some], count[some], child[there], weights[there]))
+            waves.append(tuple(map(np.concatenate, zip(*below))))
         return met
 
 

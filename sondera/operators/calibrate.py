@@ -125,17 +125,17 @@ def apply_isotonic(df: DataFrame, blocks: DataFrame, score: str = "score", out:
     return df.withColumn(out, clip(value(F.col(score).cast("double")), EPS, 1 - EPS))
 
 
-def fit_calibrator(df: DataFrame, kind: str = "temperature", label: str = "label", score: str = "score"):
-    """A function DataFrame -> DataFrame that adds `prob`; kinds: temperature, platt, isotonic."""
+def fit_calibrator(df: DataFrame, kind: str = "temperature", label: str = "label", score: str = "score", out: str = "prob"):
+    """A function DataFrame -> DataFrame that adds `out`; kinds: temperature, platt, isotonic."""
     if kind == "temperature":
         t = temperature(df, (), label, score).first()["temperature"]
-        return lambda x: x.withColumn("prob", sigmoid(logit(F.col(score), EPS) / t))
+        return lambda x: x.withColumn(out, sigmoid(logit(F.col(score), EPS) / t))
     if kind == "platt":
         a, b = platt(df, label, score)
-        return lambda x: x.withColumn("prob", sigmoid(a * logit(F.col(score), EPS) + b))
+        return lambda x: x.withColumn(out, sigmoid(a * logit(F.col(score), EPS) + b))
     if kind == "isotonic":
         model = isotonic(df, label, score)
-        return lambda x: apply_isotonic(x, model, score)
+        return lambda x: apply_isotonic(x, model, score, out)
     raise ValueError(f"unknown calibrator: {kind}")
 
 

@@ -148,11 +148,15 @@ def markdown_table(df: DataFrame, floats: str = "{:.3f}") -> str:
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.collect()])
 
 
+def flagged(groups: DataFrame) -> DataFrame:
+    """groups with `flag`: low n, BLIND (AUC under 0.6), weak (under 0.8) or nothing."""
+    return groups.withColumn("flag", F.when(F.col("low_n"), "low n").when(F.col("auc") < 0.6, "BLIND").when(F.col("auc") < 0.8, "weak").otherwise(""))
+
+
 def report(result: dict[str, DataFrame], cfg: EvalConfig = EvalConfig(), title: str = "Evaluation") -> str:
     """Markdown of a result: generators worst first, marked BLIND (AUC under 0.6) or weak (0.8)."""
-    flag = F.when(F.col("low_n"), "low n").when(F.col("auc") < 0.6, "BLIND").when(F.col("auc") < 0.8, "weak").otherwise("")
     parts = [f"# {title}", f"Settings: {asdict(cfg)}"]
     for k, frame in result.items():
-        parts += [f"## {k}", markdown_table(frame.withColumn("flag", flag) if "low_n" in frame.columns else frame)]
+        parts += [f"## {k}", markdown_table(flagged(frame) if "low_n" in frame.columns else frame)]
     gaps = [r["key"] for r in result["per_generator"].where("low_n").collect()]
     return "\n\n".join([*parts, "## Coverage gaps", ", ".join(gaps) or "none"]) + "\n"

@@ -79,6 +79,15 @@ def cal4(spark, sf):
     return C.apply_isotonic(df, C.isotonic(df, score="prob"), "prob", "calibrated").select("id", F.round("calibrated", 6).alias("calibrated"))
 
 
+@registry("cal5_calibrators", f"WITH {_PLATT}, {_ISO}, best AS (SELECT b.t AS tt FROM ({_temperature(_points(), _grid(0.05, 10.0, 400))})) SELECT id, round({_sig('(' + _logit('prob') + ' / tt)')}, 6) AS temperature, round({_sig(_PLATT_Z)}, 6) AS platt, round(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, value)), 6) AS isotonic FROM {LINES_SQL} v JOIN iso ON prob = s, fit, best")
+def cal5(spark, sf):
+    df = lines(spark, sf).select("id", "label", "prob")
+    out = df
+    for kind in ("temperature", "platt", "isotonic"):
+        out = C.fit_calibrator(df, kind, score="prob", out=kind)(out)
+    return out.select("id", *(r6(k, k) for k in ("temperature", "platt", "isotonic")))
+
+
 _SEG = "CASE WHEN qty >= 50 THEN 'rare' ELSE degradation END"
 
 

@@ -241,6 +241,13 @@ def dat7(spark, sf):
     return table(spark, sf, "events").select("event_id", S.quality_bucket(F.col("value")).alias("quality"))
 
 
+@registry("io1_csv_manifest", f"SELECT path, label, generator, family, source_id, media_type, quality, split FROM {SPLIT_SQL} v")
+def io1(spark, sf):
+    with scratch.folder(spark, "csv") as path:
+        io.write_csv(divided(spark, sf).select(F.translate("path", "/", "\\").alias("path"), *split.MANIFEST[1:]), path)  # as another system wrote it
+        return scratch.kept(io.read_manifest(spark, path), "csv-read")
+
+
 @registry("io3_json_map", "SELECT 'user/' || user_id || '.wav' AS key, round(sum(value), 4) AS gain, count(*) AS clips FROM events GROUP BY user_id")
 def io3(spark, sf):
     per = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("gain"), F.count(F.lit(1)).alias("clips"))

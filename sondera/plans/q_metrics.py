@@ -224,6 +224,11 @@ def har1(spark, sf):
     return H.group_metrics(lines(spark, sf), "generator").select("key", "n", r6("auc", "auc"), r6("tpr_01", "tpr_01"), "low_n")
 
 
+@registry("har6_flags", f"WITH {_har1(score='qty')} SELECT key, CASE WHEN n < 30 THEN 'low n' WHEN auc < 0.6 THEN 'BLIND' WHEN auc < 0.8 THEN 'weak' ELSE '' END AS flag FROM g")
+def har6(spark, sf):
+    return H.flagged(H.group_metrics(lines(spark, sf).withColumn("score", F.col("qty")), "generator")).select("key", "flag")
+
+
 def _by(group: str) -> str:
     return f"""WITH {_cum(group=group)}, t AS (SELECT {group}, {_thr(0.01)} AS t, {_strict(0.01)} AS k FROM c GROUP BY {group})
 SELECT {group}, (max(tp) + max(tn))::BIGINT AS n, {_AUC} AS auc, round({_tpr(0.01, 't.t', 't.k')}, 6) AS tpr FROM c JOIN t USING ({group}) GROUP BY {group} HAVING max(tp) > 0 AND max(tn) > 0"""

@@ -37,9 +37,12 @@ def shc2(spark, sf):
     return clips(spark, sf).select("vec_id", r6(G.silence_fraction(F.col("embedding"), SR, share=0.55), "silence"))
 
 
-@registry("shc3_band_fraction")
+_POWER = "[list_sum([x[i + 1] * cos(2 * pi() * k * i / 64) for i in range(64)]) ** 2 + list_sum([x[i + 1] * sin(2 * pi() * k * i / 64) for i in range(64)]) ** 2 for k in range({a}, {b})]"
+
+
+@registry("shc3_band_fraction", f"SELECT vec_id, round(list_sum({_POWER.format(a=16, b=24)}) / list_sum({_POWER.format(a=0, b=33)}), 6) AS share FROM (SELECT vec_id, {_X} AS x FROM embeddings)")
 def shc3(spark, sf):
-    return clips(spark, sf).select("vec_id", G.band_fraction(SR, 100.0, 150.0)("embedding").alias("share"))
+    return clips(spark, sf).select("vec_id", r6(G.band_fraction(SR, 100.0, 150.0)("embedding"), "share"))
 
 
 @registry("shc4_axis_report", f"SELECT label, round(quantile_cont({_PEAK}, 0.5), 6) AS med, round(min({_PEAK}), 6) AS lo, round(max({_PEAK}), 6) AS hi FROM embeddings GROUP BY 1")
@@ -273,7 +276,16 @@ def sig10(spark, sf):
     return samples_of(clips(spark, sf).select("vec_id", G.zero_mean_unit_var(F.col("embedding")).alias("embedding")))
 
 
-@registry("dat4_phash")
+_ROWS8 = "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in images.dct_matrix(32)[:8].ravel()) + "]"
+
+
+@registry(
+    "dat4_phash",
+    f"""WITH g AS (SELECT vec_id // 16 AS image, flatten(list({_X} ORDER BY vec_id)) AS x FROM embeddings GROUP BY 1 HAVING count(*) = 16),
+h AS (SELECT image, [list_sum([({_ROWS8})[p // 32 * 32 + i + 1] * x[i * 32 + p % 32 + 1] for i in range(32)]) for p in range(256)] AS h FROM g),
+l AS (SELECT image, [list_sum([h[p // 8 * 32 + j + 1] * ({_ROWS8})[p % 8 * 32 + j + 1] for j in range(32)]) for p in range(1, 64)] AS l FROM h)
+SELECT image, list_sum([CASE WHEN l[i + 1] > list_median(l) THEN 1::BIGINT << i ELSE 0 END for i in range(63)])::BIGINT AS hash FROM l""",
+)
 def dat4(spark, sf):
     # 16 vectors one after another are the 1,024 pixels of an image, so every number of every vector counts
     rows = clips(spark, sf).groupBy(F.floor(F.col("vec_id") / 16).alias("image")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda v: v["embedding"])).alias("pixels"))
@@ -353,3 +365,11 @@ def io7(spark, sf):
         io.write_vectors(layered(spark, sf).select("path", "layer", "vec"), store)
         total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
         return scratch.kept(io.read_vectors(spark, store, [4, 6]).select("path", "layer", F.round(total, 5).alias("total")), "features-read")
+
+
+@registry("io8_wav_round_trip", f"SELECT 'clip_' || vec_id || '.wav' AS name, 16000 AS sr, unnest(range(len(embedding)::INT))::INT AS i, round(unnest([greatest(-32768, least(32767, round_even(v * 32768, 0))) / 32768.0::DOUBLE for v in {_X}]), 5) AS y FROM embeddings")
+def io8(spark, sf):
+    with scratch.folder(spark, "wav") as path:
+        io.write_wav(clips(spark, sf).select(F.format_string("clip_%d.wav", "vec_id").alias("name"), F.lit(16000).alias("sr"), F.col("embedding").alias("samples")), path)
+        back = io.read_wav(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sr", F.posexplode("samples").alias("i", "y"))
+        return scratch.kept(back.withColumn("y", F.round(F.col("y").cast("double"), 5)), "wav-read")

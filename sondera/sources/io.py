@@ -159,6 +159,28 @@ def encode_wav(x, sr: int) -> bytes:
     return out.getvalue()
 
 
+def write_wav(df: DataFrame, folder: str) -> int:
+    """A 16-bit PCM file below a shared folder (a URI) for each row (name, sr, samples); how many. A task
+    that runs again writes the same files, each under a name of its own first."""
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        where, at = fs.FileSystem.from_uri(folder)
+        where.create_dir(at, recursive=True)
+        for b in batches:
+            for name, sr, x in zip(b["name"], b["sr"], b["samples"]):
+                own = f"{at}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(own) as out:
+                    out.write(encode_wav(x, int(sr)))
+                where.move(own, f"{at}/{name}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return df.select("name", "sr", "samples").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """path, sr, samples of WAV files below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)

@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -269,6 +270,20 @@ class _Build:
         return out
 
 
+@contextmanager
+def _one_by_one(spark: SparkSession):
+    """Rows of some megabytes, such as shards, are read and sent to Python one at a time, not by the thousand."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "1")
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 class TreapIndex:
     """A written index: `path` (a folder of Parquet), N and L of the ranking."""
 
@@ -306,7 +321,8 @@ class TreapIndex:
             if shard.count:
                 yield _batch(shard.row())
 
-        rows.mapInArrow(shards, _STORED).write.option("compression", "zstd").parquet(f"{path}/shards")
+        plain = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24)}
+        rows.mapInArrow(shards, _STORED).write.options(**plain).parquet(f"{path}/shards")
         spark.createDataFrame([(n_docs, n_terms)], "docs long, terms long").write.parquet(f"{path}/counts")
         return cls(spark, path, n_docs, n_terms)
 
@@ -384,29 +400,35 @@ class TreapIndex:
         out = spark.createDataFrame([], f"item_id {kind.simpleString()}, rank int, doc_id long, score long")
         paths = [rows_path]
         for block in range(blocks if self.n_docs else 0):
-            mine = sorted(rows.where(dealt == block).collect(), key=lambda r: bytes(r["q"]))
-            df = self.frequencies(sorted({bytes(t) for r in mine for t in r["terms"]}))
-            queries = [[(bytes(t), n * weight(self.n_docs, df[bytes(t)])) for t, n in zip(r["terms"], r["times"]) if bytes(t) in df] for r in mine]
-            # a first look at a few shards: what the k-th best document has at least
-            seeds = min(SEED_SHARDS, n_shards // SEED_SHARE)
-            bounds = None
-            if seeds:
-                few = shards.where(F.pmod(F.xxhash64("doc_ids"), F.lit(n_shards // seeds)) == 0)
-                few = self._ranked(self._search(few, queries, k), k).where(F.col("rank") == k).collect()
-                bounds = [(0, -(1 << 63))] * len(queries)
-                for r in few:
-                    bounds[r["query"]] = (r["score"], NULL_ID if r["doc_id"] is None else r["doc_id"])
-            ids = spark.createDataFrame([(n, r["i"]) for n, r in enumerate(mine)], f"query long, item_id {kind.simpleString()}") if mine else None
-            if ids is not None:
-                found = self._ranked(self._search(shards, queries, k, bounds), k).join(F.broadcast(ids), "query").select("item_id", "rank", "doc_id", "score")
-                found, path = materialize(found, "search-found")
-                paths.append(path)
-                out = out.unionByName(found)
+            with _one_by_one(spark):
+                found = self._ranked_block(rows.where(dealt == block), shards, n_shards, k, kind.simpleString())
+            if found is not None:
+                paths.append(found[1])
+                out = out.unionByName(found[0])
         if len(paths) > 1:
             out, _ = materialize(out, "search-ranked")
         release(spark, *paths)
         return out
 
+    def _ranked_block(self, rows: DataFrame, shards: DataFrame, n_shards: int, k: int, kind: str) -> tuple[DataFrame, str] | None:
+        """The written ranking of one block of queries, and its path."""
+        spark = self.spark
+        mine = sorted(rows.collect(), key=lambda r: bytes(r["q"]))
+        if not mine:
+            return None
+        df = self.frequencies(sorted({bytes(t) for r in mine for t in r["terms"]}))
+        queries = [[(bytes(t), n * weight(self.n_docs, df[bytes(t)])) for t, n in zip(r["terms"], r["times"]) if bytes(t) in df] for r in mine]
+        # a first look at a few shards: what the k-th best document has at least
+        seeds, bounds = min(SEED_SHARDS, n_shards // SEED_SHARE), None
+        if seeds:
+            few = shards.where(F.pmod(F.xxhash64("doc_ids"), F.lit(n_shards // seeds)) == 0)
+            bounds = [(0, -(1 << 63))] * len(queries)
+            for r in self._ranked(self._search(few, queries, k), k).where(F.col("rank") == k).collect():
+                bounds[r["query"]] = (r["score"], NULL_ID if r["doc_id"] is None else r["doc_id"])
+        ids = spark.createDataFrame([(n, r["i"]) for n, r in enumerate(mine)], f"query long, item_id {kind}")
+        found = self._ranked(self._search(shards, queries, k, bounds), k).join(F.broadcast(ids), "query").select("item_id", "rank", "doc_id", "score")
+        return materialize(found, "search-found")
+
     @staticmethod
     def _ranked(found: DataFrame, k: int) -> DataFrame:
         order = W.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())

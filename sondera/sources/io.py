@@ -54,7 +54,9 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, parts: int
     rows = rows.groupBy(key).agg(F.max(values).alias("__v")).select(key, "__v.*").withColumn("part", part)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        old = spark.read.parquet(path)
+        old = spark.read.option("mergeSchema", "true").parquet(path)
+        if "part" not in old.columns:
+            raise ValueError(f"{path} holds a table that was not written by upsert")
         touched = [r["part"] for r in rows.select("part").distinct().collect()]  # `parts` numbers at most
         stay = old.where(F.col("part").isin(touched)).join(rows.select(key), key, "left_anti")
         rows = stay.unionByName(rows, allowMissingColumns=True)

@@ -180,9 +180,12 @@ def test_json_map_and_upsert(spark, tmp_path):
     assert got == {"a/b.wav": 1.5, "c.wav": 2.0}
     rows = spark.createDataFrame([("x", 1), ("y", 2)], "name string, v int")
     assert io.upsert(spark, f"file://{tmp_path}/none", rows, "name").count() == 2
-    rows.write.parquet(f"file://{tmp_path}/t")
+    io.upsert(spark, f"file://{tmp_path}/t", rows, "name")
     again = io.upsert(spark, f"file://{tmp_path}/t", spark.createDataFrame([("y", 5)], "name string, v int"), "name")
     assert {r["name"]: r["v"] for r in again.collect()} == {"x": 1, "y": 5}
+    rows.write.parquet(f"file://{tmp_path}/plain")
+    with pytest.raises(ValueError, match="not written by upsert"):
+        io.upsert(spark, f"file://{tmp_path}/plain", rows, "name")
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):

@@ -293,12 +293,13 @@ def _best(pairs: DataFrame, dim: int, keep: int, real: type) -> DataFrame:
                 scores = q @ e.T
                 if len(e) > keep:
                     edge = np.partition(scores, len(e) - keep, axis=1)[:, len(e) - keep]
-                    # those that tie with the last one stay in, for the ids to decide
-                    row, column = np.nonzero(scores >= edge[:, None])
+                    # those that tie with the last one, within rounding, stay in, for the ids to decide
+                    row, column = np.nonzero(scores >= (edge - 1e-12 * np.abs(edge))[:, None])
                 else:
                     row, column = np.divmod(np.arange(scores.size), len(e))
                 qs.append(q_ids[row])
-                ss.append(scores[row, column])
+                # a product of matrices rounds by their shapes: what counts is each pair's own product
+                ss.append(np.einsum("ij,ij->i", q[row], e[column]))
                 lows.append(low[column])
                 for c in np.unique(column).tolist():
                     lists[ids[c][0]] = ids[c]

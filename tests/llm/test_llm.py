@@ -586,7 +586,7 @@ def test_empty_pages(spark):
 def test_queries_are_registered():
     from sondera.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):

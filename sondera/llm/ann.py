@@ -152,13 +152,23 @@ def _log_success(slots: np.ndarray, place: np.ndarray, width: float) -> np.ndarr
     return np.log(np.maximum((_erf(low + width / math.sqrt(2)) - _erf(low)) / 2, 1e-12)).sum(axis=1)
 
 
+def _least_hashes(vectors: DataFrame, size: int) -> list:
+    """SAMPLE_ROWS of the `size` distinct vectors, those of the smallest hashes. Only about twice as
+    many are sorted, so that what tasks send to the driver does not grow with their number."""
+    first = lambda df: df.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("v").collect()
+    share = 2 * SAMPLE_ROWS / max(1, size)
+    if share < 1 and len(out := first(vectors.where(F.xxhash64("v") < int(share * 2.0**64) - (1 << 63)))) == SAMPLE_ROWS:
+        return out
+    return first(vectors)
+
+
 def fit(vectors: DataFrame, asked: DataFrame, size: int, dim: int, scale: float, top: int = TOP, target: float = TARGET) -> Index:
     """An index's parameters, from at most SAMPLE_QUERIES queries and SAMPLE_ROWS rows, those of the
     smallest hashes."""
     sample = asked.orderBy(F.xxhash64("qid", "v"), "qid").limit(SAMPLE_QUERIES).collect()
     pad = lambda v: np.pad(np.array(v, float), (0, dim - len(v)))
     q = np.array([pad(r["v"]) for r in sample]).reshape(-1, dim)
-    rows = np.array([pad(r["v"]) for r in vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("v").collect()]).reshape(-1, dim)
+    rows = np.array([pad(r["v"]) for r in _least_hashes(vectors, size)]).reshape(-1, dim)
     near = _nearest_of_sample(vectors, np.array([r["qid"] for r in sample]), q, top).collect() if len(q) else []
     at = np.array([r["q"] for r in near], int)
     score, v = np.array([r["score"] for r in near]), np.array([r["v"] for r in near]).reshape(-1, dim)
@@ -218,7 +228,9 @@ def _probed(queries: DataFrame, index: Index, dim: int, kind: str) -> DataFrame:
                 take = pa.array(at, pa.int64())
                 yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate(buckets), pa.int64()), batch[0].take(take), v.take(take)], names=["t", "bucket", "qid", "v"])
 
-    return queries.select("qid", "v").mapInArrow(run, f"t int, bucket long, qid long, v array<{kind}>")
+    # few bytes are much work here: dealt by number, so that they are not packed into a task or two
+    dealt = queries.select("qid", "v").repartition(2 * queries.sparkSession.sparkContext.defaultParallelism, "qid")
+    return dealt.mapInArrow(run, f"t int, bucket long, qid long, v array<{kind}>")
 
 
 def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str, dim: int, real: type) -> DataFrame:
@@ -254,6 +266,13 @@ def _packed(rows: DataFrame, most: int, ids: str, kind: str, name: str, dim: int
     return dealt.select("t", "bucket", ids, "v").mapInArrow(run, f"t int, bucket long, {name} array<{kind}>, {name}_v binary")
 
 
+def _meeting(probes: DataFrame, packs: DataFrame, keys: list[str]) -> DataFrame:
+    """Packs of queries with packs of entries. Spark judges the size of either side by the rows before
+    they were probed or repeated, some hundred times fewer, and would send it through the driver to
+    every task: the join is told to deal both sides out."""
+    return probes.hint("merge").join(packs.hint("merge"), keys)
+
+
 def _top(q: np.ndarray, s: np.ndarray, low: np.ndarray, keep: int) -> np.ndarray:
     """Places of the best `keep` different entries of each query, by score, then smallest id."""
     order = np.lexsort((low, -s, q))
@@ -358,7 +377,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     index = fit(distinct, asked, distinct.count(), dim, scale, top, target)
     packs, packs_path = materialize(_packed(_hashed(distinct, index, dim, kind), BLOCK, "ids", "array<bigint>", "es", dim, real), "ann-index")
     probes = _packed(_probed(asked, index, dim, kind), BATCH, "qid", "bigint", "qs", dim, real)
-    pairs = probes.join(packs, ["t", "bucket"])
+    pairs = _meeting(probes, packs, ["t", "bucket"])
     found, found_path = materialize(_ranked(_best(pairs, dim, top + 1, real), top), "ann-found")
     # a query that has found fewer than it is due meets the first table, whole, in numbered blocks
     have = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
@@ -368,7 +387,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         blocks = max(1, whole.count() // 16)
         rest = _packed(short.withColumn("t", F.lit(0)).withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(64))), BATCH, "qid", "bigint", "qs", dim, real).select("qs", "qs_v")
         rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = rest.join(whole.withColumn("block", F.pmod(F.xxhash64("es_v"), F.lit(blocks)).cast("int")), "block")
+        met = _meeting(rest, whole.withColumn("block", F.pmod(F.xxhash64("es_v"), F.lit(blocks)).cast("int")), ["block"])
         again = _ranked(_best(met, dim, top + 1, real), top)
         found = found.join(short.select("qid").distinct(), "qid", "left_anti").select("qid", "rank", "vec_id", "score").unionByName(again.select("qid", "rank", "vec_id", "score"))
         found, again_path = materialize(found, "ann-found")

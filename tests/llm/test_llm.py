@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 
 import numpy as np
@@ -705,3 +706,25 @@ def test_pipeline_near_copies_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (None, b), (4, c), (4, d), (3, near), (5, None), (None, ""), (6, e), (6, e)]
     got = P.one_of_near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (4, c), (3, near), (5, None), (6, e)]))
+
+
+def test_ann_probes_are_never_sent_whole_through_the_driver(spark, monkeypatch):
+    """Few queries probe many buckets: the join must not be planned by the queries' own small size."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plans, real = [], ann._best
+    monkeypatch.setattr(ann, "_best", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or real(pairs, *a))
+    got = ann.neighbours(rows, rows.where("vec_id % 20 = 0"), top=150).groupBy("query_id").count().collect()
+    assert len(got) == 10 and all(r["count"] == 150 for r in got)
+    assert plans and not any(re.search(r"(BroadcastHashJoin|BroadcastNestedLoopJoin)[^\n]*Inner", p) for p in plans)
+
+
+def test_ann_sample_of_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 64)
+    rows = spark.range(3000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    want = [r["v"] for r in rows.orderBy(F.xxhash64("v"), "v").limit(64).collect()]
+    for size in (3000, 1, 10**9):  # a wrong size costs a second look, no rows
+        assert [r["v"] for r in ann._least_hashes(rows, size)] == want

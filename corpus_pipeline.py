@@ -38,7 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the
-    least id, nulls last. Rows with a null id or with an id that stands elsewhere are rows like any other."""
+    least id, nulls last. SimHash fingerprints of four differing bits at most name pairs first, bands of
+    min-hashes those that a fingerprint can't tell; all are verified on their shingles. Rows with a null id or with an id that stands elsewhere are rows like any other."""
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 

@@ -1,11 +1,14 @@
 """Near copies: rows whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more.
 
-A 64-bit fingerprint can't tell such pairs: at similarity 0.8 about 10 bits differ and often 16, and
-an index for so many is no smaller than all pairs. So candidates share one of 32 bands of four
-min-hashes, which a pair at similarity 0.8 exactly misses with probability 5e-8 (nearer ones less),
-and every candidate is verified on its whole shingle sets.
-
-Rows of one shingle set are collapsed first. A band's rows are then compared with the band's least row,
+SimHash comes first: op9's fingerprints, its index of positional bytes and its links of four bits at
+most name candidates, which are verified on their whole shingle sets and joined to groups. That
+settles near copies that differ in a few words. A 64-bit fingerprint can't tell the rest: at
+similarity 0.8 about 10 bits differ and often 16, and an index for so many is no smaller than all
+pairs. So rows of different groups are candidates, too, where they share one of 32 bands of four
+min-hashes, which a pair at similarity 0.8 exactly misses with probability 5e-8 (nearer ones less).
+They are verified alike.
+
+Rows of one shingle set are collapsed first. A band's rows are compared with the band's least row,
 which settles a large group of near copies, and after that, where a band still holds several
 components, all its rows across components. Bands of up to MEMBERS rows name these pairs. Larger ones
 name none: their rows, joined to groups over the bands that they share, are cut into blocks, and for
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, release, row_key, spread
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND_ROWS = 32, 4
@@ -62,13 +65,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for b in batches:
-        nodes, keys = [], []
+        nodes, keys, prints = [], [], []
         for t in b[2]:
             h = shingles(t.as_py())
             nodes.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
             keys.append(bands(h).view(np.int64))
+            prints.append(fingerprint(t.as_py()))
         keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]), pa.int64()))
-        yield pa.record_batch([b[0], b[1], pa.array(nodes, pa.binary()), keys], names=["id", "row", "node", "keys"])
+        yield pa.record_batch([b[0], b[1], pa.array(nodes, pa.binary()), keys, pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())], names=["id", "row", "node", "keys", "fp"])
 
 
 def _sets(batches):
@@ -137,6 +141,19 @@ def _cell_links(batches):
         yield pa.record_batch([pa.array([z[n] for z in links], pa.binary()) for n in (0, 1)], names=["a", "b"])
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: rows of `nodes` (node, fp) that SimHash links: each fingerprint's rows with its least one,
+    and the least ones of fingerprints that op9's index links."""
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    # a fingerprint that a third of all rows share is met in SALT tasks
+    salted = nodes.select("fp", "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    same = salted.join(prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["fp", "salt"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = links(prints.select("fp"))
+    heads = [prints.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
+    far = linked.join(heads[0], "a").join(heads[1], "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    return same.unionByName(far).distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies: that of the least id (nulls last), then of the
     least hash of the row. All columns stay.
@@ -149,16 +166,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns = docs.columns
     (row,) = fresh(columns, "__row")
     docs = docs.withColumn(row, row_key(*(f"`{c}`" for c in columns)))
-    rows, rows_path = materialize(spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(text_col))).mapInArrow(_signatures, "id long, row binary, node binary, keys array<long>"), "near-rows")
+    rows, rows_path = materialize(spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(text_col))).mapInArrow(_signatures, "id long, row binary, node binary, keys array<long>, fp long"), "near-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    nodes, nodes_path = materialize(rows.groupBy("node").agg(first, F.first("keys").alias("keys")), "near-nodes")
+    nodes, nodes_path = materialize(rows.groupBy("node").agg(first, F.first("keys").alias("keys"), F.min("fp").alias("fp")), "near-nodes")
     keyed = spread(nodes.select("node", "keys")).select("node", F.explode("keys").alias("key"))
     heads, heads_path = materialize(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "near-heads")
     # a band that a third of all rows share is met in SALT tasks
     met = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
     lists, lists_path = materialize(met.join(heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["key", "salt"]).select("key", "a", "node"), "near-lists")
-    paths = [rows_path, nodes_path, heads_path, lists_path]
-    listed = lists.select("node").distinct()
+    named, named_path = materialize(simhash_pairs(nodes), "near-simhash")
+    paths = [rows_path, nodes_path, heads_path, lists_path, named_path]
+    listed = lists.select("node").unionByName(named.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     # one row's text stands for all rows of its shingle set
     texts = docs.join(listed.join(nodes, "node").select("node", F.col("first.row").alias(row)), row).select("node", text_col).dropDuplicates(["node"])
     sets, sets_path = materialize(texts.mapInArrow(_sets, "node binary, hashes binary"), "near-sets")
@@ -173,8 +191,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
         return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    edges = verify(named)
+    roots, more = components(edges, "near-links")
+    paths += more
+    # rows that SimHash has joined already need no second look
     star = lists.select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    edges = verify(star)
+    for x in ("a", "b"):
+        star = star.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    star = star.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    edges = edges.unionByName(verify(star))
     roots, more = components(edges, "near-links")
     paths += more
     members, members_path = materialize(rooted(lists.select("key", "node"), roots), "near-members")

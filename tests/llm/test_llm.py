@@ -728,3 +728,28 @@ def test_ann_sample_of_least_hashes(spark, monkeypatch):
     want = [r["v"] for r in rows.orderBy(F.xxhash64("v"), "v").limit(64).collect()]
     for size in (3000, 1, 10**9):  # a wrong size costs a second look, no rows
         assert [r["v"] for r in ann._least_hashes(rows, size)] == want
+
+
+def test_pipeline_near_copies_go_through_simhash(spark, monkeypatch):
+    """The stage links fingerprints of four differing bits at most, over all texts, before anything else."""
+    import corpus_pipeline as P
+
+    rng = random.Random(61)
+    rows = []
+    for i in range(12):
+        w = words(rng, 400).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] + ["other"]))]
+    prints = [brute.simhash(t) for _, t in rows]
+    near = {(min(a, b), max(a, b)) for a, b in zip(prints[::2], prints[1::2]) if 0 < (a ^ b).bit_count() <= 4}
+    seen, linked, real = set(), set(), near_copies.links
+
+    def links(df, *a):
+        seen.update(r["fp"] % 2**64 for r in df.collect())
+        out = real(df, *a)
+        linked.update(tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "links", links)
+    kept = {r["doc_id"] for r in P.one_of_near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert near and seen == set(prints) and linked >= near
+    assert kept == set(range(0, 24, 2))

@@ -148,3 +148,17 @@ def test_a_stream_that_stops_goes_on_where_it_was(spark, tmp_path):
 def test_training_record():
     c = replay.TrainConfig()
     assert (c.lr, c.head_lr, c.epochs, c.batch_size, c.rehearsal_ratio, c.rank, c.alpha) == (1e-4, 1e-3, 5, 64, 0.5, 16, 32)
+
+
+def test_streams_call_a_bucket_of_keys_at_once(spark, tmp_path, monkeypatch):
+    """A trigger's cost is of its rows: many keys share a call, and a batch is worked out once."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    rows = [(u, (u * 7 + i * 13) % 50) for u in range(40) for i in range(9)]
+    df = spark.createDataFrame(rows, "u long, e long")
+    path = f"file://{tmp_path}/s"
+    df.repartition(3).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    got = stateful.run_to_table(spark, source, lambda s: stateful.first_rows(s, "u", "e", 4), path).collect()
+    want = {str(u): sorted({e for v, e in rows if v == u})[:4] for u in range(40)}
+    assert {r["key"]: r["items"] for r in got} == want and len(got) == 40
+    assert spark.read.parquet(f"{path}/batches/*").count() >= 40

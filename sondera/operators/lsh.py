@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +15,11 @@ from ..functions.scalars import hamming64
 from .order import covering_width
 
 
-def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int = 64, max_bucket: int | None = None, block: int = 500) -> DataFrame:
+#: Rows of a block that meet the other block at once.
+_ROWS = 64
+
+
+def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int = 64, max_bucket: int | None = None, block: int = 4096) -> DataFrame:
     """a, b, distance for ids a < b that differ in max_dist bits at most and share a band.
 
     With more bands than max_dist every such pair shares one, so none is lost; bits that are left over
@@ -22,21 +27,47 @@ def near_pairs(hashes: DataFrame, max_dist: int = 6, bands: int = 8, bits: int =
     their own. With max_bucket, buckets of more ids are skipped instead: a loss of recall that some
     definitions have, and keep for comparison."""
     width = bits // bands
-    rows = hashes.select("id", "hash", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    kind = hashes.schema["id"].dataType.simpleString()
+    rows = hashes.where(F.col("id").isNotNull()).select("id", "hash", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     last = (F.lit(1).cast("long") * -1) if bits - width * (bands - 1) >= 64 else F.lit((1 << (bits - width * (bands - 1))) - 1)
     rows = rows.withColumn("key", F.expr(f"shiftrightunsigned(hash, band * {width})").bitwiseAND(F.when(F.col("band") == bands - 1, last).otherwise(F.lit((1 << width) - 1))))
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if max_bucket is not None:
         sizes = sizes.where(F.col("k") <= max_bucket)
     rows = rows.join(sizes.select("band", "key", F.ceil(F.col("k") / block).cast("int").alias("blocks")), ["band", "key"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    a = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(every)).alias("a")
-    b = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(every)).alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("band", "key", "i", "j")]
-    pairs = a.join(b, [*same, F.col("a.id") < F.col("b.id")])
-    d = hamming64(F.col("a.hash"), F.col("b.hash"))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).where(F.col("distance") <= max_dist).distinct()
+    # by a bucket's blocks the rows are packed, and each pair of blocks is a cell
+    packed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).groupBy("band", "key", "blocks", "own").agg(F.collect_list(F.struct("id", "hash")).alias("rows"))
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.groupBy("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.max(F.when(F.col("own") <= F.col("other"), F.col("rows"))).alias("x"), F.max(F.when(F.col("own") > F.col("other"), F.col("rows"))).alias("y")
+    )
+    # a block that holds no row makes a cell of one side
+    cells = cells.where(F.col("x").isNotNull() & ((F.col("i") == F.col("j")) | F.col("y").isNotNull()))
+    # the first band that a pair shares names it, unless that bucket may be skipped; rows that repeat are left to distinct
+    return cells.select("band", "x", "y").mapInArrow(_cell_pairs(max_dist, width, max_bucket is None), f"a {kind}, b {kind}, distance int").distinct()
+
+
+def _cell_pairs(max_dist: int, width: int, first: bool):
+    """Near pairs of each cell's two blocks, or within one; with `first` only those that no band before shares."""
+
+    def run(batches):
+        for batch in batches:
+            for band, x, y in zip(batch[0].to_pylist(), batch[1], batch[2]):
+                ids, hashes = ([s.values.field(c).to_numpy(zero_copy_only=False) for s in ((x, y) if y.is_valid else (x,))] for c in ("id", "hash"))
+                hashes = [h.view(np.uint64) for h in hashes]
+                kind = x.values.field("id").type
+                for at in range(0, len(ids[0]), _ROWS):
+                    differ = hashes[0][at : at + _ROWS, None] ^ hashes[-1][None, :]
+                    i, j = np.nonzero(np.bitwise_count(differ) <= max_dist)
+                    x_id, y_id, d = ids[0][at + i], ids[-1][j], differ[i, j]
+                    keep = x_id != y_id if y.is_valid else x_id < y_id
+                    if first:
+                        for k in range(band):
+                            keep &= (d >> np.uint64(k * width)) & np.uint64((1 << width) - 1) != 0
+                    x_id, y_id, d = x_id[keep], y_id[keep], d[keep]
+                    yield pa.record_batch([pa.array(np.minimum(x_id, y_id), kind), pa.array(np.maximum(x_id, y_id), kind), pa.array(np.bitwise_count(d).astype(np.int32))], names=["a", "b", "distance"])
+
+    return run
 
 
 def covered_pairs(hashes: DataFrame, max_dist: int = 6, bits: int = 64, block: int = 500, n: int | None = None) -> DataFrame:

@@ -271,3 +271,15 @@ def test_lookup_fails_on_missing_keys(spark):
     assert sorted(r["v"] for r in split.lookup(spark.createDataFrame([(1,), (2,), (2,)], "id long"), store, {"id": "k"}).collect()) == ["a", "b", "b"]
     with pytest.raises(Exception, match="missing from the store"):
         split.lookup(spark.createDataFrame([(1,), (3,)], "id long"), store, {"id": "k"}).collect()
+
+
+def test_near_pairs_in_wide_bands_meet_no_row_twice(spark):
+    rng = np.random.default_rng(7)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, 300)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(h)] + [(5, int(h[5])), (None, 1)], "id long, hash long")
+    d = np.bitwise_count((h[:, None] ^ h[None, :]).view(np.uint64))
+    want = sorted((j, i, int(d[i, j])) for i in range(300) for j in range(i) if d[i, j] <= 24)
+    got = lsh.near_pairs(df, max_dist=24, bands=25, block=20)
+    assert want and sorted(map(tuple, got.collect())) == want
+    # rows meet in packed cells: joined for the buckets' sizes alone, not row by row
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DIMENSIONS, card_verdict, hash_uniform, logit, sigmoid, verdict
+from ..functions.scalars import DIMENSIONS, card_verdict, logit, sigmoid, verdict
 from .calibrate import linspace, nll_grid
 
 
@@ -88,21 +89,33 @@ def fit_temperature(df: DataFrame, head: Head, label: str = "label") -> DataFram
 def fit(df: DataFrame, row_id: str, label: str = "label", epochs: int = 300, rate: float = 0.1, l2: float = 1e-3, dropout: float = 0.3, reps: int = 4, seed: int = 0) -> Head:
     """Batch gradient descent with modality dropout: each epoch is one aggregate of seven sums; the
     masks come from hashes of (row, repeat, dimension), so a retried task sees the same ones. A row
-    whose available dimensions would all be dropped keeps them all."""
-    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(label).cast("double").alias("y"), *(F.when(F.col(f"a_{d}"), logit(F.col(f"s_{d}"))).otherwise(0.0).alias(f"x_{d}") for d in DIMENSIONS), *(F.coalesce(F.col(f"a_{d}").cast("boolean"), F.lit(False)).alias(f"has_{d}") for d in DIMENSIONS))
-    base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    for d in DIMENSIONS:
-        base = base.withColumn(f"k_{d}", hash_uniform(F.lit(f"{seed}|{d}"), F.col("id"), F.col("rep").cast("string")) >= dropout)
+    whose available dimensions would all be dropped keeps them all.
+
+    A row is kept once, with a bit mask a repeat; repeats part only inside an epoch. The weights come
+    as a row that is joined, not as literals: all epochs run the same compiled plan."""
+    spark, bits = df.sparkSession, {d: 1 << i for i, d in enumerate(DIMENSIONS)}
+    cores = spark.sparkContext.defaultParallelism
+    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(label).cast("double").alias("y"), *(F.when(F.col(f"a_{d}"), logit(F.col(f"s_{d}"))).otherwise(0.0).alias(f"x_{d}") for d in DIMENSIONS), sum((F.when(F.col(f"a_{d}"), k).otherwise(0) for d, k in bits.items()), F.lit(0)).alias("has"))
+    if df.rdd.getNumPartitions() < cores:
+        base = base.repartition(2 * cores, "id")
+    # hash_uniform(...) >= dropout, as its eight hexadecimal digits in their order as text
+    least = f"{math.ceil(min(max(dropout, 0.0), 1.0) * 2**32):08x}"
+    over = lambda d, r: F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{d}"), F.col("id"), F.lit(str(r)))), 1, 8) >= least if len(least) == 8 else F.lit(False)
+    drawn = lambda r: sum((F.when(over(d, r), k).otherwise(0) for d, k in bits.items()), F.lit(0))
+    base = base.withColumns({f"k_{r}": drawn(r) for r in range(reps)})
     # by what is available, not by its logit: a score of one half is a card like any other
-    kept = sum((F.when(F.col(f"k_{d}") & F.col(f"has_{d}"), 1).otherwise(0) for d in DIMENSIONS), F.lit(0))
-    base = base.withColumn("all", kept == 0)
-    rows = base.select("y", *(F.when(F.col("all") | F.col(f"k_{d}"), F.col(f"x_{d}")).otherwise(0.0).alias(d) for d in DIMENSIONS)).persist()
-    n, w, b = max(1, rows.count()), {d: 1.0 / len(DIMENSIONS) for d in DIMENSIONS}, 0.0
+    kept = {f"k_{r}": F.when(F.col(f"k_{r}").bitwiseAND(F.col("has")) == 0, sum(bits.values())).otherwise(F.col(f"k_{r}")).cast("int") for r in range(reps)}
+    rows = base.select("y", *(f"x_{d}" for d in DIMENSIONS), *(c.alias(k) for k, c in kept.items())).persist()
+    n, w, b = max(1, rows.count() * reps), {d: 1.0 / len(DIMENSIONS) for d in DIMENSIONS}, 0.0
+    each = rows.select("y", *(f"x_{d}" for d in DIMENSIONS), F.explode(F.array(*kept)).alias("k"))
+    each = each.select("y", *(F.when(F.col("k").bitwiseAND(F.lit(k)) != 0, F.col(f"x_{d}")).otherwise(0.0).alias(d) for d, k in bits.items()))
+    z, sums = sum((F.col(d) * F.col(f"w_{d}") for d in DIMENSIONS), F.col("w_b")), [*(F.sum(F.col("err") * F.col(d)).alias(d) for d in DIMENSIONS), F.sum("err").alias("b")]
     for _ in range(epochs):
-        err = sigmoid(sum((F.col(d) * w[d] for d in DIMENSIONS), F.lit(b))) - F.col("y")
-        g = rows.agg(*(F.sum(err * F.col(d)).alias(d) for d in DIMENSIONS), F.sum(err).alias("b")).first()
+        now = spark.sql(f"SELECT * FROM VALUES ({', '.join(f'{float(v)!r}D' for v in (*w.values(), b))}) AS t({', '.join(f'w_{d}' for d in w)}, w_b)")
+        errors = each.crossJoin(F.broadcast(now)).select(*DIMENSIONS, "y", z.alias("z")).select(*DIMENSIONS, (sigmoid(F.col("z")) - F.col("y")).alias("err"))
+        g = errors.agg(*sums).collect()[0]
         # the data term is a mean over rows and repeats, the penalty is a share of the rows alone
-        w = {d: w[d] - rate * (g[d] / n + l2 * w[d] * reps / n) for d in DIMENSIONS}
-        b -= rate * g["b"] / n
+        w = {d: w[d] - rate * ((g[d] or 0.0) / n + l2 * w[d] * reps / n) for d in DIMENSIONS}
+        b -= rate * (g["b"] or 0.0) / n
     rows.unpersist()
     return Head(w, b)

@@ -283,3 +283,15 @@ def test_near_pairs_in_wide_bands_meet_no_row_twice(spark):
     assert want and sorted(map(tuple, got.collect())) == want
     # rows meet in packed cells: joined for the buckets' sizes alone, not row by row
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_head_fit_keeps_a_row_once_and_its_weights_out_of_the_plan(spark, monkeypatch):
+    kept, plans = [], []
+    real_persist, real_cross = type(spark.range(1)).persist, type(spark.range(1)).crossJoin
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: kept.append(self.count()) or real_persist(self, *a))
+    monkeypatch.setattr(type(spark.range(1)), "crossJoin", lambda self, other: plans.append(self) or real_cross(self, other))
+    rows = [(i, i % 2, *(0.1 + 0.8 * (i * k % 11) / 11 for k in range(1, 7)), *([True] * 6)) for i in range(40)]
+    schema = "id int, label int, " + ", ".join(f"s_{d} double" for d in fusion.DIMENSIONS) + ", " + ", ".join(f"a_{d} boolean" for d in fusion.DIMENSIONS)
+    fusion.fit(spark.createDataFrame(rows, schema), "id", epochs=3)
+    assert kept == [40]
+    assert len(plans) == 3 and all(p.sameSemantics(plans[0]) for p in plans)

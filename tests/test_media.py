@@ -170,3 +170,10 @@ def test_degraded_images_follow_their_recipes(spark):
     before = {r["id"]: r["x"] for r in df.collect()}
     assert all(said[r["id"]] == r["recipe"] and len(r["x"]) == 192 and min(r["x"]) >= 0 and max(r["x"]) <= 255 for r in out)
     assert any("screenshot_sim" in v for v in said.values()) and all(_changes(r["recipe"]) == (r["x"] != before[r["id"]]) for r in out)
+
+
+def test_room_response_by_its_first_samples_has_the_peak_of_all(spark):
+    rows = spark.createDataFrame([(f"0|{i}", 0.15 + 0.05 * i) for i in range(8)], "seed string, rt double")
+    whole, head = (signals.room_response(F.col("seed"), 16000, F.col("rt"), *a) for a in ((), (F.lit(80),)))
+    for r in rows.select(whole.alias("whole"), head.alias("head")).collect():
+        assert len(r["head"]) == 81 < len(r["whole"]) and r["head"] == r["whole"][:81]

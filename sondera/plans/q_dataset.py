@@ -267,13 +267,18 @@ def planted_tree(spark, rel, root: str) -> int:
         from pyarrow import fs
 
         where, at = fs.FileSystem.from_uri(root)
+        made = set()
         for b in batches:
             for p in b[0].to_pylist():
-                where.create_dir(f"{at}/{p.rsplit('/', 1)[0]}", recursive=True)
+                if (folder := p.rsplit("/", 1)[0]) not in made:
+                    where.create_dir(f"{at}/{folder}", recursive=True)
+                    made.add(folder)
                 with where.open_output_stream(f"{at}/{p}") as f:
                     f.write(b".")
             yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
 
+    # a table of few splits is dealt out over the cores: a file is more work than a row
+    rel = rel.repartition(2 * spark.sparkContext.defaultParallelism)
     return rel.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
 
 

@@ -7,11 +7,13 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import normalise_path
+from . import scratch
 
 _S = T.StringType()
 MANIFEST_SCHEMA = T.StructType([T.StructField("path", _S), T.StructField("label", T.IntegerType()), *(T.StructField(c, _S) for c in ("generator", "family", "source_id", "media_type", "quality", "split"))])
@@ -74,13 +76,68 @@ def missing_keys(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
+#: Entries of a directory that a lister hands on at once.
+_ENTRIES = 8192
+
+
+def _entries(root: str, rel: str):
+    """(relative path, is a directory) of what stands in a directory below root, one after another; what
+    Spark's readers pass over (hidden names, empty files) is left out."""
+    import os
+
+    from pyarrow import fs
+
+    where, at = fs.FileSystem.from_uri(root)
+    folder = f"{at.rstrip('/')}/{rel}".rstrip("/")
+    if isinstance(where, fs.LocalFileSystem):  # as a stream, however many there are
+        with os.scandir(folder) as found:
+            for e in found:
+                if not _hidden(e.name) and (e.is_dir() or e.stat().st_size > 0):
+                    yield f"{rel}/{e.name}" if rel else e.name, e.is_dir()
+        return
+    for e in where.get_file_info(fs.FileSelector(folder)):
+        if not _hidden(e.base_name) and (e.type == fs.FileType.Directory or e.size != 0):
+            yield f"{rel}/{e.base_name}" if rel else e.base_name, e.type == fs.FileType.Directory
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """A manifest of a directory tree (no split): the first part of the path below root is the
     generator, the second the source if there are three parts or more, else the file name up to its
-    first underscore. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    prefix = root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/"
-    return manifest_of(files.withColumn("rel", F.element_at(F.split("path", _quoted(prefix), 2), 2)), "rel")
+    first underscore. Contents are not read.
+
+    Directories are listed in tasks, a level of the tree at a time; a file is a row from the start and is
+    never opened. On a file system that pyarrow can't open Spark's own reader lists the tree."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+        prefix = root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/"
+        return manifest_of(files.withColumn("rel", F.element_at(F.split("path", _quoted(prefix), 2), 2)), "rel")
+
+    def listed(batches):
+        from itertools import islice
+
+        for b in batches:
+            for rel in b[0].to_pylist():
+                found = _entries(root, rel)
+                while some := list(islice(found, _ENTRIES)):
+                    yield pa.record_batch([pa.array([x for x, _ in some], pa.string()), pa.array([d for _, d in some], pa.bool_())], names=["rel", "dir"])
+
+    level, files = spark.range(1).select(F.lit("").alias("rel")), None
+    while True:
+        found = scratch.kept(level.mapInArrow(listed, "rel string, dir boolean"), "tree-level")
+        here = found.where(~F.col("dir")).select("rel")
+        files = here if files is None else files.unionByName(here)
+        level = found.where("dir").select("rel")
+        if level.isEmpty():
+            return manifest_of(files, "rel")
+        level = level.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def _quoted(text: str) -> str:

@@ -162,3 +162,15 @@ def test_streams_call_a_bucket_of_keys_at_once(spark, tmp_path, monkeypatch):
     want = {str(u): sorted({e for v, e in rows if v == u})[:4] for u in range(40)}
     assert {r["key"]: r["items"] for r in got} == want and len(got) == 40
     assert spark.read.parquet(f"{path}/batches/*").count() >= 40
+
+
+def test_tree_is_listed_without_opening_its_files(spark, tmp_path):
+    from sondera.sources import io
+
+    for rel in ("authentic/n1_x.MP4", "piper/spk/deep/a b%.wav", "piper/.hidden/a.wav", "piper/_tmp.wav", "top.wav"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_bytes(b".")
+    (tmp_path / "piper/empty.wav").write_bytes(b"")
+    out = io.scan_tree(spark, f"file://{tmp_path}")
+    assert "binaryFile" not in out._jdf.queryExecution().toString()
+    assert sorted((r["path"], r["label"], r["source_id"]) for r in out.collect()) == [("authentic/n1_x.MP4", 0, "n1"), ("piper/spk/deep/a b%.wav", 1, "spk")]

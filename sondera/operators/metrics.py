@@ -50,8 +50,8 @@ def with_ranges(df: DataFrame, column: str = "s", ranges: int = RANGES) -> DataF
 
 
 def cumulated(hist: DataFrame, groups: list[str] = ()) -> DataFrame:
-    """hist with cp, cn (running sums over a group's scores to this one inclusive), ns (negatives at
-    this score) and the group's totals all_p, all_n. Several rows of a group may share a score.
+    """hist with cp, cn (running sums over a group's scores to this one inclusive), ps, ns (positives and
+    negatives at this score) and the group's totals all_p, all_n. Several rows of a group may share a score.
 
     The cuts and the ranges' totals come from the histogram that the plan has anyhow: all branches
     need p and n, for the filter, so they read one exchange and the rows behind it are scanned once.
@@ -70,7 +70,7 @@ def cumulated(hist: DataFrame, groups: list[str] = ()) -> DataFrame:
         F.sum("rn").over(every).alias("all_n"),
     )
     inside, at = W.partitionBy("__g").orderBy("s").rangeBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("__g").orderBy("s").rangeBetween(W.currentRow, W.currentRow)
-    run = hist.withColumn("ip", F.sum("p").over(inside)).withColumn("in", F.sum("n").over(inside)).withColumn("ns", F.sum("n").over(at))
+    run = hist.withColumn("ip", F.sum("p").over(inside)).withColumn("in", F.sum("n").over(inside)).withColumn("ns", F.sum("n").over(at)).withColumn("ps", F.sum("p").over(at))
     return run.join(per, "__g").withColumn("cp", F.col("ip") + F.col("bp")).withColumn("cn", F.col("in") + F.col("bn")).drop("__g", "r", "ip", "in", "bp", "bn")
 
 
@@ -81,7 +81,7 @@ def _auc() -> Column:
 
 
 def _eer() -> Column:
-    far, frr = F.try_divide(F.col("all_n") - F.col("cn") + F.col("ns"), F.col("all_n")), F.try_divide(F.col("cp") - F.col("p"), F.col("all_p"))
+    far, frr = F.try_divide(F.col("all_n") - F.col("cn") + F.col("ns"), F.col("all_n")), F.try_divide(F.col("cp") - F.col("ps"), F.col("all_p"))
     return F.min(F.when(F.col("all_p") * F.col("all_n") > 0, F.struct(F.abs(far - frr).alias("gap"), F.col("s").alias("thr"), ((far + frr) / 2).alias("eer"))))
 
 
@@ -140,11 +140,15 @@ def levels(df: DataFrame, keys: dict[str, str | None], scores: dict[str, str], f
     `shared` a row is of a key's positives against all negatives of the frame; at others each key has
     its own. Null keys are the key `nan`; null scores take no part.
     """
-    where = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), (F.coalesce(F.col(c).cast("string"), F.lit("nan")) if c else F.lit("all")).alias("key")) for v, c in keys.items())))
+    # rows are counted by all keys at once; the ways to group meet those cells, not rows, and needn't sum
+    # them up again, as rows of a histogram may share a score
+    cols = {c: f"__k{i}" for i, c in enumerate(dict.fromkeys(c for c in keys.values() if c))}
     what = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("s")) for m, c in scores.items())))
-    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).alias("label"), where.alias("w"), *(F.col(c).alias(c) for c in dict.fromkeys(scores.values())))
-    rows = rows.select("label", F.col("w.level").alias("level"), F.col("w.key").alias("key"), what.alias("m")).where("m.s is not null").select("m.model", "level", "key", F.col("m.s").alias("score"), "label")
-    hist = histogram(rows, ["model", "level", "key"]).withColumn("peer", F.when(F.col("level").isin(*shared), F.lit("")).otherwise(F.col("key")) if shared else F.col("key"))
+    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).alias("label"), *(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(k) for c, k in cols.items()), what.alias("m"))
+    cells = histogram(rows.where("m.s is not null").select("m.model", *cols.values(), F.col("m.s").alias("score"), "label"), ["model", *cols.values()])
+    where = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), (F.col(cols[c]) if c else F.lit("all")).alias("key")) for v, c in keys.items())))
+    hist = cells.select("model", where.alias("w"), "s", "p", "n").select("model", "w.level", "w.key", "s", "p", "n")
+    hist = hist.withColumn("peer", F.when(F.col("level").isin(*shared), F.lit("")).otherwise(F.col("key")) if shared else F.col("key"))
     out = from_histogram(hist, ["model", "level", "key"], fprs, ["model", "level", "peer"])
     return out.where(~F.col("level").isin(*shared) | (F.col("n_pos") > 0)) if shared else out
 

@@ -96,3 +96,15 @@ def test_input_contract_counts(spark):
 @pytest.mark.parametrize("name, most", [("met1_roc_auc", 1), ("met11_summary", 2), ("har1_group_metrics", 1), ("har2_robustness", 1), ("har5_release_gate", 2), ("agg5_model_by_degradation", 1)])
 def test_scans(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, SF)) <= most
+
+
+def test_rows_are_counted_before_they_are_grouped_by_levels(spark):
+    rows = [(i % 2, float(i * 7 % 5), f"g{i % 3}", f"q{i % 4}") for i in range(60)]
+    df = harness.complete(spark.createDataFrame(rows, "label int, score double, generator string, quality string"))
+    plan = harness.measure(df)._jdf.queryExecution().optimizedPlan().toString()
+    last = [line for line in plan.splitlines() if "Aggregate" in line or "Generate" in line][-2:]
+    assert "Aggregate" in last[0] and "Generate" in last[1]  # below the counts only models are told apart
+    assert "degradation" not in last[1] and "overall" not in last[1]
+    out = harness.measure(df).where("level = 'overall'").first()
+    whole = metrics.ranking(df).first()
+    assert (out["auc"], out["eer"], out["eer_thr"], out["tpr_05"]) == (whole["auc"], whole["eer"], whole["eer_thr"], whole["tpr_05"])

@@ -232,6 +232,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _passed(u: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """How many of the rising cuts each number reaches. Once few numbers are left above a cut, only those
+    are held against the next ones."""
+    w, above, left = np.zeros(u.shape, np.uint8), None, u
+    for c in cuts:
+        hit = left >= np.uint32(c)
+        if above is None:
+            w += hit
+            if 8 * np.count_nonzero(hit) < len(u):
+                above = np.flatnonzero(hit)
+                left = u[above]
+        else:
+            above, left = above[hit], left[hit]
+            w[above] += 1
+    return w
+
+
 def draws(cell: np.ndarray, count: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """Cells by replicates: how often the rows of each cell are drawn, Poisson of mean `count`.
 
@@ -247,9 +264,7 @@ def draws(cell: np.ndarray, count: np.ndarray, replicates: np.ndarray, seed: int
         at = np.flatnonzero(count == k)
         here = u if len(at) == len(u) else u[at]
         if k <= EXACT:
-            w = np.zeros(here.shape, np.uint8)
-            for c in poisson_cuts(k):
-                w += here >= np.uint32(c)
+            w = _passed(here.ravel(), poisson_cuts(k)).reshape(here.shape)
         else:
             v = _mix(here ^ np.uint32(_OTHER))
             z = np.sqrt(-2 * np.log((here + 0.5) / 4294967296.0)) * np.cos(2 * math.pi * ((v + 0.5) / 4294967296.0))
@@ -287,7 +302,10 @@ def _auc_parts(table: DataFrame, score: str, replicates: int, seed: int) -> Data
                 here = slice(at, at + CHUNK)
                 w = draws(cell[here], k[here], reps, seed)
                 edge = np.flatnonzero(np.r_[True, s[here][1:] != s[here][:-1]])
-                of_p, of_n = (np.add.reduceat(w * (y[here] == v)[:, None], edge, axis=0).astype(np.float64) for v in (1, 0))
+                of_p = w * (y[here] == 1)[:, None]  # cells are of label 1 or 0
+                if len(edge) < len(w):
+                    of_p, w = np.add.reduceat(of_p, edge, axis=0), np.add.reduceat(w, edge, axis=0)
+                of_p, of_n = of_p.astype(np.float64), (w - of_p).astype(np.float64)
                 if last is not None and s[at] == last:  # the score goes on from the rows before
                     of_p[0] += tied_p
                     of_n[0] += tied_n

@@ -108,3 +108,12 @@ def test_rows_are_counted_before_they_are_grouped_by_levels(spark):
     out = harness.measure(df).where("level = 'overall'").first()
     whole = metrics.ranking(df).first()
     assert (out["auc"], out["eer"], out["eer_thr"], out["tpr_05"]) == (whole["auc"], whole["eer"], whole["eer_thr"], whole["tpr_05"])
+
+
+@pytest.mark.parametrize("k", [1, 5, 16])
+def test_draws_reach_the_cuts_that_they_are_above(k):
+    import numpy as np
+
+    cuts = metrics.poisson_cuts(k)
+    u = np.r_[np.random.default_rng(k).integers(0, 2**32, 20_000, dtype=np.uint64).astype(np.uint32), np.array([c for c in cuts], np.uint32), np.uint32(0), np.uint32(2**32 - 1)]
+    assert (metrics._passed(u, cuts) == sum((u >= np.uint32(c)).astype(np.int64) for c in cuts)).all()

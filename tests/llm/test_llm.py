@@ -432,6 +432,35 @@ def test_html_tree_alone_and_without_it(spark):
     assert all(t == f"About us, legal and contact\nSign up now\n{body[i]}\nAll rights reserved" for i, t in enumerate(alone))
 
 
+def test_html_pages_are_not_shuffled_to_their_noise(spark, monkeypatch):
+    """However much noise there is: it goes to the pages; past MAX_SENT only open pages' pieces move."""
+    rng = random.Random(18)
+
+    def page(i):
+        main = f"<article><p>{words(rng, 20)}</p><div class='k1'>About us</div></article>" if i % 3 == 0 else f"<div class='k3'>a &amp; <i>b</i>{words(rng, 20)}<p>x<br>y</div>"
+        return f"<body><div class='k1'>About us</div>{main}<div class='k2'><div>All rights</div> reserved</div><script>s</script></body>"
+
+    rows = [(i, f"http://n{i % 2}.example/{i}", page(i)) for i in range(60)] + [(i, None, None) for i in range(3)]
+    rows += [(70, "http://n0.example/70", rows[1][2])] * 9
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    took = lambda d: sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in d.collect())
+    monkeypatch.setattr(html_text, "MIN_PAGES", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = html_text.extract(df)
+        assert "Exchange" not in plan(sent)
+        monkeypatch.setattr(html_text, "MAX_SENT", 0)
+        moved = html_text.extract(df)
+        assert "Exchange" in plan(moved) and took(sent) == took(moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(took(sent)) == 72
+    for i, _, text, n in took(sent):
+        assert n == len(text) and ("About us" in text) == (text != "" and i < 60 and i % 3 == 0) and "All rights" not in text and "s" != text
+        assert i % 3 == 0 or i == 70 or text == "" or (text.startswith("a & b") and text.endswith("\nx y"))
+
+
 def test_html_very_long_and_deep_page(spark):
     long = "<article>" + "".join(f"<p>Paragraph number {i} of it</p>" for i in range(20000)) + "</article>"
     deep = "<body>" + "<div>" * 3000 + "<p>down here</p>" + "</div>" * 3000
